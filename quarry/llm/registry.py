@@ -1,8 +1,8 @@
 """The queries of this package by name, and the SQL of those that SQL can express."""
 
-from . import minhash
+from . import minhash, quality
 
-MODULES = [minhash]
+MODULES = [minhash, quality]
 
 
 def queries() -> dict:
