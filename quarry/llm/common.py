@@ -68,7 +68,8 @@ def _splitmix(n: int, seed: int) -> np.ndarray:
 class Words:
     """Hashes of the words of many texts. ``gaps``: the bytes that part words; case folds A-Z."""
 
-    def __init__(self, gaps: bytes = SPACES, seed: int = 7):
+    def __init__(self, gaps: bytes = SPACES, seed: int = 7, prefixes: tuple[int, ...] = ()):
+        self.prefixes = prefixes
         t = _splitmix(256, seed) | np.uint64(1)
         t[65:91] = t[97:123]
         self.gap = np.zeros(256, bool)
@@ -87,9 +88,14 @@ class Words:
                 setattr(self, name, np.multiply.accumulate(powers))
 
     def block(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word hashes, their starts, and of each text (from ``bounds``) the first word's number."""
+        """Word hashes, their starts, and of each text (from ``bounds``) the first word's number.
+
+        With ``prefixes`` there is a column for the word and one for each prefix of so many bytes
+        (0 where the word is no longer).
+        """
+        none = (0, 1 + len(self.prefixes)) if self.prefixes else 0
         if not data.size:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(bounds), np.int64)
+            return np.zeros(none, np.uint64), np.zeros(0, np.int64), np.zeros(len(bounds), np.int64)
         self.grow(data.size)
         word = ~self.gap[data]
         fresh = word.copy()
@@ -98,11 +104,20 @@ class Words:
         fresh[cut] = word[cut]
         starts = np.flatnonzero(fresh)
         if not starts.size:
-            return np.zeros(0, np.uint64), starts, np.zeros(len(bounds), np.int64)
+            return np.zeros(none, np.uint64), starts, np.zeros(len(bounds), np.int64)
         value = self.table[data]
         value *= self.up[: data.size]
         sums = np.add.reduceat(value, starts)
-        return mix(sums * self.down[starts]), starts, np.searchsorted(starts, bounds)
+        first = np.searchsorted(starts, bounds)
+        if not self.prefixes:
+            return mix(sums * self.down[starts]), starts, first
+        length = np.add.reduceat(word.astype(np.int32), starts)
+        before = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
+        columns = [mix(sums * self.down[starts])]
+        for n in self.prefixes:
+            head = before[np.minimum(starts + n, data.size)] - before[starts]
+            columns.append(np.where(length > n, mix(head * self.down[starts] + np.uint64(n)), np.uint64(0)))
+        return np.column_stack(columns), starts, first
 
     def texts(self, data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
         """For runs of whole texts: the number of the first, and the word hashes of each."""

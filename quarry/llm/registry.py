@@ -1,8 +1,8 @@
 """The queries of this package by name, and the SQL of those that SQL can express."""
 
-from . import minhash, quality
+from . import minhash, quality, toxicity
 
-MODULES = [minhash, quality]
+MODULES = [minhash, quality, toxicity]
 
 
 def queries() -> dict:
