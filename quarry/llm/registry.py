@@ -1,8 +1,8 @@
 """The queries of this package by name, and the SQL of those that SQL can express."""
 
-from . import minhash, quality, token_files, toxicity
+from . import bpe, minhash, quality, token_files, toxicity
 
-MODULES = [minhash, quality, token_files, toxicity]
+MODULES = [bpe, minhash, quality, token_files, toxicity]
 
 
 def queries() -> dict:
