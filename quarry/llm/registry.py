@@ -1,8 +1,8 @@
 """The queries of this package by name, and the SQL of those that SQL can express."""
 
-from . import bpe, language, minhash, quality, token_files, toxicity
+from . import bpe, gif, language, minhash, quality, token_files, toxicity
 
-MODULES = [bpe, language, minhash, quality, token_files, toxicity]
+MODULES = [bpe, gif, language, minhash, quality, token_files, toxicity]
 
 
 def queries() -> dict:
