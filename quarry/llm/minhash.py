@@ -10,12 +10,14 @@ leaving out every set of ``errors`` symbols of every chunk, so each text has
 defaults (12 chunks of 6 symbols, 1 error) a pair at similarity 0.8 shares no key with a chance
 of 3 in a million. Links are confirmed on the full word sets, never on hashes of signatures.
 
-No bucket emits all its pairs. Equal sets become one class first. Each bucket then names its
-least class as pivot, members are confirmed against pivots, and the components of these links
-are formed. Only buckets that still hold several components are joined again: the rows outside
-the bucket's largest component against the bucket, across components only, behind a bound on the
-signature distance. So a group of n near copies costs about n confirmations, and no link
-between different components is lost.
+No bucket emits all its pairs. Equal sets become one class first. Each bucket names its least
+class as pivot; every member near its pivot is compared with it once, and keeps the symmetric
+difference of the two sets. Members of one pivot are then compared with each other by these
+differences (|x ^ y| = |dx ^ dy|), in blocks of bounded size, only across components of the links
+found so far, and a block gives a spanning forest of its links. So a group of n near copies costs
+about n confirmations, and no link between different components is lost. Members far from their
+bucket's pivot are rare; they are joined with their bucket behind a bound on the signature
+distance and confirmed on the texts.
 """
 
 from __future__ import annotations
@@ -28,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, as_bytes, buffers, mix, record, saved, sliced, table
+from .common import Words, buffers, mix, record, saved, sliced, table
 from .components import connected
 
 #: Signature errors a candidate may have, as a share of its symbols. At similarity 0.8 a fifth is expected; more than this has a chance of about 1e-6.
 LOOSE = 0.43
+#: A block of members has about so many rows, and hashes in their differences.
+BLOCK_ROWS, BLOCK_LOAD = 512, 1 << 18
 
 
 def shingles(words: np.ndarray, k: int) -> np.ndarray:
@@ -101,39 +105,104 @@ def keyer(chunks: int, width: int, errors: int):
 
 
 def confirmer(shingle: int, percent: int):
-    """Pairs whose full sets of word shingles are similar enough."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def words(text: bytes) -> set:
-        w = text.lower().split()
-        k = min(shingle, len(w))
-        return set(zip(*(w[i : len(w) - k + 1 + i] for i in range(k)))) if k else set()
+    """Pairs of texts with exact similarity and the symmetric difference of their sets."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("delta", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[object, set] = (None, set())
-        for batch in sliced(batches, "text_a", 1 << 20):
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            yes = []
-            for i, (x, y) in enumerate(zip(as_bytes(batch.column("text_a")), as_bytes(batch.column("text_b")))):
-                if last[0] != x:
-                    last = (x, words(x))
-                other = words(y)
-                both = len(last[1] & other)
-                if 100 * both >= percent * (len(last[1]) + len(other) - both) and both:
-                    yes.append(i)
-            if yes:
-                yield record(schema, [a[i] for i in yes], [b[i] for i in yes])
+        words = Words()
+
+        def sets(texts: pa.Array) -> list[np.ndarray]:
+            return [shingles(w, shingle) for _, part in words.texts(*buffers(texts)) for w in part]
+
+        for batch in sliced(batches, "text_b", 1 << 19):
+            known: dict[int, np.ndarray] = {}
+            keys, firsts = batch.column("a").to_pylist(), batch.column("text_a")
+            linked, n_a, n_b, delta = [], [], [], []
+            for i, (a, y) in enumerate(zip(keys, sets(batch.column("text_b")))):
+                if a not in known:
+                    known = {a: sets(firsts.slice(i, 1))[0]}
+                x = known[a]
+                d = np.setxor1d(x, y, assume_unique=True)
+                both = (x.size + y.size - d.size) // 2
+                linked.append(bool(both) and 100 * both >= percent * (x.size + y.size - both))
+                n_a.append(x.size)
+                n_b.append(y.size)
+                delta.append(d.view(np.int64))
+            yield record(schema, batch.column("a"), batch.column("b"), linked, n_a, n_b, delta)
+
+    return run
+
+
+def _shared(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of every left with every right set, some columns at a time."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    if not left or not right:
+        return out
+    common = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    for i in range(0, common.size, columns):
+        part = common[i : i + columns]
+        sides = []
+        for side in (left, right):
+            m = np.zeros((len(side), part.size), np.float32)
+            for row, s in zip(m, side):
+                at = np.searchsorted(part, s)
+                at[at == part.size] = 0
+                row[at[part[at] == s]] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _forest(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the links between two lists of vertices."""
+    root: dict[int, int] = {}
+
+    def top(v: int) -> int:
+        while root.setdefault(v, v) != v:
+            root[v] = root[root[v]]
+            v = root[v]
+        return v
+
+    out = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(links))):
+        a, b = top(int(left[i])), top(int(right[j]))
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((int(left[i]), int(right[j])))
+    return out
+
+
+def comparer(percent: int):
+    """Links between a block of one side and a block of the other, by differences to their pivot."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def sides(t: pa.Table):
+        t = t.combine_chunks()
+        deltas = [np.asarray(d, np.int64) for d in t.column("delta").to_pylist()]
+        return t.column("rep").to_numpy(), t.column("component").to_numpy(), t.column("n").to_numpy().astype(np.float64), deltas
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        (i, ci, ni, di), (j, cj, nj, dj) = sides(left), sides(right)
+        apart = np.array([d.size for d in di])[:, None] + np.array([d.size for d in dj])[None, :] - 2 * _shared(di, dj)
+        whole = ni[:, None] + nj[None, :]
+        both = (whole - apart) / 2
+        links = (100 * both >= percent * (whole - both)) & (both > 0) & (ci[:, None] != cj[None, :])
+        found = _forest(links, i, j)
+        return pa.table([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], schema=schema)
 
     return run
 
 
 def _packed(signature: str, size: int):
     """A signature as an array of longs (eight symbols each), so that comparing is arithmetic."""
-    half = lambda i, n: F.conv(F.hex(F.substring(signature, i + 1, n)), 16, 10).cast("bigint")
-    return F.array(*[F.shiftleft(half(i, 4), 32).bitwiseOR(half(i + 4, 4)) for i in range(0, size, 8)])
+    half = lambda i: F.conv(F.hex(F.substring(signature, i + 1, 4)), 16, 10).cast("bigint")
+    return F.array(*[F.shiftleft(half(i), 32).bitwiseOR(half(i + 4)) for i in range(0, size, 8)])
 
 
 def _apart(a, b, size: int):
+    """Symbols in which two packed signatures differ."""
     total = None
     for i in range(size // 8):
         x = a[i].bitwiseXOR(b[i])
@@ -145,16 +214,17 @@ def _apart(a, b, size: int):
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, chunks: int = 12, width: int = 6, errors: int = 1) -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, component_id, kept, class_id, links``.
+    """One row per document: ``doc_id, n_shingles, component_id, kept, class_id``.
 
     ``component_id`` is the least doc_id reachable over links of similarity ``percent`` / 100 or
-    more, ``class_id`` the least doc_id with the same set, ``links`` the confirmed links of the
-    class. Null, empty and wordless texts link with nothing; a null doc_id has a null component
-    and is kept. Rows that repeat a doc_id are one node of the graph. Other columns are ignored.
+    more, ``class_id`` the least doc_id with the same set. Null, empty and wordless texts link
+    with nothing; a null doc_id has a null component and is kept. Rows that repeat a doc_id are
+    one node of the graph. Other columns are ignored.
     """
     if (chunks * width) % 8:
         raise ValueError("chunks * width must be a multiple of 8")
     size = chunks * width
+    loose = int(LOOSE * size)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = saved(docs.mapInArrow(signer(shingle, chunks, width), "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, signature binary"), "signed")
     some = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -162,48 +232,59 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, chunks
     reps = saved(some.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature")), "reps")
     packed = reps.select("rep", F.col("n_shingles").alias("n"), _packed("signature", size).alias("sig"))
 
+    # buckets with two members or more, and the least as pivot
     keys = reps.select("rep", "signature").mapInArrow(keyer(chunks, width, errors), "rep bigint, key bigint")
     shared = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("top")).where("pivot < top").select("key", "pivot")
     held = saved(keys.join(shared, "key"), "held")
 
-    def close(pairs: DataFrame) -> DataFrame:
-        left = packed.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
-        right = packed.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-        return pairs.join(left, "a").join(right, "b").where(near("na", "nb") & (_apart(F.col("sa"), F.col("sb"), size) <= int(LOOSE * size))).select("a", "b")
+    # members against pivots
+    left = packed.select(F.col("rep").alias("pivot"), F.col("sig").alias("sa"))
+    right = packed.select("rep", F.col("sig").alias("sb"))
+    star = held.where("rep <> pivot").select("pivot", "rep").distinct().join(left, "pivot").join(right, "rep")
+    star = saved(star.select("pivot", "rep", (_apart(F.col("sa"), F.col("sb"), size) <= loose).alias("near")), "star")
+    near = star.where("near").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
+
+    # members far from their pivot against their bucket
+    far = held.join(star.where("NOT near").select("pivot", "rep"), ["pivot", "rep"], "left_semi").select("key", F.col("rep").alias("x"))
+    far = far.join(packed.select(F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("sig").alias("sx")), "x")
+    beside = held.select("key", "rep").join(far.select("key").distinct(), "key", "left_semi").join(packed, "rep")
+    alike = (F.least("n", "nx") * 100 >= F.greatest("n", "nx") * percent) & (_apart(F.col("sig"), F.col("sx"), size) <= loose)
+    lone = far.join(beside, "key").where((F.col("x") != F.col("rep")) & alike).select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
+    lone = saved(lone, "lone")
 
-    def near(a: str, b: str):
-        return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+    wanted = near.unionByName(lone).select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = saved(docs.join(wanted, "doc_id", "left_semi"), "texts")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = saved(pairs, "pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        texts = saved(docs.join(wanted, "doc_id", "left_semi"), "texts")
-        both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        return saved(both.mapInArrow(confirmer(shingle, percent), "a bigint, b bigint").distinct(), "links")
+        both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+        return both.mapInArrow(confirmer(shingle, percent), "a bigint, b bigint, linked boolean, n_a bigint, n_b bigint, delta array<bigint>")
 
-    first = confirmed(close(held.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()))
+    around = saved(confirmed(near), "around")
+    first = saved(around.where("linked").select("a", "b").unionByName(confirmed(lone).where("linked").select("a", "b")).distinct(), "links")
     member = connected(first, "a", "b")
 
-    placed = held.select("key", "rep").join(member.withColumnRenamed("vertex", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    sized = placed.groupBy("key", "component").agg(F.count("*").alias("size"))
-    mixed = sized.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    open_ = saved(placed.join(mixed, "key").join(packed, "rep"), "open")
-    minor = open_.where("component <> main").select("key", *[F.col(c).alias(f"x_{c}") for c in ("rep", "component", "n", "sig")])
-    across = open_.join(minor, "key").where(
-        (F.col("component") != F.col("x_component")) & ((F.col("component") == F.col("main")) | (F.col("rep") > F.col("x_rep"))) & near("n", "x_n") & (_apart(F.col("sig"), F.col("x_sig"), size) <= int(LOOSE * size))
-    )
-    second = confirmed(across.select(F.least("rep", "x_rep").alias("a"), F.greatest("rep", "x_rep").alias("b")).distinct())
-
-    links = first.unionByName(second)
-    member = connected(links, "a", "b")
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
-    classes = reps.select(*same, "rep").join(member.withColumnRenamed("vertex", "rep"), "rep", "left").join(degree, "rep", "left")
+    # members of a pivot against each other, across components
+    rows = around.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), F.col("n_b").alias("n"), "delta")
+    rows = rows.join(member.withColumnRenamed("vertex", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    sized = rows.groupBy("pivot", "component").agg(F.count("*").alias("rows"), F.sum(F.size("delta")).alias("load"))
+    mixed = sized.groupBy("pivot").agg(F.max_by("component", F.struct("rows", "component")).alias("main"), F.count("*").alias("parts"), F.sum("rows").alias("rows"), F.sum("load").alias("load"), F.max(F.struct("rows", "component", "load")).alias("most"))
+    blocks = lambda rows, load: F.greatest(F.ceil(rows / BLOCK_ROWS), F.ceil(load / BLOCK_LOAD), F.lit(1)).cast("int")
+    mixed = mixed.where("parts > 1").select("pivot", "main", blocks(F.col("rows"), F.col("load")).alias("ny"), blocks(F.col("rows") - F.col("most.rows"), F.col("load") - F.col("most.load")).alias("nx"))
+    open_ = saved(rows.join(mixed, "pivot"), "open")
+    block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    kept = ["pivot", "rep", "component", "n", "delta"]
+    minor = open_.where("component <> main").select(*kept, block("nx").alias("x"), each("ny").alias("y"))
+    whole = open_.select(*kept, block("ny").alias("y"), each("nx").alias("x"))
+    second = saved(minor.groupBy("pivot", "x", "y").cogroup(whole.groupBy("pivot", "x", "y")).applyInArrow(comparer(percent), "a bigint, b bigint"), "more")
+
+    member = connected(member.select(F.col("vertex").alias("a"), F.col("component").alias("b")).unionByName(second), "a", "b")
+    classes = reps.select(*same, "rep").join(member.withColumnRenamed("vertex", "rep"), "rep", "left")
     out = signed.where("doc_id IS NOT NULL").drop("signature").join(classes, same, "left")
-    out = out.select(
-        "doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links")
-    )
-    lost = signed.where("doc_id IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("bigint").alias("component_id"), F.lit(None).cast("bigint").alias("class_id"), F.lit(0).cast("bigint").alias("links"))
-    return out.unionByName(lost).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "class_id", "links")
+    out = out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("class_id"))
+    nothing = F.lit(None).cast("bigint")
+    out = out.unionByName(signed.where("doc_id IS NULL").select("doc_id", "n_shingles", nothing.alias("component_id"), nothing.alias("class_id")))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "class_id")
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
