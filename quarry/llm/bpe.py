@@ -176,15 +176,15 @@ def _digests(vocabulary: str):
 def encoded(docs: DataFrame, vocabulary: str, digest: bool = True) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``, or with ``digest=False`` ``ids`` (binary).
 
-    Null and empty texts have no ids. Rows that repeat a doc_id, even with other texts, and null
-    ids are encoded in place, each by itself. Other columns are ignored.
+    Null and empty texts have no ids. Every row gives a row; rows that repeat a doc_id with other
+    texts, and null ids, are encoded in place, each by itself. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     listed = docs.where("doc_id IS NOT NULL").mapInArrow(_listing, "chunk bigint, doc_id bigint, k int")
     place = F.struct("doc_id", "k")
     owners = listed.groupBy("chunk").agg(F.min(place).alias("owner"), F.max("doc_id").alias("last")).where(F.col("last") > F.col("owner.doc_id")).select("chunk", "owner")
-    uses = saved(listed.join(owners, "chunk"), "uses")
-    # a repeated doc_id can't say which of its texts is meant
+    uses = saved(listed.join(owners, "chunk").distinct(), "uses")
+    # a doc_id with several texts can't say which is meant
     single = uses.groupBy("doc_id", "k").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.max("n").alias("n")).where("n = 1").select("doc_id")
     part = docs.where("doc_id IS NOT NULL").join(single, "doc_id", "left_semi")
 

@@ -22,6 +22,7 @@ from .common import saved, table
 BINS, FENCE, LEAST = 200, 3, 50
 #: The least interquartile range of each share.
 SHARES = {"symbol_share": 0.01, "echo_share": 0.05, "line_share": 0.15}
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_echo_words", "n_repeat_words")
 GAP = r"[\x20\x09-\x0D]"
 
 
@@ -114,22 +115,35 @@ def thresholds(docs: DataFrame) -> DataFrame:
     return joined.select("lang", "source", F.col("own_total").alias("n_documents"), level.alias("level"), *[pick(s).alias(f"max_{s}") for s in SHARES])
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """Each document's counts, shares, limits and verdict.
-
-    Base rules: under 20 words, or over 30 % of the words in repeated windows. Null texts have no
-    words and fail; null languages and sources are groups of their own. Ties and repeated rows are
-    judged alike. An empty table gives no rows.
-    """
-    docs = docs.select(F.col("doc_id"), F.col("lang"), F.col("source"), F.col("text").cast("string").alias("text"))
-    counted = saved(with_shares(with_counts(docs).drop("text")), "counted")
-    limits = saved(thresholds(counted), "limits").select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "level", *[f"max_{s}" for s in SHARES])
+def _judged(docs: DataFrame, *keep: str) -> DataFrame:
+    counted = saved(with_shares(with_counts(docs)).select(*keep, "lang", "source", *COUNTS, *SHARES), "counted")
+    limits = saved(thresholds(counted), "limits").select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[f"max_{s}" for s in SHARES])
     joined = counted.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     within = F.lit(True)
     for s in SHARES:
         within = within & (F.col(s) <= F.col(f"max_{s}"))
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.coalesce(within, F.lit(True))).alias("kept"))
+    return joined.withColumns({"base_failed": failed, "kept": ~failed & F.coalesce(within, F.lit(True))})
+
+
+def judged(docs: DataFrame) -> DataFrame:
+    """Each document's counts and verdict.
+
+    Base rules: under 20 words, or over 30 % of the words in repeated windows. Null texts have no
+    words and fail; null languages and sources are groups of their own. Ties and repeated rows are
+    judged alike. An empty table gives no rows. Other columns are ignored.
+    """
+    docs = docs.select("doc_id", "lang", "source", F.col("text").cast("string").alias("text"))
+    return _judged(docs, "doc_id").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def passing(docs: DataFrame) -> DataFrame:
+    """The documents that are kept, row by row, in their own columns.
+
+    They are written once with their counts; only the limits are joined, so no text is shuffled.
+    """
+    named = docs.select(F.struct("*").alias("_row"), "lang", "source", F.col("text").cast("string").alias("text"))
+    return _judged(named, "_row").where("kept").select("_row.*")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

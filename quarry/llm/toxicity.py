@@ -231,6 +231,22 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, score double, predicted int, significance double, passages array<struct<first_token bigint, end_token bigint, score double, log10_chance double>>")
 
 
+def clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` whose text isn't predicted toxic, in their own columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, score_of = Words(GAPS, SEED, PREFIXES), model.scorer()
+        for batch in sliced(batches):
+            mask = []
+            for _, texts in words.texts(*buffers(batch.column("text"))):
+                for w in texts:
+                    found = [x for _, _, x in segments(score_of(w))]
+                    mask.append(model.score(model.significance(found, len(w))) < 0.5)
+            yield batch.filter(pa.array(mask, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = scored(docs, fit(docs, table(spark, sf_dir, "labels")))
