@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
-_MODULES = [f"quarry.operators.{m}" for m in ("health", "joins", "ranking", "stats", "windows")]
+_MODULES = [f"quarry.operators.{m}" for m in ("health", "joins", "listing_text", "ranking", "stats", "windows")]
 
 
 def query(name: str, oracle: str | None = None):
