@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK = 1 << 21
+#: 512 bitmaps of 4 KB.
+SIEVE_BITS = 1 << 24
 SPACES = b" \t\n\x0b\x0c\r"
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -51,6 +53,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
 
 
+def sieve(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Adds ``maybe``: false only if no row of ``wanted`` has the doc_id.
+
+    A bitmap of ``SIEVE_BITS`` bits is broadcast, so a text that it rules out need not be shuffled
+    to a join. Its size is fixed: where the wanted ids fill it, it lets more rows through.
+    """
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE_BITS))
+    bits = wanted.select(at.alias("at")).groupBy(F.expr("at DIV 32768").alias("_part")).agg(F.expr("bitmap_construct_agg(CAST(at % 32768 AS BIGINT))").alias("_bits"))
+    seen = docs.withColumn("_at", at).join(F.broadcast(bits), F.expr("_at DIV 32768") == F.col("_part"), "left")
+    byte = F.conv(F.hex(F.expr("substring(_bits, CAST((_at % 32768) DIV 8 AS INT) + 1, 1)")), 16, 10).cast("int")
+    return seen.withColumn("maybe", F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, CAST(_at % 8 AS INT))")) != 0, F.lit(False))).drop("_at", "_part", "_bits")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit (the finalizer of splitmix64)."""
     x = x ^ (x >> np.uint64(30))

@@ -30,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, buffers, mix, record, saved, sliced, table
+from .common import Words, buffers, mix, record, saved, sieve, sliced, table
 from .components import connected
 
 #: Signature errors a candidate may have, as a share of its symbols. At similarity 0.8 a fifth is expected; more than this has a chance of about 1e-6.
 LOOSE = 0.43
+#: Errors up to which a member is near its pivot, as a share of the symbols (a similarity of about 0.4).
+NEAR = 0.6
 #: A block of members has about so many rows, and hashes in their differences.
 BLOCK_ROWS, BLOCK_LOAD = 512, 1 << 18
 
@@ -241,7 +243,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, chunks
     left = packed.select(F.col("rep").alias("pivot"), F.col("sig").alias("sa"))
     right = packed.select("rep", F.col("sig").alias("sb"))
     star = held.where("rep <> pivot").select("pivot", "rep").distinct().join(left, "pivot").join(right, "rep")
-    star = saved(star.select("pivot", "rep", (_apart(F.col("sa"), F.col("sb"), size) <= loose).alias("near")), "star")
+    star = saved(star.select("pivot", "rep", (_apart(F.col("sa"), F.col("sb"), size) <= int(NEAR * size)).alias("near")), "star")
     near = star.where("near").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
 
     # members far from their pivot against their bucket
@@ -253,7 +255,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, chunks
     lone = saved(lone, "lone")
 
     wanted = near.unionByName(lone).select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = saved(docs.join(wanted, "doc_id", "left_semi"), "texts")
+    wanted = saved(wanted, "wanted")
+    texts = saved(sieve(docs, wanted).where("maybe").drop("maybe").join(wanted, "doc_id", "left_semi"), "texts")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
