@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from ..plans.search import Spec, browse, parse, relaxed
 from ..registry import query
-from ..sources.tables import LISTINGS, ORDERS_TODAY, listings, load
+from ..sources.tables import LISTINGS, ORDERS_TODAY, listings, load, today
 
-TODAY = F.lit(ORDERS_TODAY).cast("date")
 
 
 def within_miles(lat: Column, lng: Column, at: tuple[float, float], miles: float) -> Column:
@@ -60,7 +59,7 @@ def radius(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {LISTINGS} SELECT id FROM listings WHERE (status = 'available' AND auction_date >= DATE '2001-07-26') OR (status = 'stc' AND auction_date BETWEEN DATE '2001-07-03' AND DATE '{ORDERS_TODAY}') OR (status = 'stc' AND auction_date > DATE '{ORDERS_TODAY}')""")
 def served_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, d = F.col("status"), F.col("auction_date")
-    return listings(spark, sf_dir).where(((s == "available") & (d >= F.date_sub(TODAY, 7))) | ((s == "stc") & d.between(F.date_sub(TODAY, 30), TODAY)) | ((s == "stc") & (d > TODAY))).select("id")
+    return listings(spark, sf_dir).where(((s == "available") & (d >= F.date_sub(today(), 7))) | ((s == "stc") & d.between(F.date_sub(today(), 30), today())) | ((s == "stc") & (d > today()))).select("id")
 
 
 @query("f13_browse", f"WITH {_SEARCH} SELECT id FROM s WHERE (price IS NULL OR price <= 120000) AND beds >= 3 AND kind = 'house' AND area IN ('B', 'CV')")

@@ -9,16 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..registry import query
-from ..sources.tables import EVENTS, EVENTS_NOW, LISTINGS, ORDERS_TODAY, events, listings, load
+from ..sources.tables import EVENTS, EVENTS_NOW, LISTINGS, ORDERS_TODAY, events, listings, load, now, today
 
-NOW = F.lit(EVENTS_NOW).cast("timestamp")
-TODAY = F.lit(ORDERS_TODAY).cast("date")
 FAILED, PERSISTED, SEEN = "error", "purchase", "view"
 
 
 def since(days: int, at: str = "ts") -> Column:
     """Rows of the last ``days`` days before the clock."""
-    return (F.col(at) >= NOW - F.expr(f"INTERVAL {days} DAY")) & (F.col(at) < NOW)
+    return (F.col(at) >= now() - F.expr(f"INTERVAL {days} DAY")) & (F.col(at) < now())
 
 
 def is_(kind: str, at: str = "event_type") -> Column:
@@ -70,7 +68,7 @@ SELECT user_id AS house, max(ts) FILTER (event_type = 'purchase') AS last_ok, da
 FROM events GROUP BY 1 HAVING last_ok IS NULL OR last_ok < TIMESTAMP '{EVENTS_NOW}' - INTERVAL 7 DAY""")
 def dormant_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = events(spark, sf_dir).groupBy(F.col("user_id").alias("house")).agg(F.max(F.when(is_(PERSISTED), F.col("ts"))).alias("last_ok"))
-    return last.where(F.col("last_ok").isNull() | (F.col("last_ok") < NOW - F.expr("INTERVAL 7 DAY"))).withColumn("days", F.datediff(NOW.cast("date"), F.col("last_ok").cast("date")).cast("bigint"))
+    return last.where(F.col("last_ok").isNull() | (F.col("last_ok") < now() - F.expr("INTERVAL 7 DAY"))).withColumn("days", F.datediff(now().cast("date"), F.col("last_ok").cast("date")).cast("bigint"))
 
 
 @query("a04_spend_by_endpoint_24h", f"""
@@ -184,7 +182,7 @@ WITH {LISTINGS} SELECT count(*) FILTER (DATE '{ORDERS_TODAY}' - auction_date < 1
   count(*) FILTER (DATE '{ORDERS_TODAY}' - auction_date BETWEEN 7 AND 13) AS d7_14, count(*) FILTER (DATE '{ORDERS_TODAY}' - auction_date >= 14) AS over_14d,
   count(*) FILTER (status <> 'sold' AND DATE '{ORDERS_TODAY}' - auction_date <= 30) AS backlog_in, count(*) FILTER (status <> 'sold' AND DATE '{ORDERS_TODAY}' - auction_date > 30) AS backlog_out FROM listings""")
 def freshness_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    age, open_ = F.datediff(TODAY, F.col("auction_date")), F.col("status") != "sold"
+    age, open_ = F.datediff(today(), F.col("auction_date")), F.col("status") != "sold"
     return listings(spark, sf_dir).agg(
         F.count_if(age < 1).alias("under_1d"), F.count_if(age.between(1, 6)).alias("d1_7"), F.count_if(age.between(7, 13)).alias("d7_14"), F.count_if(age >= 14).alias("over_14d"),
         F.count_if(open_ & (age <= 30)).alias("backlog_in"), F.count_if(open_ & (age > 30)).alias("backlog_out"),
@@ -195,7 +193,7 @@ def freshness_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {LISTINGS} SELECT house, count(*) FILTER (status = 'available') AS available, count(*) FILTER (status = 'available' AND auction_date >= DATE '2001-07-26') AS fresh, count(*) FILTER (nullif(price, 0) IS NULL) AS null_price, max(auction_date) AS last_seen FROM listings GROUP BY house""")
 def house_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     ok = F.col("status") == "available"
-    return listings(spark, sf_dir).groupBy("house").agg(F.count_if(ok).alias("available"), F.count_if(ok & (F.col("auction_date") >= F.date_sub(TODAY, 7))).alias("fresh"), F.count_if(F.nullif("price", F.lit(0)).isNull()).alias("null_price"), F.max("auction_date").alias("last_seen"))
+    return listings(spark, sf_dir).groupBy("house").agg(F.count_if(ok).alias("available"), F.count_if(ok & (F.col("auction_date") >= F.date_sub(today(), 7))).alias("fresh"), F.count_if(F.nullif("price", F.lit(0)).isNull()).alias("null_price"), F.max("auction_date").alias("last_seen"))
 
 
 @query("a16_fleet_score", f"""
@@ -205,7 +203,7 @@ SELECT house, class, n, live, CASE class WHEN 'full' THEN 1.0::DOUBLE WHEN 'part
   (SELECT sum(n * CASE class WHEN 'full' THEN 1.0::DOUBLE WHEN 'partial' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) * 100 / sum(n) FROM c) AS fleet_pct FROM c""")
 def fleet_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     spine = listings(spark, sf_dir).groupBy("house").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "available").alias("live"), F.max("auction_date").alias("last"))
-    kind = F.when(F.col("live") == 0, "empty").when(F.col("last") < F.date_sub(TODAY, 7), "dark").when(F.col("live") * 3 < F.col("n"), "partial").otherwise("full")
+    kind = F.when(F.col("live") == 0, "empty").when(F.col("last") < F.date_sub(today(), 7), "dark").when(F.col("live") * 3 < F.col("n"), "partial").otherwise("full")
     graded = spine.withColumn("class", kind).withColumn("credit", F.when(F.col("class") == "full", 1.0).when(F.col("class") == "partial", 0.5).otherwise(0.0))
     fleet = graded.agg((F.sum(F.col("n") * F.col("credit")) * 100 / F.sum("n")).alias("fleet_pct"))
     return graded.drop("last").crossJoin(F.broadcast(fleet))  # one row
@@ -231,7 +229,7 @@ def weighted_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {LISTINGS}, h AS (SELECT house, count(*) FILTER (auction_date >= DATE '2001-07-26') AS fresh, max(auction_date) >= DATE '2001-06-01' AS reachable FROM listings GROUP BY house)
 SELECT CASE WHEN fresh > 0 THEN 'live' WHEN reachable THEN 'silent' ELSE 'unreachable' END AS bucket, count(*) AS houses FROM h GROUP BY 1""")
 def liveness_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per = listings(spark, sf_dir).groupBy("house").agg(F.count_if(F.col("auction_date") >= F.date_sub(TODAY, 7)).alias("fresh"), (F.max("auction_date") >= F.lit("2001-06-01").cast("date")).alias("reachable"))
+    per = listings(spark, sf_dir).groupBy("house").agg(F.count_if(F.col("auction_date") >= F.date_sub(today(), 7)).alias("fresh"), (F.max("auction_date") >= F.lit("2001-06-01").cast("date")).alias("reachable"))
     return per.groupBy(F.when(F.col("fresh") > 0, "live").when(F.col("reachable"), "silent").otherwise("unreachable").alias("bucket")).agg(F.count("*").alias("houses"))
 
 
@@ -241,5 +239,5 @@ SELECT house, 'many_stc' AS issue, 'high' AS severity FROM h WHERE stc * 20 > n
 def quality_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = listings(spark, sf_dir).groupBy("house").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "stc").alias("stc"), F.min("price").alias("low"), F.max("auction_date").alias("last"))
     issue = lambda when, name, severity: F.when(when, F.struct(F.lit(name).alias("issue"), F.lit(severity).alias("severity")))
-    found = F.array_compact(F.array(issue(F.col("stc") * 20 > F.col("n"), "many_stc", "high"), issue(F.col("low") < 2000, "tiny_price", "low"), issue(F.col("last") < F.date_sub(TODAY, 1), "stale", "medium")))
+    found = F.array_compact(F.array(issue(F.col("stc") * 20 > F.col("n"), "many_stc", "high"), issue(F.col("low") < 2000, "tiny_price", "low"), issue(F.col("last") < F.date_sub(today(), 1), "stale", "medium")))
     return per.select("house", F.explode(found).alias("i")).select("house", "i.*")

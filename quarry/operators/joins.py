@@ -145,7 +145,7 @@ def asof_previous(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir).select("event_id", "user_id", "ts", "event_type")
     left = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
     right = e.where("event_type = 'error'").select("user_id", F.col("event_id").alias("id"), F.col("ts").alias("at"))
-    return as_of(left, right, ["user_id"], "ts", "at", "id", "prev_", strict=False).where("true").select("event_id", F.when(F.col("prev_at") < F.col("ts"), F.col("prev_id")).alias("prev_id"), F.when(F.col("prev_at") < F.col("ts"), F.col("prev_at")).alias("prev_ts"))
+    return as_of(left, right, ["user_id"], "ts", "at", "id", "prev_").select("event_id", "prev_id", F.col("prev_at").alias("prev_ts"))
 
 
 @query("j14_year_on_year", """

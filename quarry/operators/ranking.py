@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..registry import query
-from ..sources.tables import LISTINGS, ORDERS_TODAY, events, listings, load
+from ..sources.tables import LISTINGS, ORDERS_TODAY, events, listings, load, today
 from .windows import keep_first
 
-TODAY = F.lit(ORDERS_TODAY).cast("date")
 #: Points of the board's score.
 _SCORE = """least(10, greatest(0, CASE WHEN price < 50000 THEN 3 WHEN price < 100000 THEN 2 WHEN price < 150000 THEN 1 ELSE 0 END
   + CASE deal_type WHEN '1-URGENT' THEN 3 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 1 ELSE 0 END + CASE WHEN balance < 0 THEN 2 ELSE 0 END + CASE WHEN prop_type = 'BUILDING' THEN 1 ELSE 0 END - CASE WHEN status = 'stc' THEN 2 ELSE 0 END))"""
@@ -39,7 +38,7 @@ cal AS (SELECT n_name AS house, min(s_suppkey) AS calendar_id, count(*) AS suppl
 d AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY house, owner, price ORDER BY score DESC, id) = 1)
 SELECT id, d.house, owner, price, status, auction_date, prop_type, deal_type, score, calendar_id, suppliers FROM d LEFT JOIN cal ON d.house = cal.house ORDER BY score DESC NULLS LAST, auction_date, id LIMIT 100""")
 def active_board(spark: SparkSession, sf_dir: str) -> DataFrame:
-    feed = listings(spark, sf_dir).where(fresh(TODAY)).withColumn("score", score())
+    feed = listings(spark, sf_dir).where(fresh(today())).withColumn("score", score())
     calendar = load(spark, sf_dir, "supplier").join(F.broadcast(load(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("house")).agg(F.min("s_suppkey").alias("calendar_id"), F.count("*").alias("suppliers"))
     one = keep_first(feed, ["house", "owner", "price"], [F.desc("score"), "id"])
     board = one.join(calendar, "house", "left").orderBy(F.desc_nulls_last("score"), "auction_date", "id").limit(100)
@@ -53,7 +52,7 @@ def top_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Browse orders by name; 0 and null prices sink.
 ORDERS = {
-    "date_asc": lambda: [F.when(F.col("auction_date") >= TODAY, 0).otherwise(1), F.col("auction_date").asc_nulls_last(), F.desc("score"), F.col("id")],
+    "date_asc": lambda: [F.when(F.col("auction_date") >= today(), 0).otherwise(1), F.col("auction_date").asc_nulls_last(), F.desc("score"), F.col("id")],
     "price_asc": lambda: [F.nullif("price", F.lit(0)).asc_nulls_last(), F.col("id")],
     "price_desc": lambda: [F.coalesce("price", F.lit(0)).desc(), F.col("id")],
     "score": lambda: [F.coalesce("score", F.lit(0)).desc(), F.nullif("price", F.lit(0)).asc_nulls_last(), F.col("id")],

@@ -10,9 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..registry import query
-from ..sources.tables import EVENTS, LISTINGS, ORDERS_TODAY, events, listings, load
+from ..sources.tables import EVENTS, LISTINGS, ORDERS_TODAY, events, listings, load, today
 
-TODAY = F.lit(ORDERS_TODAY).cast("date")
 
 
 def keep_first(df: DataFrame, keys: list, order: list) -> DataFrame:
@@ -238,10 +237,10 @@ WITH {LISTINGS}, w AS (SELECT id, house, auction_date, max(auction_date) OVER (P
 SELECT id, CASE WHEN auction_date >= DATE '2001-07-29' THEN 'keep' WHEN scraped < DATE '2001-07-30' THEN 'unconfirmed' WHEN fresh < ghosts THEN 'held' ELSE 'flip' END AS verdict FROM w""")
 def ghosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows unseen for over four days: flipped only where the house was scraped and has more fresh rows than ghosts."""
-    stale = F.col("auction_date") < F.date_sub(TODAY, 4)
+    stale = F.col("auction_date") < F.date_sub(today(), 4)
     house = Window.partitionBy("house")
     rows = listings(spark, sf_dir).where("status <> 'sold' AND auction_date >= DATE '2001-06-01'")
-    verdict = F.when(~stale, "keep").when(F.max("auction_date").over(house) < F.date_sub(TODAY, 3), "unconfirmed").when(F.count_if(~stale).over(house) < F.count_if(stale).over(house), "held").otherwise("flip")
+    verdict = F.when(~stale, "keep").when(F.max("auction_date").over(house) < F.date_sub(today(), 3), "unconfirmed").when(F.count_if(~stale).over(house) < F.count_if(stale).over(house), "held").otherwise("flip")
     return rows.select("id", verdict.alias("verdict"))
 
 

@@ -7,13 +7,21 @@ and its SQL agree.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Clocks of the registered queries.
 EVENTS_NOW, ORDERS_TODAY = "2024-01-31 00:00:00", "2001-08-02"
 
 
+def now() -> Column:
+    return F.lit(EVENTS_NOW).cast("timestamp")
+
+
+def today() -> Column:
+    return F.lit(ORDERS_TODAY).cast("date")
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     ntz = [f.name for f in df.schema.fields if f.dataType.typeName() == "timestamp_ntz"]
