@@ -9,18 +9,20 @@ has two generations of ``MEMORY`` pieces at most, and a piece that is met again
 from __future__ import annotations
 
 import json
+import os
 import re
 import sys
 import types
+from collections import ChainMap
 from functools import cached_property
 
 import numpy as np
 
-MEMORY = 300_000
+MEMORY = 150_000
 #: A space before white space or the end: white space runs there may join across pieces.
 _RUN = re.compile(r" (?:\s|$)")
-#: Pieces longer than this many characters are not kept.
-LONG = 64
+#: Pieces longer than this many characters are not kept; this many new ones go through the library at once.
+LONG, TOGETHER = 64, 2000
 
 
 def public(name: str) -> str:
@@ -47,6 +49,7 @@ class Encoder:
 
     @cached_property
     def library(self):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(self.path)
@@ -62,33 +65,45 @@ class Encoder:
     def spaced(self) -> bool:
         """True for byte-level pieces that hold the space before them, False where spaces are dropped."""
         with open(self.path, encoding="utf-8") as f:
-            return "end_of_word_suffix" not in (m := json.load(f)["model"]) or not m["end_of_word_suffix"]
+            return not json.load(f)["model"].get("end_of_word_suffix")
+
+    @cached_property
+    def mark(self) -> tuple[str, int] | None:
+        """A special token that parts pieces within one call."""
+        special = {i: t for i, t in self.library.get_added_tokens_decoder().items() if t.special}
+        return next(((t.content, i) for i, t in special.items()), None)
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, missing: set, texts) -> dict:
-        """The ids of pieces that the newer generation lacks; ``texts`` makes a piece a text."""
+    def _together(self, texts: list[str]) -> list[bytes]:
+        """The ids of many short texts from one call: a special token stands between them."""
+        if self.mark is None or any(self.mark[0] in t for t in texts):
+            return self.raw(texts)
+        ids = np.array(self.library.encode(self.mark[0].join(texts), add_special_tokens=False).ids, self.dtype)
+        ends = [*np.flatnonzero(ids == self.mark[1]).tolist(), ids.size]
+        if len(ends) != len(texts):
+            return self.raw(texts)
+        whole, w = ids.tobytes(), self.dtype.itemsize
+        return [whole[w * a : w * b] for a, b in zip([0, *[e + 1 for e in ends]], ends)]
+
+    def known(self, pieces: set, texts) -> dict:
+        """A table that has the ids of all the pieces; ``texts`` makes a piece a text."""
         new, old = self.memory
+        missing = pieces.difference(new)
+        if not missing:
+            return new
+        if len(new) + len(missing) > MEMORY:
+            self.memory[:] = {}, new
+            (new, old), missing = self.memory, pieces
         got = {p: old[p] for p in missing if p in old}
         rest = [p for p in missing if p not in got]
-        got.update(zip(rest, self.raw([texts(p) for p in rest])))
-        if len(new) + len(got) > MEMORY:
-            self.memory[:] = {}, new
-            new = self.memory[0]
+        for i in range(0, len(rest), TOGETHER):
+            some = rest[i : i + TOGETHER]
+            got.update(zip(some, self._together([texts(p) for p in some])))
         new.update((p, b) for p, b in got.items() if len(p) <= LONG)
-        return got
-
-    def pieces(self, lists: list[list], texts) -> list[list[bytes]]:
-        """The ids of every piece of every list."""
-        out = []
-        for some in lists:
-            ids = list(map(self.memory[0].get, some))
-            if None in ids:
-                got = self.learn({p for p, b in zip(some, ids) if b is None}, texts)
-                ids = [got[p] if b is None else b for p, b in zip(some, ids)]
-            out.append(ids)
-        return out
+        long = {p: b for p, b in got.items() if len(p) > LONG}
+        return ChainMap(long, new) if long else new
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""
@@ -96,7 +111,9 @@ class Encoder:
             # a text is cut before single spaces; the first piece has none
             whole = [None if _RUN.search(t) else t.split(" ") for t in texts]
             some = [w for w in whole if w is not None]
-            first = iter(self.raw([w[0] for w in some]))
-            rest = iter(self.pieces([w[1:] for w in some], lambda p: " " + p))
-            return [self.raw([t])[0] if w is None else b"".join([next(first), *next(rest)]) for t, w in zip(texts, whole)]
-        return [b"".join(p) for p in self.pieces([t.encode().split() for t in texts], bytes.decode)]
+            first = iter(self.raw([w.pop(0) for w in some]))
+            get = self.known(set().union(*some), lambda p: " " + p).__getitem__
+            return [self.raw([t])[0] if w is None else next(first) + b"".join(map(get, w)) for t, w in zip(texts, whole)]
+        pieces = [t.encode().split() for t in texts]
+        get = self.known(set().union(*pieces), bytes.decode).__getitem__
+        return [b"".join(map(get, p)) for p in pieces]
