@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, as_bytes, mix, record, saved, sliced, table
+from .common import SPACES, as_bytes, mix, record, saved, sieve, sliced, table
 from .tokens import Encoder, public
 
 WINDOW, BITS, LEAST = 24, 10, 256
@@ -55,43 +55,60 @@ def chunk_hash(chunk: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(chunk, digest_size=8).digest(), "little", signed=True)
 
 
+def _ragged(chunk: bytes) -> tuple[bytes, list[bytes], bytes]:
+    """A chunk's bytes before its first white space, the pieces between, and the bytes after its last.
+
+    A chunk without white space is all head, and its tail is the same bytes.
+    """
+    inner = chunk.split()
+    if len(inner) == 1 and len(inner[0]) == len(chunk):
+        return chunk, [], chunk
+    head = inner.pop(0) if inner and chunk[0] not in SPACES else b""
+    tail = inner.pop() if inner and chunk[-1] not in SPACES else b""
+    return head, inner, tail
+
+
 class Chunks(Encoder):
     """Encodes chunks as lists of whole pieces with their ragged ends, and joins them exactly."""
 
+    def of(self, pieces: list[bytes]) -> bytes:
+        new = self.memory[0]
+        try:
+            return b"".join([new[p] for p in pieces])
+        except KeyError:
+            table = self.known(set(pieces), bytes.decode)
+            return b"".join([table[p] for p in pieces])
+
     def encoded(self, chunk: bytes) -> tuple[bytes, bytes, bytes]:
-        """Bytes before the first white space, ids of the pieces between, bytes after the last.
+        head, inner, tail = _ragged(chunk)
+        return head, self.of(inner), tail
 
-        A chunk without white space is all head, and its tail is the same bytes.
-        """
-        inner = chunk.split()
-        if not any(b in SPACES for b in chunk):
-            return chunk, b"", chunk
-        head = inner.pop(0) if inner and chunk[0] not in SPACES else b""
-        tail = inner.pop() if inner and chunk[-1] not in SPACES else b""
-        return head, b"".join(self.pieces([inner], bytes.decode)[0]), tail
+    def prepare(self, texts: list[bytes], chunks: list[bytes]) -> None:
+        """Learn the pieces of some whole texts, and the whole pieces of some chunks, together."""
+        self.known(set().union(*(t.split() for t in texts), *(_ragged(c)[1] for c in chunks)), bytes.decode)
 
     def joined(self, data: bytes, bounds: list[int], known: dict[int, tuple[bytes, bytes, bytes]]) -> bytes:
         """Ids of a whole text from its chunks; ``known`` has chunks that were encoded elsewhere."""
         ids, open_ = [], b""
         for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
             head, middle, tail = known[k] if k in known else self.encoded(data[a:b])
-            if head == tail == data[a:b]:
+            if head == tail and len(head) == b - a:
                 open_ += head
                 continue
             joint = open_ + head
             if joint:
-                ids.append(self.pieces([[joint]], bytes.decode)[0][0])
+                ids.append(self.of([joint]))
             if k and not self.agrees(data, a, joint):
                 return self.whole(data)
             ids.append(middle)
             open_ = tail
         if open_:
-            ids.append(self.pieces([[open_]], bytes.decode)[0][0])
+            ids.append(self.of([open_]))
         return b"".join(ids)
 
     def agrees(self, data: bytes, at: int, joint: bytes) -> bool:
         """True if the library gives the joint and a neighbour on each side the ids of its pieces."""
-        for reach in (32, 256, 2048):
+        for reach in (16, 256, 2048):
             low, high = max(0, at - len(joint) - reach), min(len(data), at + len(joint) + reach)
             window = data[low:high]
             # the ragged ends of the window are left out
@@ -100,7 +117,7 @@ class Chunks(Encoder):
             if first is None or last is None or not low + first <= at <= low + last:
                 continue
             window = window[first:last]
-            if self.raw([window.decode()])[0] == b"".join(self.pieces([window.split()], bytes.decode)[0]):
+            if self.raw([window.decode()])[0] == self.of(window.split()):
                 return True
         return False
 
@@ -120,17 +137,14 @@ class Chunks(Encoder):
 
 def _listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every chunk of every text: its hash and its number in the document."""
-    schema = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("k", pa.int32())])
+    schema = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("hash", pa.int64()), ("k", pa.int32())])
     for batch in sliced(batches):
-        h, d, n = [], [], []
-        for i, data in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text"))):
+        rows = []
+        for i, h, data in zip(batch.column("doc_id").to_pylist(), batch.column("hash").to_pylist(), as_bytes(batch.column("text"))):
             c = cuts(data)
-            for k, (a, b) in enumerate(zip(c, c[1:])):
-                h.append(chunk_hash(data[a:b]))
-                d.append(i)
-                n.append(k)
-        if h:
-            yield record(schema, h, d, n)
+            rows += [(chunk_hash(data[a:b]), i, h, k) for k, (a, b) in enumerate(zip(c, c[1:]))]
+        if rows:
+            yield record(schema, *zip(*rows))
 
 
 _ENCODED = pa.struct([("k", pa.int32()), ("head", pa.binary()), ("ids", pa.binary()), ("tail", pa.binary())])
@@ -143,11 +157,12 @@ def _owned(vocabulary: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, most=1 << 20):
-            rows = []
-            for data, mine in zip(as_bytes(batch.column("text")), batch.column("own").to_pylist()):
-                if mine:
-                    c = cuts(data)
-                    rows += [(chunk_hash(data[c[k] : c[k + 1]]), *encoder.encoded(data[c[k] : c[k + 1]])) for k in mine]
+            mine = []
+            for data, ks in zip(as_bytes(batch.column("text")), batch.column("own").to_pylist()):
+                c = cuts(data)
+                mine += [data[c[k] : c[k + 1]] for k in ks]
+            encoder.prepare([], mine)
+            rows = [(chunk_hash(c), *encoder.encoded(c)) for c in mine]
             if rows:
                 yield record(schema, *zip(*rows))
 
@@ -163,9 +178,14 @@ def _digests(vocabulary: str):
         for batch in sliced(batches, most=1 << 20):
             n, out = [], []
             shared = batch.column("shared").to_pylist() if "shared" in batch.schema.names else [None] * batch.num_rows
-            for data, known in zip(as_bytes(batch.column("text")), shared):
-                known = {s["k"]: (s["head"], s["ids"], s["tail"]) for s in known or []}
-                ids = encoder.joined(data, cuts(data), known) if data else b""
+            shared = [{s["k"]: (s["head"], s["ids"], s["tail"]) for s in known or []} for known in shared]
+            texts = as_bytes(batch.column("text"))
+            places = [cuts(data) for data in texts]
+            # only what isn't known yet: chunks that were encoded elsewhere are left out
+            own = [data[a:b] for data, c, known in zip(texts, places, shared) if known for k, (a, b) in enumerate(zip(c, c[1:])) if k not in known]
+            encoder.prepare([data for data, known in zip(texts, shared) if not known], own)
+            for data, c, known in zip(texts, places, shared):
+                ids = encoder.joined(data, c, known) if data else b""
                 out.append(ids)
                 n.append(len(ids) // encoder.dtype.itemsize)
             yield record(schema, batch.column("doc_id"), n, out)
@@ -176,21 +196,21 @@ def _digests(vocabulary: str):
 def encoded(docs: DataFrame, vocabulary: str, digest: bool = True) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``, or with ``digest=False`` ``ids`` (binary).
 
-    Null and empty texts have no ids. Every row gives a row; rows that repeat a doc_id with other
-    texts, and null ids, are encoded in place, each by itself. Other columns are ignored.
+    Null and empty texts have no ids. Every row gives a row, also where a doc_id repeats; rows with
+    a null id are encoded in place. Other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    listed = docs.where("doc_id IS NOT NULL").mapInArrow(_listing, "chunk bigint, doc_id bigint, k int")
-    place = F.struct("doc_id", "k")
-    owners = listed.groupBy("chunk").agg(F.min(place).alias("owner"), F.max("doc_id").alias("last")).where(F.col("last") > F.col("owner.doc_id")).select("chunk", "owner")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
+    key = ["doc_id", "hash"]  # a doc_id may have several texts
+    listed = docs.where("doc_id IS NOT NULL").mapInArrow(_listing, "chunk bigint, doc_id bigint, hash bigint, k int")
+    owners = listed.groupBy("chunk").agg(F.min(F.struct(*key, "k")).alias("owner"), F.max(F.struct(*key)).alias("last")).where((F.col("last.doc_id") != F.col("owner.doc_id")) | (F.col("last.hash") != F.col("owner.hash"))).select("chunk", "owner")
     uses = saved(listed.join(owners, "chunk").distinct(), "uses")
-    # a doc_id with several texts can't say which is meant
-    single = uses.groupBy("doc_id", "k").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.max("n").alias("n")).where("n = 1").select("doc_id")
-    part = docs.where("doc_id IS NOT NULL").join(single, "doc_id", "left_semi")
+    # only documents that may hold a shared chunk are shuffled
+    part = sieve(docs, saved(uses.select("doc_id").distinct(), "sharing"))
 
-    own = uses.where((F.col("owner.doc_id") == F.col("doc_id")) & (F.col("owner.k") == F.col("k"))).groupBy("doc_id").agg(F.collect_list("k").alias("own"))
-    done = saved(part.join(own, "doc_id").select("text", "own").mapInArrow(_owned(vocabulary), "chunk bigint, head binary, ids binary, tail binary"), "encoded")
-    shared = uses.select("doc_id", "k", "chunk").join(done, "chunk").groupBy("doc_id").agg(F.collect_list(F.struct("k", "head", "ids", "tail")).alias("shared"))
+    own = uses.where((F.col("owner.doc_id") == F.col("doc_id")) & (F.col("owner.hash") == F.col("hash")) & (F.col("owner.k") == F.col("k")))
+    own = saved(own.groupBy(*key).agg(F.collect_list("k").alias("own")), "own")
+    done = saved(sieve(docs, own).where("maybe").join(own, key).select("text", "own").mapInArrow(_owned(vocabulary), "chunk bigint, head binary, ids binary, tail binary").dropDuplicates(["chunk"]), "encoded")
+    shared = uses.select(*key, "k", "chunk").join(done, "chunk").groupBy(*key).agg(F.collect_list(F.struct("k", "head", "ids", "tail")).alias("shared"))
 
     run, encoder = _digests(vocabulary)
     if digest:
@@ -209,8 +229,8 @@ def encoded(docs: DataFrame, vocabulary: str, digest: bool = True) -> DataFrame:
         ddl = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     else:
         ddl = "doc_id bigint, n_tokens bigint, ids binary"
-    alone = docs.join(single, "doc_id", "left_anti").mapInArrow(run, ddl)
-    return alone.unionByName(part.join(shared, "doc_id", "left").mapInArrow(run, ddl))
+    alone = part.where("NOT maybe").drop("maybe").mapInArrow(run, ddl)
+    return alone.unionByName(part.where("maybe").drop("maybe").join(shared, key, "left").mapInArrow(run, ddl))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Documents are range-partitioned by doc_id and sorted, so files and the rows in them follow the
 order of ids. Each task writes one file of sequences, ``ids fixed_size_list<uint>[length]`` and
-``mask fixed_size_list<uint8>[length]`` in batches of equal size, and one small index file with
+``mask fixed_size_list<uint8>[length / 8]`` (a bit for each id) in batches of equal size, and one small index file with
 the place of each document. Documents are packed back to back; only a file's last sequence is
 padded, and its mask says where. A reader maps a file and takes sequence i without a copy: the
 offset is i * length * width into one buffer of a batch. A file is written under a name of its
@@ -36,9 +36,11 @@ class SequenceWriter:
     """Packs ids into sequences of ``length`` and writes them batch by batch."""
 
     def __init__(self, sink, dtype: np.dtype, length: int, rows: int):
+        if length % 8:
+            raise ValueError("length must be a multiple of 8")
         self.dtype, self.length, self.size = dtype, length, length * rows
         width = {2: pa.uint16(), 4: pa.uint32()}[dtype.itemsize]
-        self.schema = pa.schema([("ids", pa.list_(width, length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("ids", pa.list_(width, length)), ("mask", pa.list_(pa.uint8(), length // 8))])
         self.out, self.held, self.n = pa.ipc.new_stream(sink, self.schema), bytearray(), 0
 
     def add(self, ids: bytes) -> None:
@@ -50,8 +52,8 @@ class SequenceWriter:
             del self.held[:step]
 
     def _write(self, ids: np.ndarray, real: int) -> None:
-        mask = (np.arange(ids.size) < real).astype(np.uint8)
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
+        mask = np.packbits(np.arange(ids.size) < real, bitorder="little")
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), n) for x, n in ((ids, self.length), (mask, self.length // 8))]
         self.out.write_batch(pa.record_batch(lists, schema=self.schema))
 
     def close(self) -> None:
@@ -63,7 +65,7 @@ class SequenceWriter:
 
 
 def read_sequences(path: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and mask of each batch as ``(rows, length)`` views of the mapped buffers."""
+    """Ids ``(rows, length)`` and mask bits ``(rows, length / 8)`` of each batch, as views of its buffers."""
     where, name = opened(path)
     with where.open_input_file(name) as f, pa.ipc.open_stream(f) as stream:
         for batch in stream:
@@ -136,7 +138,7 @@ def read_token_files(files: DataFrame, path: str) -> DataFrame:
                             have = held.size
                             while have < n:
                                 ids, mask = next(blocks)
-                                pieces.append(ids.ravel()[: int(mask.sum())])
+                                pieces.append(ids.ravel()[: int(np.bitwise_count(mask).sum())])
                                 have += pieces[-1].size
                             held = np.concatenate(pieces) if len(pieces) > 1 else held
                             crc.append(zlib.crc32(held[:n].astype("<u4").tobytes()))

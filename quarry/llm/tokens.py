@@ -18,7 +18,7 @@ from functools import cached_property
 
 import numpy as np
 
-MEMORY = 150_000
+MEMORY = 400_000
 #: A space before white space or the end: white space runs there may join across pieces.
 _RUN = re.compile(r" (?:\s|$)")
 #: Pieces longer than this many characters are not kept; this many new ones go through the library at once.
@@ -32,6 +32,19 @@ def public(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: What byte-level tokenizers split by, and the order of bytes in their alphabet.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Pieces of these characters alone are split here; all others go through the library whole.
+_PLAIN = re.compile(r"[\n\x21-\x7e\xa1-\xac\xae-\u012f\u0131-\u024f]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter of each byte: printable ones stand for themselves, the rest follow from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
     """Ids of texts exactly as ``Tokenizer.from_file(path)`` gives them, without special tokens added."""
 
@@ -87,6 +100,59 @@ class Encoder:
         whole, w = ids.tobytes(), self.dtype.itemsize
         return [whole[w * a : w * b] for a, b in zip([0, *[e + 1 for e in ends]], ends)]
 
+    @cached_property
+    def split(self):
+        """The pattern that parts a piece into the model's words, if the file names one that is known here."""
+        import regex
+
+        with open(self.path, encoding="utf-8") as f:
+            whole = json.load(f)
+        pre, norm = whole.get("pre_tokenizer") or {}, whole.get("normalizer")
+        if self.spaced:
+            ok = norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
+            return regex.compile(BYTE_LEVEL) if ok else None
+        steps = pre.get("pretokenizers") or [{}]
+        ok = len(steps) == 2 and steps[0].get("type") == "Split" and steps[0].get("invert") and steps[0].get("behavior") == "Removed" and steps[1].get("type") == "ByteLevel" and not steps[1].get("use_regex")
+        return regex.compile(steps[0]["pattern"]["Regex"]) if ok and "Regex" in steps[0]["pattern"] else None
+
+    @cached_property
+    def letters(self) -> dict[int, str]:
+        return byte_letters()
+
+    def _word(self, word: str) -> bytes:
+        """Ids of one of the model's words, from the library's model."""
+        return np.array([t.id for t in self.library.model.tokenize(word.encode().decode("latin-1").translate(self.letters))], self.dtype).tobytes()
+
+    def _pieces(self, texts: list[str]) -> list[bytes]:
+        """Ids of short texts: plain ones word by word, with a memory of words; others through the library."""
+        plain = [i for i, t in enumerate(texts) if _PLAIN.fullmatch(t, 1 if self.spaced else 0) and "<|" not in t and len(t) <= LONG] if self.split else []
+        out: list[bytes | None] = [None] * len(texts)
+        forms = [texts[i] for i in plain]
+        if forms and self.library.normalizer is not None:
+            forms = self.library.normalizer.normalize_str(" ".join(forms)).split(" ")
+            if len(forms) != len(plain):
+                plain, forms = [], []
+        words = self.words[0]
+        if len(words) > MEMORY:
+            words = self.words[0] = {}
+        for i, form in zip(plain, forms):
+            parts = []
+            for w in self.split.findall(form):
+                ids = words.get(w)
+                if ids is None:
+                    ids = words[w] = self._word(w)
+                parts.append(ids)
+            out[i] = b"".join(parts) if len(parts) != 1 else parts[0]
+        rest = [i for i, b in enumerate(out) if b is None]
+        for i, b in zip(rest, self._together([texts[i] for i in rest]) if rest else []):
+            out[i] = b
+        return out
+
+    @cached_property
+    def words(self) -> list[dict]:
+        kept = sys.modules.setdefault("_quarry_pieces", types.ModuleType("_quarry_pieces"))
+        return kept.__dict__.setdefault(self.path + "#words", [{}])
+
     def known(self, pieces: set, texts) -> dict:
         """A table that has the ids of all the pieces; ``texts`` makes a piece a text."""
         new, old = self.memory
@@ -100,7 +166,7 @@ class Encoder:
         rest = [p for p in missing if p not in got]
         for i in range(0, len(rest), TOGETHER):
             some = rest[i : i + TOGETHER]
-            got.update(zip(some, self._together([texts(p) for p in some])))
+            got.update(zip(some, self._pieces([texts(p) for p in some])))
         new.update((p, b) for p, b in got.items() if len(p) <= LONG)
         long = {p: b for p, b in got.items() if len(p) > LONG}
         return ChainMap(long, new) if long else new
