@@ -7,9 +7,9 @@ level is one closed-form fill: siblings in the order of limit over weight are fu
 and the rest share what is left. A leaf then takes whole epochs and, of one more, the longest
 prefix of its documents in a seeded order whose tokens fit.
 
-The order is an md5 of seed, epoch and doc_id. A leaf's prefix is found from sums of ``4096`` hash
-bins, so only the bin where the budget ends is ordered; the choice itself is a filter on the hash,
-and texts are never shuffled. A hot source is combined before the shuffle like any other.
+The order is an md5 of seed, epoch and doc_id. A leaf's prefix is found from sums of 4096 hash
+bins, then from 4096 bins of the one where the budget ends, so only one row in 16 million of a leaf
+is ordered; the choice itself is a filter on the hash, and texts are never shuffled. A hot source is combined before the shuffle like any other.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ LEVELS = ("domain", "lang", "source")
 #: Fixed values of the registered query: target weights (others weigh 1), the share of all tokens to take, epochs, seed.
 WEIGHTS = {"domain": {"d0": 3, "d1": 2, "d2": 1}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 2}, "source": {}}
 SHARE, EPOCHS, SEED = 0.6, 2, 13
+#: Hex digits of the order key that name a bin, coarse then fine.
+DIGITS = (3, 6)
 GAP = r"[\x20\x09-\x0D]+"
 
 
@@ -89,14 +91,18 @@ def plan(sized: DataFrame, weights: dict, share: float, epochs: int, seed: int)
     whole = F.coalesce(F.least(F.try_divide("budget", "tokens").cast("int"), F.lit(epochs)), F.lit(0))
     leaf = saved(leaf.withColumn("whole", whole).withColumn("rest", F.col("budget") - F.col("whole") * F.col("tokens")), "leaf")
     keyed = saved(_same(sized, leaf.select(*LEVELS, "whole", "rest"), list(LEVELS)).select("doc_id", *LEVELS, "n_tokens", "rest", order_key(F.col("whole"), seed).alias("key")), "keyed")
-    bins = keyed.groupBy(*LEVELS, "rest", F.substring("key", 1, 3).alias("bin")).agg(F.sum("n_tokens").alias("n"))
-    upto = bins.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    edge = upto.where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("n") > F.col("rest"))).select(*LEVELS, "bin", "before")
-    edge = edge.groupBy(*LEVELS).agg(F.min_by(F.struct("bin", "before"), "bin").alias("e")).select(*LEVELS, "e.*")
-    near = _same(keyed, edge.withColumnRenamed("bin", "edge"), list(LEVELS)).where(F.substring("key", 1, 3) == F.col("edge"))
+    near, edge = keyed.withColumn("before", F.lit(0).cast("bigint")), None
+    for digits in DIGITS:
+        bins = near.groupBy(*LEVELS, "rest", "before", F.substring("key", 1, digits).alias("bin")).agg(F.sum("n_tokens").alias("n"))
+        ahead = F.coalesce(F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        upto = bins.withColumn("before", F.col("before") + ahead)
+        edge = upto.where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("n") > F.col("rest")))
+        edge = edge.groupBy(*LEVELS).agg(F.min_by(F.struct("bin", "before"), "bin").alias("e")).select(*LEVELS, F.col("e.bin").alias("edge"), "e.before")
+        edge = saved(edge, "edge")
+        near = _same(near.drop("before", "edge"), edge, list(LEVELS)).where(F.substring("key", 1, digits) == F.col("edge"))
     run = F.col("before") + F.sum("n_tokens").over(Window.partitionBy(*LEVELS).orderBy("key", "doc_id").rangeBetween(Window.unboundedPreceding, Window.currentRow))
     cut = near.withColumn("run", run).where(F.col("run") <= F.col("rest")).groupBy(*LEVELS).agg(F.max(F.struct("key", "doc_id")).alias("cut"))
-    out = _same(_same(leaf, edge.withColumnRenamed("bin", "edge"), list(LEVELS)), cut, list(LEVELS))
+    out = _same(_same(leaf, edge, list(LEVELS)), cut, list(LEVELS))
     # nothing left to part: the whole epoch if no bin passes the rest, else the bins before the edge
     return saved(out.select(*LEVELS, "tokens", "budget", "whole", F.coalesce("edge", F.lit("g")).alias("edge"), F.col("cut.key").alias("cut_key")), "plan")
 
@@ -116,7 +122,7 @@ def mixed(docs: DataFrame, weights: dict = WEIGHTS, share: float = SHARE, epochs
     sized = saved(docs.select("doc_id", *LEVELS, "n_tokens"), "sized")
     chosen = plan(sized, weights, share, epochs, seed).select(*LEVELS, "whole", "edge", "cut_key")
     rows = _same(docs, chosen, list(LEVELS)).withColumn("key", order_key(F.col("whole"), seed))
-    part = (F.col("whole") < epochs) & ((F.substring("key", 1, 3) < F.col("edge")) | F.coalesce(F.col("key") <= F.col("cut_key"), F.lit(False)))
+    part = (F.col("whole") < epochs) & ((F.substring("key", 1, DIGITS[-1]) < F.col("edge")) | F.coalesce(F.col("key") <= F.col("cut_key"), F.lit(False)))
     taken = F.col("whole") + part.cast("int")
     return rows.where(taken > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), taken - 1))).drop("whole", "edge", "cut_key", "key")
 
