@@ -5,6 +5,9 @@ All are built from columns. Patterns avoid lookarounds where the oracle must rea
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -128,36 +131,77 @@ VACANT, LET = r"vacant possession|\bvp\b|\bvacant\b", r"tenant|let to|tenanted|o
 HOUSE, FLAT, LAND = r"semi[- ]?detached|terraced?|detached house|bungalow|cottage|\bhouse\b", r"\bflats?\b|\bapartments?\b|\bmaisonette\b", r"\bland\b|\bplot\b|\bsite\b"
 
 
+def found(t: Column, pattern: str) -> Column:
+    """``t.rlike(pattern)``, but plain alternatives are substring searches, and others run behind one for a part they need."""
+    parts = [""]
+    depth = 0
+    for c in pattern:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            parts.append("")
+        else:
+            parts[-1] += c
+    tests = []
+    for p in parts:
+        plain = re.sub(r"\([^)]*\)\??|\[[^]]*\][?*+]?|\\.[?*+]?|.[?*]", "\0", p)
+        need = max(re.findall(r"[a-z0-9 ]+", plain), key=len, default="")
+        tests.append(t.contains(p) if need == p else t.contains(need) & t.rlike(p) if need else t.rlike(p))
+    return reduce(lambda a, b: a | b, tests)
+
+
+def flags(t: Column) -> dict[str, Column]:
+    """What each pattern finds in a lower-cased narrative; select these before deriving from them, so each runs once."""
+    named = {"poor": POOR, "needs": NEEDS, "good": GOOD, "develops": DEVELOP, "is_vacant": VACANT, "is_let": LET, "house": HOUSE, "flat": FLAT, "land": LAND}
+    out = {k: found(t, p) for k, p in named.items()}
+    out |= {"freehold": t.contains("freehold"), "leasehold": t.contains("leasehold")}
+    return out | {f"signal_{i}": found(t, p) for i, (_, _, p) in enumerate(SIGNALS)}
+
+
+def condition_of(f: dict[str, Column]) -> Column:
+    return F.when(f["poor"], "poor").when(f["needs"], "needs work").when(f["good"], "good")
+
+
+def kind_of(f: dict[str, Column]) -> Column:
+    return F.when(f["house"], "house").when(f["flat"], "flat").when(f["land"], "land").otherwise("other")
+
+
+def vacancy_of(f: dict[str, Column]) -> Column:
+    """True, false, or null if the text doesn't say."""
+    return F.when(f["is_vacant"], True).when(f["is_let"], False)
+
+
 def condition(t: Column) -> Column:
-    return F.when(t.rlike(POOR), "poor").when(t.rlike(NEEDS), "needs work").when(t.rlike(GOOD), "good")
+    return condition_of(flags(t))
 
 
 def kind(t: Column) -> Column:
-    return F.when(t.rlike(HOUSE), "house").when(t.rlike(FLAT), "flat").when(t.rlike(LAND), "land").otherwise("other")
+    return kind_of(flags(t))
 
 
 def vacancy(t: Column) -> Column:
-    """True, false, or null if the text doesn't say."""
-    return F.when(t.rlike(VACANT), True).when(t.rlike(LET), False)
+    return vacancy_of(flags(t))
 
 
-def breakdown(text: Column) -> Column:
+def breakdown_of(f: dict[str, Column]) -> Column:
     """``array<struct<signal, pts>>`` of a narrative, in a fixed order."""
-    t = F.lower(F.coalesce(text, F.lit("")))
     point = lambda when, signal, pts: F.when(when, F.struct(F.lit(signal).alias("signal"), F.lit(float(pts)).alias("pts")))
-    homes = kind(t).isin("house", "flat")
+    state, sort = condition_of(f), kind_of(f)
     found = [
-        point(condition(t) == "needs work", "Needs modernisation", 2),
-        point(condition(t) == "poor", "Poor condition", 2.5),
-        point(t.rlike(DEVELOP) & (kind(t) != "land"), "Development potential", 2),
-        point(t.rlike(DEVELOP) & (kind(t) == "land"), "Development potential", 0.5),
-        point(vacancy(t) & homes, "Vacant", 1),
-        point(t.contains("freehold") & ~t.contains("leasehold") & (kind(t) == "house"), "Freehold", 0.5),
-        *[point(t.rlike(p), s, n) for s, n, p in SIGNALS],
+        point(state == "needs work", "Needs modernisation", 2),
+        point(state == "poor", "Poor condition", 2.5),
+        point(f["develops"] & (sort != "land"), "Development potential", 2),
+        point(f["develops"] & (sort == "land"), "Development potential", 0.5),
+        point(vacancy_of(f) & sort.isin("house", "flat"), "Vacant", 1),
+        point(f["freehold"] & ~f["leasehold"] & (sort == "house"), "Freehold", 0.5),
+        *[point(f[f"signal_{i}"], s, n) for i, (s, n, _) in enumerate(SIGNALS)],
     ]
     return F.array_compact(F.array(*found))
 
 
+def breakdown(text: Column) -> Column:
+    return breakdown_of(flags(F.lower(F.coalesce(text, F.lit("")))))
+
+
 def score(parts: Column) -> Column:
     """The points together, from 0 to 10, to one decimal."""
     total = F.aggregate(parts, F.lit(0.0), lambda s, p: s + p["pts"])

@@ -56,8 +56,12 @@ SELECT doc_id, kind, condition, vacant, greatest(0.0::DOUBLE, least(10.0::DOUBLE
 
 @query("m04_narrative_score", _breakdown_sql())
 def narrative_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.lower("text")
-    return load(spark, sf_dir, "documents").select("doc_id", text.kind(t).alias("kind"), text.condition(t).alias("condition"), text.vacancy(t).alias("vacant"), text.score(text.breakdown(F.col("text"))).alias("score"))
+    """The text is folded once and each pattern runs once; all else is derived from the flags."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("t"))
+    found = docs.select("doc_id", *[c.alias(k) for k, c in text.flags(F.col("t")).items()])
+    f = {k: F.col(k) for k in text.flags(F.col("t"))}
+    parts = found.select("doc_id", text.kind_of(f).alias("kind"), text.condition_of(f).alias("condition"), text.vacancy_of(f).alias("vacant"), text.breakdown_of(f).alias("parts"))
+    return parts.select("doc_id", "kind", "condition", "vacant", text.score(F.col("parts")).alias("score"))
 
 
 @query("m02_price_status", f"""

@@ -87,3 +87,12 @@ def test_merge_policies(spark):
 def test_keep_last_keeps_null_keys(spark):
     df = spark.createDataFrame([(1, "u"), (2, None), (3, "u"), (4, None)], "n int, url string")
     assert sorted(r.n for r in keep_last_by_key(df, "url", "n").collect()) == [2, 3, 4]
+
+
+def test_found_equals_the_pattern(spark):
+    patterns = [text.POOR, text.NEEDS, text.GOOD, text.DEVELOP, text.VACANT, text.LET, text.HOUSE, text.FLAT, text.LAND, *[p for _, _, p in text.SIGNALS]]
+    told = ["two flats", "aflat", "flat", "semi detached", "semidetached villa", "terrace", "terraced", "plot", "plots", "land.", "vp", "mvp", "vp!", "an hmo", "6 week completion", "5weekcompletion", "non standard", "nonstandard", "ews1", "cladding issue", "cladding", "house", "houses", "warehouse", "apartments", "maisonette", ""]
+    df = spark.createDataFrame([(x,) for x in told], "t string")
+    wrong = [text.found(F.col("t"), p) != F.col("t").rlike(p) for p in patterns]
+    assert df.where(F.exists(F.array(*wrong), lambda x: x)).collect() == []
+    assert df.where(text.found(F.col("t"), text.FLAT)).count() == 4
