@@ -3,10 +3,12 @@
 A rule ``host/path`` with a verdict fits its host and all subdomains where the url's path starts
 with the rule's; the longest rule wins. Pages that no rule judges take their host's verdict. Hosts
 are the nodes of a graph whose edges are the absolute links in the pages and a link each way
-between a host and its parent host. A host's seed is the share of its pages that rules allow
-(trust) or block (distrust); listed hosts are seeds of weight 1. Personalised PageRank carries
-trust along the links and distrust against them, ``rank = seed + DAMPING * inflow``; a host is
-blocked where its distrust passes its trust by ``MARGIN``.
+between a host and its parent host, up to the parent of two labels, whether or not that has pages.
+Upwards a host passes only its share of the pages below the parent, so that one small bad host
+doesn't taint a large domain and all under it. A host's seed is the share of its pages that rules
+allow (trust) or block (distrust); listed hosts are seeds of weight 1. Personalised PageRank
+carries trust along the links and distrust against them, ``rank = seed + DAMPING * inflow``; a
+host is blocked where its distrust passes its trust by ``MARGIN``.
 
 Edges and ranks are aggregated before each shuffle, and the loop ends when ranks stand still. A
 hot host costs one row in the graph; the last join, from pages to hosts, can be split by AQE.
@@ -44,21 +46,31 @@ def rule_and_verdict(host: Column, path: Column, rules: list[tuple[str, str]]) -
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """``src, dst, n``: absolute links between hosts, and a link each way between host and parent."""
+    """``src, dst, n, along, against``: absolute links between hosts, and a link each way between host and parent.
+
+    ``n`` counts links; of a link's weight ``along`` is passed from src to dst and ``against`` from
+    dst to src: all of it, but from a host to its parent its share of the pages below the parent.
+    """
     links = pages.where("host <> ''").select(F.col("host").alias("src"), F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(_LINK), 1)).alias("dst"))
-    links = links.select("src", F.translate("dst", _UPPER, _LOWER).alias("dst"))
-    hosts = pages.where("host <> ''").select("host").distinct()
-    up = hosts.select(F.col("host").alias("src"), F.regexp_extract("host", r"^[^.]+\.(.+)$", 1).alias("dst"))
-    up = up.join(hosts.withColumnRenamed("host", "dst"), "dst", "left_semi").select("src", "dst")
-    both = up.unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return links.unionByName(both).where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    links = links.select("src", F.translate("dst", _UPPER, _LOWER).alias("dst")).withColumns({"along": F.lit(1.0), "against": F.lit(1.0)})
+    labels = F.split("host", r"\.")
+    # the host and its ancestors of two labels or more, from the longest
+    names = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    hosts = pages.where("host <> ''").groupBy("host").agg(F.count("*").alias("pages"))
+    below = hosts.select("pages", F.explode(names).alias("host")).groupBy("host").agg(F.sum("pages").alias("pages"))
+    up = below.withColumn("dst", F.when(F.size(labels) > 2, F.array_join(F.slice(labels, F.lit(2), F.size(labels)), ".")))
+    up = up.where("dst IS NOT NULL").select(F.col("host").alias("src"), "dst", "pages")
+    up = up.join(below.select(F.col("host").alias("dst"), F.col("pages").alias("all")), "dst").select("src", "dst", (F.col("pages") / F.col("all")).alias("along"), F.lit(1.0).alias("against"))
+    down = up.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("against").alias("along"), F.col("along").alias("against"))
+    return links.unionByName(up).unionByName(down).where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"), F.sum("along").alias("along"), F.sum("against").alias("against"))
 
 
 def propagated(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """``host, trust, distrust`` from ``host, trust, distrust`` seeds, over weighted edges."""
-    ways = edges.select(F.lit("trust").alias("kind"), "src", "dst", "n").unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
+    ways = edges.select(F.lit("trust").alias("kind"), "src", "dst", "n", F.col("along").alias("part"))
+    ways = ways.unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n", F.col("against").alias("part")))
     out = ways.groupBy("kind", "src").agg(F.sum("n").alias("all"))
-    flow = saved(ways.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("all")).alias("w")), "flow")
+    flow = saved(ways.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("part") / F.col("all")).alias("w")), "flow")
     seed = saved(seeds.select("host", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).cast("double").alias("rank")) for k in ("trust", "distrust")])).alias("s")).select("host", "s.kind", "s.rank").where("rank > 0"), "seed")
     ranks, mark = seed, None
     for _ in range(ROUNDS):

@@ -126,6 +126,19 @@ def test_distrust_runs_against_links_and_trust_along_them(spark):
     assert got["good.test"].verdict == "allow" and got["friend.test"].trust == pytest.approx(0.85)
 
 
+def with_host(pages):
+    return pages.withColumn("host", url_filter.host_and_path(F.col("url"))[0])
+
+
+def test_parents_without_pages_are_nodes(spark):
+    rows = [(1, "http://a.b.site.test/", ""), (2, "http://a.b.site.test/", ""), (3, "http://c.site.test/", ""), (4, "http://alone.test/", "")]
+    edges = url_filter.host_edges(with_host(spark.createDataFrame(rows, "page_id bigint, url string, html string"))).collect()
+    got = {(r.src, r.dst): (r.n, round(r.along, 4), round(r.against, 4)) for r in edges}
+    up = {("a.b.site.test", "b.site.test"): (1, 1.0, 1.0), ("b.site.test", "site.test"): (1, 0.6667, 1.0), ("c.site.test", "site.test"): (1, 0.3333, 1.0)}
+    assert got == up | {(b, a): (n, y, x) for (a, b), (n, x, y) in up.items()}
+    assert url_filter.host_edges(with_host(table(spark, SF, "pages"))).count() > 0
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_encoder_equals_library(name):
     from tokenizers import Tokenizer
