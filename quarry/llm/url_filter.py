@@ -10,18 +10,25 @@ allow (trust) or block (distrust); listed hosts are seeds of weight 1. Personali
 carries trust along the links and distrust against them, ``rank = seed + DAMPING * inflow``; a
 host is blocked where its distrust passes its trust by ``MARGIN``.
 
-Edges and ranks are aggregated before each shuffle, and the loop ends when ranks stand still. A
-hot host costs one row in the graph; the last join, from pages to hosts, can be split by AQE.
+Edges and ranks are aggregated before each shuffle, and the loop ends when no rank changes by more
+than ``STILL``. A round passes on what the last one added, and no host passes on more than it got,
+so the sum of all changes falls by ``DAMPING`` a round and the rounds have a bound; a loop that
+goes beyond it raises. A hot host costs one row in the graph; the last join, from pages to hosts,
+can be split by AQE.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import saved, table
 
-DAMPING, MARGIN, ROUNDS, STILL = 0.85, 0.5, 20, 1e-6
+DAMPING, MARGIN, STILL = 0.85, 0.5, 1e-6
+#: Rounds between two writes.
+STEPS = 3
 #: The rules of the registered query.
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -71,15 +78,24 @@ def propagated(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     ways = ways.unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n", F.col("against").alias("part")))
     out = ways.groupBy("kind", "src").agg(F.sum("n").alias("all"))
     flow = saved(ways.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("part") / F.col("all")).alias("w")), "flow")
-    seed = saved(seeds.select("host", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).cast("double").alias("rank")) for k in ("trust", "distrust")])).alias("s")).select("host", "s.kind", "s.rank").where("rank > 0"), "seed")
-    ranks, mark = seed, None
-    for _ in range(ROUNDS):
-        inflow = flow.join(ranks.withColumnRenamed("host", "src"), ["kind", "src"]).select(F.col("dst").alias("host"), "kind", (F.col("w") * F.col("rank") * DAMPING).alias("rank"))
-        ranks = saved(seed.unionByName(inflow).groupBy("host", "kind").agg(F.sum("rank").alias("rank")), "ranks")
-        total = ranks.agg(F.sum("rank")).first()[0] or 0.0
-        if mark is not None and abs(total - mark) <= STILL * max(total, 1.0):
-            break
-        mark = total
+    seed = seeds.select("host", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).cast("double").alias("rank")) for k in ("trust", "distrust")])).alias("s"))
+    ranks = saved(seed.select("host", "s.kind", "s.rank", F.col("s.rank").alias("new")).where("rank > 0"), "seed")
+    most, mass = ranks.agg(F.max("new"), F.sum("new")).first()
+    left = math.ceil(math.log(max(mass or 0.0, STILL) / STILL, 1 / DAMPING)) + 2
+
+    def stepped(ranks: DataFrame) -> DataFrame:
+        inflow = flow.join(ranks.where("new > 0").select(F.col("host").alias("src"), "kind", "new"), ["kind", "src"]).select(F.col("dst").alias("host"), "kind", F.lit(0.0).alias("rank"), (F.col("w") * F.col("new") * DAMPING).alias("new"))
+        both = ranks.select("host", "kind", "rank", F.lit(0.0).alias("new")).unionByName(inflow)
+        return both.groupBy("host", "kind").agg((F.sum("rank") + F.sum("new")).alias("rank"), F.sum("new").alias("new"))
+
+    while (most or 0.0) > STILL:
+        if left <= 0:
+            raise RuntimeError(f"ranks still change by {most}")
+        left -= STEPS
+        for _ in range(STEPS):
+            ranks = stepped(ranks)
+        ranks = saved(ranks, "ranks")
+        most = ranks.agg(F.max("new")).first()[0]
     pick = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("rank"))), F.lit(0.0)).alias(k)
     return ranks.groupBy("host").agg(pick("trust"), pick("distrust"))
 

@@ -139,6 +139,33 @@ def test_parents_without_pages_are_nodes(spark):
     assert url_filter.host_edges(with_host(table(spark, SF, "pages"))).count() > 0
 
 
+def test_ranks_reach_the_fixed_point(spark):
+    hosts = [f"h{i}.test" for i in range(31)]
+    link = '<a href="http://{}/">x</a>'
+    # a chain longer than 20 links, whose end links back
+    rows = [(i, f"http://{h}/", link.format(hosts[(i + 1) % 31])) for i, h in enumerate(hosts)]
+    rows += [(40, "http://x.a.dom.test/", link.format("h3.test") * 3), (41, "http://y.dom.test/", ""), (42, "http://y.dom.test/", "")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.host: (r.trust, r.distrust) for r in url_filter.filtered(df, [], trusted=("h0.test", "y.dom.test"), blocked=("h30.test",)).collect()}
+    edges = {("h3.test", "x.a.dom.test")[::-1]: (3, 3, 3)} | {(h, hosts[(i + 1) % 31]): (1, 1, 1) for i, h in enumerate(hosts)}
+    for a, b, share in (("x.a.dom.test", "a.dom.test", 1), ("a.dom.test", "dom.test", 1 / 3), ("y.dom.test", "dom.test", 2 / 3)):
+        edges |= {(a, b): (1, share, 1), (b, a): (1, 1, share)}
+    names = sorted({h for e in edges for h in e})
+    at = {h: i for i, h in enumerate(names)}
+    want = []
+    for seeds, way in ((("h0.test", "y.dom.test"), 1), (("h30.test",), 2)):
+        part, n = np.zeros((2, len(names), len(names)))
+        for (a, b), e in edges.items():
+            a, b = (a, b) if way == 1 else (b, a)
+            part[at[b], at[a]], n[at[b], at[a]] = e[way], e[0]
+        flow = part / np.maximum(n.sum(axis=0), 1)
+        want.append(np.linalg.solve(np.eye(len(names)) - 0.85 * flow, np.array([float(h in seeds) for h in names])))
+    assert len(got) == 33
+    for h, ranks in got.items():
+        assert ranks == pytest.approx((want[0][at[h]], want[1][at[h]]), abs=1e-4)
+    assert got["h25.test"][0] > 0.85**26
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_encoder_equals_library(name):
     from tokenizers import Tokenizer
