@@ -6,9 +6,9 @@ come from a fixed list of languages; a learned language that isn't in the list i
 own. A linear SVM per family against the rest picks the family; within it, one linear SVM for each
 pair of languages votes, and the margins break ties.
 
-The SVMs learn from at most ``per_language`` labelled documents of each of the ``languages`` most
-frequent languages (those of least hash), outside the held-out fifth; that sample is all that
-reaches the driver. Prediction is a map over the documents.
+The SVMs learn from every language with labelled documents outside the held-out fifth: from at most
+``per_language`` of each (those of least hash), fewer where that would pass ``most`` rows, but one
+at least. That sample is all that reaches the driver. Prediction is a map over the documents.
 """
 
 from __future__ import annotations
@@ -139,11 +139,12 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield record(schema, batch.column("lang"), [r.tobytes() for r in x])
 
 
-def fit(docs: DataFrame, per_language: int = 400, languages: int = 20) -> Model | None:
-    """Learn from at most ``per_language * languages`` documents outside the held-out fifth."""
+def fit(docs: DataFrame, per_language: int = 400, most: int = 8000) -> Model | None:
+    """Learn every language from at most ``most`` documents (or one of each) outside the held-out fifth."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    counts = saved(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    per_language = max(1, min(per_language, most // max(1, counts.count())))
     # a share of each language that is sure to hold enough, cut to the least hashes
     share = F.broadcast(counts.select("lang", (F.lit(3.0 * per_language + 200) / F.col("n")).alias("share")))
     rank = F.xxhash64("doc_id", F.lit(1))

@@ -331,6 +331,23 @@ def test_language_accuracy_and_odd_cases(spark, odd, empty):
     assert language.identified(empty, language.fit(empty)).count() == 0
 
 
+def test_every_language_is_learned_and_the_sample_is_bounded(spark, monkeypatch):
+    rng, rows = np.random.default_rng(6), []
+    for k in range(26):
+        letters = [chr(0x400 + 8 * k + j) for j in range(8)]
+        for i in range(12 if k < 25 else 9):
+            rows.append((100 * k + i, " ".join("".join(rng.choice(letters, 5)) for _ in range(30)), f"q{k:02}"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    sizes, made = [], language.Model
+    monkeypatch.setattr(language, "Model", lambda x, langs: sizes.append(langs) or made(x, langs))
+    model = language.fit(docs)
+    got = {r.doc_id: r.lang_pred for r in language.identified(docs, model).collect()}
+    assert {c for m in model.members.values() for c in m} == {r[2] for r in rows}
+    assert np.mean([got[i] == lang for i, _, lang in rows]) > 0.95
+    language.fit(docs, most=60)
+    assert len(sizes[1]) == 52 and len(set(sizes[1])) == 26
+
+
 def test_segments_equal_brute_force():
     rng = np.random.default_rng(2)
 
