@@ -1,6 +1,7 @@
 """Main text of web pages: a bidirectional LSTM labels every leaf block of a page.
 
-A page is cut into leaf blocks, the runs of text between block-level tags. A block's vector holds
+A page is cut into leaf blocks, the runs of text between block-level tags; only scripts, styles,
+templates and comments are left out. A block's vector holds
 its tag path (tags, and words of class, id and role, hashed), its words (hashed counts) and a few
 shares. The LSTM reads a page's blocks in both directions, so each label depends on the whole page;
 blocks labelled as content are joined in page order.
@@ -32,12 +33,17 @@ WIDTH = PATHS + WORDS + SHARES
 BATCH = 4096
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|math|object|canvas|audio|video)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<(script|style|template)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
     re.S | re.I,
 )
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[a-z]+", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split())
+#: Formulas and drawings stand within a sentence; none of their tags has to be closed.
+INLINE |= frozenset("math semantics annotation annotation-xml maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none".split())
+INLINE |= frozenset("svg animate circle clippath defs desc ellipse filter foreignobject g image line lineargradient marker mask path pattern polygon polyline radialgradient rect stop symbol text textpath tspan use view".split())
+#: Where a tag begins that is never closed.
+_BROKEN = re.compile(r"<[a-zA-Z/!?]")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Opening one of these ends an open paragraph.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -118,8 +124,8 @@ def blocks(page: str) -> list[Block]:
         stack.append((tag, (tag, *(f".{w}" for w in names[:8]))))
         links = 0
     if at < len(page):
-        rest = page[at:]
-        text(rest if "<" not in rest else rest[: rest.index("<")])
+        cut = _BROKEN.search(page, at)
+        text(page[at : cut.start() if cut else len(page)])
     flush()
     return out
 

@@ -243,6 +243,15 @@ def test_html_blocks_and_text(spark):
     assert wrong <= 6
 
 
+def test_html_text_around_and_in_embedded_elements_stays():
+    cut = lambda page: [b.text for b in html_text.blocks(page)]
+    assert cut('<article><p>one</p><svg class="i"/><p>two</p><p>three <svg><path d="x"/></svg>four</p></article>') == ["one", "two", "three four"]
+    assert cut("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>") == ["so x=2 holds"]
+    assert cut("<p>a</p><object data=x><p>b</p></object><noscript>c</noscript><iframe src=x /><p>d</p><video>e</video>") == ["a", "b", "c", "d", "e"]
+    assert cut("<style-guide>a</style-guide><p>b</p><script>c</script><template>d</template><style>e") == ["a", "b"]
+    assert cut("<p>if x < 5 then y") == ["if x < 5 then y"] and cut("<p>a <b") == cut("<p>a </") == cut("<p>a <!-") == ["a"]
+
+
 @pytest.mark.parametrize("data", [b"", b"a", b"ab" * 3000, bytes(range(256)) * 40, random.Random(1).randbytes(40_000)])
 def test_lzw_round_trip(data):
     assert gif.lzw_decode(gif.lzw_encode(data), 8, len(data)) == data
