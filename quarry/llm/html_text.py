@@ -121,7 +121,7 @@ def blocks(page: str) -> list[Block]:
         for other in SIBLINGS.get(tag, ()):
             close(other, LISTS)
         names = [w.lower() for n in _NAMED.finditer(m[4] or "") for w in _PART.findall(n[1] or n[2] or n[3] or "")]
-        stack.append((tag, (tag, *(f".{w}" for w in names[:8]))))
+        stack.append((tag, (tag, *(f".{w}" for w in names))))
         links = 0
     if at < len(page):
         cut = _BROKEN.search(page, at)

@@ -252,6 +252,11 @@ def test_html_text_around_and_in_embedded_elements_stays():
     assert cut("<p>if x < 5 then y") == ["if x < 5 then y"] and cut("<p>a <b") == cut("<p>a </") == cut("<p>a <!-") == ["a"]
 
 
+def test_html_paths_hold_every_name():
+    page = html_text.blocks('<section class="mt-4 px-2 flex items-center md-grid w-full comments"><p>x</p></section>')
+    assert ".comments" in page[0].path and page[0].path.count(".full") == 1
+
+
 @pytest.mark.parametrize("data", [b"", b"a", b"ab" * 3000, bytes(range(256)) * 40, random.Random(1).randbytes(40_000)])
 def test_lzw_round_trip(data):
     assert gif.lzw_decode(gif.lzw_encode(data), 8, len(data)) == data
