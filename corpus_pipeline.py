@@ -31,7 +31,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents by the target weights of the tree; a document of a second epoch comes twice."""
+    """Documents by the target weights of the tree; a document of a second epoch comes twice.
+
+    The budget is ``mixing.SHARE`` of all tokens, so the rest of them goes.
+    """
     return mixing.mixed(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
@@ -48,7 +51,7 @@ STAGES = [
     ("bpe encoding", encode),
 ]
 
-#: Toxicity and near-duplicates are beyond SQL; tests hold the stages against brute force.
+#: Toxicity and near-duplicates are beyond SQL; tests hold near-dedup and encoding against brute force.
 ORACLE_SQL = None
 
 
