@@ -56,9 +56,9 @@ def radius(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("f11_served_feed", f"""
-WITH {LISTINGS} SELECT id FROM listings WHERE (status = 'available' AND auction_date >= DATE '2001-07-26') OR (status = 'stc' AND auction_date BETWEEN DATE '2001-07-03' AND DATE '{ORDERS_TODAY}') OR (status = 'stc' AND auction_date > DATE '{ORDERS_TODAY}')""")
+WITH {LISTINGS} SELECT id FROM listings WHERE (status = 'available' AND sale_date >= DATE '2001-07-26') OR (status = 'stc' AND sale_date BETWEEN DATE '2001-07-03' AND DATE '{ORDERS_TODAY}') OR (status = 'stc' AND sale_date > DATE '{ORDERS_TODAY}')""")
 def served_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, d = F.col("status"), F.col("auction_date")
+    s, d = F.col("status"), F.col("sale_date")
     return listings(spark, sf_dir).where(((s == "available") & (d >= F.date_sub(today(), 7))) | ((s == "stc") & d.between(F.date_sub(today(), 30), today())) | ((s == "stc") & (d > today()))).select("id")
 
 

@@ -126,16 +126,16 @@ def spend_since(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("a10_invariant_findings", f"""
 WITH {LISTINGS}, r AS (
-  SELECT 'stc_in_feed' AS symptom, house AS subject, count(*) AS n FROM listings WHERE status = 'stc' AND auction_date >= DATE '2001-07-02' GROUP BY house
-  UNION ALL SELECT 'feed_floor', 'feed', count(*) FROM listings WHERE status = 'available' AND auction_date >= DATE '2001-07-02' HAVING count(*) < 2000
+  SELECT 'stc_in_feed' AS symptom, house AS subject, count(*) AS n FROM listings WHERE status = 'stc' AND sale_date >= DATE '2001-07-02' GROUP BY house
+  UNION ALL SELECT 'feed_floor', 'feed', count(*) FROM listings WHERE status = 'available' AND sale_date >= DATE '2001-07-02' HAVING count(*) < 2000
   UNION ALL SELECT 'scoring_coverage', house, count(*) FILTER (price < 100000) FROM listings GROUP BY house HAVING count(*) FILTER (price < 100000) * 2 > count(*)
-  UNION ALL SELECT 'house_dark', house, count(*) FROM listings GROUP BY house HAVING max(auction_date) < DATE '2001-07-31')
+  UNION ALL SELECT 'house_dark', house, count(*) FROM listings GROUP BY house HAVING max(sale_date) < DATE '2001-07-31')
 SELECT * FROM r UNION ALL SELECT 'degraded', 'fleet', sum(n)::BIGINT FROM r WHERE symptom = 'house_dark' HAVING count(*) >= 5""")
 def invariant_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = listings(spark, sf_dir)
-    recent = F.col("auction_date") >= F.lit("2001-07-02").cast("date")
+    recent = F.col("sale_date") >= F.lit("2001-07-02").cast("date")
     per = rows.groupBy("house").agg(
-        F.count_if((F.col("status") == "stc") & recent).alias("stc"), F.count_if((F.col("status") == "available") & recent).alias("feed"), F.count_if(F.col("price") < 100000).alias("unscored"), F.count("*").alias("n"), F.max("auction_date").alias("last")
+        F.count_if((F.col("status") == "stc") & recent).alias("stc"), F.count_if((F.col("status") == "available") & recent).alias("feed"), F.count_if(F.col("price") < 100000).alias("unscored"), F.count("*").alias("n"), F.max("sale_date").alias("last")
     )  # one pass; every rule reads these few rows
     rule = lambda symptom, subject, n: F.struct(F.lit(symptom).alias("symptom"), subject.alias("subject"), n.alias("n"))
     dark = F.col("last") < F.lit("2001-07-31").cast("date")
@@ -178,11 +178,11 @@ def day_over_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("a14_freshness_buckets", f"""
-WITH {LISTINGS} SELECT count(*) FILTER (DATE '{ORDERS_TODAY}' - auction_date < 1) AS under_1d, count(*) FILTER (DATE '{ORDERS_TODAY}' - auction_date BETWEEN 1 AND 6) AS d1_7,
-  count(*) FILTER (DATE '{ORDERS_TODAY}' - auction_date BETWEEN 7 AND 13) AS d7_14, count(*) FILTER (DATE '{ORDERS_TODAY}' - auction_date >= 14) AS over_14d,
-  count(*) FILTER (status <> 'sold' AND DATE '{ORDERS_TODAY}' - auction_date <= 30) AS backlog_in, count(*) FILTER (status <> 'sold' AND DATE '{ORDERS_TODAY}' - auction_date > 30) AS backlog_out FROM listings""")
+WITH {LISTINGS} SELECT count(*) FILTER (DATE '{ORDERS_TODAY}' - sale_date < 1) AS under_1d, count(*) FILTER (DATE '{ORDERS_TODAY}' - sale_date BETWEEN 1 AND 6) AS d1_7,
+  count(*) FILTER (DATE '{ORDERS_TODAY}' - sale_date BETWEEN 7 AND 13) AS d7_14, count(*) FILTER (DATE '{ORDERS_TODAY}' - sale_date >= 14) AS over_14d,
+  count(*) FILTER (status <> 'sold' AND DATE '{ORDERS_TODAY}' - sale_date <= 30) AS backlog_in, count(*) FILTER (status <> 'sold' AND DATE '{ORDERS_TODAY}' - sale_date > 30) AS backlog_out FROM listings""")
 def freshness_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    age, open_ = F.datediff(today(), F.col("auction_date")), F.col("status") != "sold"
+    age, open_ = F.datediff(today(), F.col("sale_date")), F.col("status") != "sold"
     return listings(spark, sf_dir).agg(
         F.count_if(age < 1).alias("under_1d"), F.count_if(age.between(1, 6)).alias("d1_7"), F.count_if(age.between(7, 13)).alias("d7_14"), F.count_if(age >= 14).alias("over_14d"),
         F.count_if(open_ & (age <= 30)).alias("backlog_in"), F.count_if(open_ & (age > 30)).alias("backlog_out"),
@@ -190,19 +190,19 @@ def freshness_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("a15_house_freshness", f"""
-WITH {LISTINGS} SELECT house, count(*) FILTER (status = 'available') AS available, count(*) FILTER (status = 'available' AND auction_date >= DATE '2001-07-26') AS fresh, count(*) FILTER (nullif(price, 0) IS NULL) AS null_price, max(auction_date) AS last_seen FROM listings GROUP BY house""")
+WITH {LISTINGS} SELECT house, count(*) FILTER (status = 'available') AS available, count(*) FILTER (status = 'available' AND sale_date >= DATE '2001-07-26') AS fresh, count(*) FILTER (nullif(price, 0) IS NULL) AS null_price, max(sale_date) AS last_seen FROM listings GROUP BY house""")
 def house_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     ok = F.col("status") == "available"
-    return listings(spark, sf_dir).groupBy("house").agg(F.count_if(ok).alias("available"), F.count_if(ok & (F.col("auction_date") >= F.date_sub(today(), 7))).alias("fresh"), F.count_if(F.nullif("price", F.lit(0)).isNull()).alias("null_price"), F.max("auction_date").alias("last_seen"))
+    return listings(spark, sf_dir).groupBy("house").agg(F.count_if(ok).alias("available"), F.count_if(ok & (F.col("sale_date") >= F.date_sub(today(), 7))).alias("fresh"), F.count_if(F.nullif("price", F.lit(0)).isNull()).alias("null_price"), F.max("sale_date").alias("last_seen"))
 
 
 @query("a16_fleet_score", f"""
-WITH {LISTINGS}, s AS (SELECT house, count(*) AS n, count(*) FILTER (status = 'available') AS live, max(auction_date) AS last FROM listings GROUP BY house),
+WITH {LISTINGS}, s AS (SELECT house, count(*) AS n, count(*) FILTER (status = 'available') AS live, max(sale_date) AS last FROM listings GROUP BY house),
 c AS (SELECT *, CASE WHEN live = 0 THEN 'empty' WHEN last < DATE '2001-07-26' THEN 'dark' WHEN live * 3 < n THEN 'partial' ELSE 'full' END AS class FROM s)
 SELECT house, class, n, live, CASE class WHEN 'full' THEN 1.0::DOUBLE WHEN 'partial' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS credit,
   (SELECT sum(n * CASE class WHEN 'full' THEN 1.0::DOUBLE WHEN 'partial' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) * 100 / sum(n) FROM c) AS fleet_pct FROM c""")
 def fleet_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spine = listings(spark, sf_dir).groupBy("house").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "available").alias("live"), F.max("auction_date").alias("last"))
+    spine = listings(spark, sf_dir).groupBy("house").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "available").alias("live"), F.max("sale_date").alias("last"))
     kind = F.when(F.col("live") == 0, "empty").when(F.col("last") < F.date_sub(today(), 7), "dark").when(F.col("live") * 3 < F.col("n"), "partial").otherwise("full")
     graded = spine.withColumn("class", kind).withColumn("credit", F.when(F.col("class") == "full", 1.0).when(F.col("class") == "partial", 0.5).otherwise(0.0))
     fleet = graded.agg((F.sum(F.col("n") * F.col("credit")) * 100 / F.sum("n")).alias("fleet_pct"))
@@ -226,18 +226,18 @@ def weighted_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("a20_liveness_buckets", f"""
-WITH {LISTINGS}, h AS (SELECT house, count(*) FILTER (auction_date >= DATE '2001-07-26') AS fresh, max(auction_date) >= DATE '2001-06-01' AS reachable FROM listings GROUP BY house)
+WITH {LISTINGS}, h AS (SELECT house, count(*) FILTER (sale_date >= DATE '2001-07-26') AS fresh, max(sale_date) >= DATE '2001-06-01' AS reachable FROM listings GROUP BY house)
 SELECT CASE WHEN fresh > 0 THEN 'live' WHEN reachable THEN 'silent' ELSE 'unreachable' END AS bucket, count(*) AS houses FROM h GROUP BY 1""")
 def liveness_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per = listings(spark, sf_dir).groupBy("house").agg(F.count_if(F.col("auction_date") >= F.date_sub(today(), 7)).alias("fresh"), (F.max("auction_date") >= F.lit("2001-06-01").cast("date")).alias("reachable"))
+    per = listings(spark, sf_dir).groupBy("house").agg(F.count_if(F.col("sale_date") >= F.date_sub(today(), 7)).alias("fresh"), (F.max("sale_date") >= F.lit("2001-06-01").cast("date")).alias("reachable"))
     return per.groupBy(F.when(F.col("fresh") > 0, "live").when(F.col("reachable"), "silent").otherwise("unreachable").alias("bucket")).agg(F.count("*").alias("houses"))
 
 
 @query("a21_quality_issues", f"""
-WITH {LISTINGS}, h AS (SELECT house, count(*) AS n, count(*) FILTER (status = 'stc') AS stc, min(price) AS low, max(auction_date) AS last FROM listings GROUP BY house)
+WITH {LISTINGS}, h AS (SELECT house, count(*) AS n, count(*) FILTER (status = 'stc') AS stc, min(price) AS low, max(sale_date) AS last FROM listings GROUP BY house)
 SELECT house, 'many_stc' AS issue, 'high' AS severity FROM h WHERE stc * 20 > n UNION ALL SELECT house, 'tiny_price', 'low' FROM h WHERE low < 2000 UNION ALL SELECT house, 'stale', 'medium' FROM h WHERE last < DATE '2001-08-01'""")
 def quality_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per = listings(spark, sf_dir).groupBy("house").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "stc").alias("stc"), F.min("price").alias("low"), F.max("auction_date").alias("last"))
+    per = listings(spark, sf_dir).groupBy("house").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "stc").alias("stc"), F.min("price").alias("low"), F.max("sale_date").alias("last"))
     issue = lambda when, name, severity: F.when(when, F.struct(F.lit(name).alias("issue"), F.lit(severity).alias("severity")))
     found = F.array_compact(F.array(issue(F.col("stc") * 20 > F.col("n"), "many_stc", "high"), issue(F.col("low") < 2000, "tiny_price", "low"), issue(F.col("last") < F.date_sub(today(), 1), "stale", "medium")))
     return per.select("house", F.explode(found).alias("i")).select("house", "i.*")

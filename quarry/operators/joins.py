@@ -113,30 +113,30 @@ _SEARCHES = "searches AS (SELECT c_custkey AS search_id, c_mktsegment AS kind, c
 
 
 @query("j10_saved_searches", f"""
-WITH {LISTINGS}, {_SEARCHES} SELECT search_id, id FROM searches JOIN listings ON listings.prop_type = searches.kind AND price IS NOT NULL AND price <= max_price AND status = 'available' AND auction_date >= DATE '2001-06-01'""")
+WITH {LISTINGS}, {_SEARCHES} SELECT search_id, id FROM searches JOIN listings ON listings.prop_type = searches.kind AND price IS NOT NULL AND price <= max_price AND status = 'available' AND sale_date >= DATE '2001-06-01'""")
 def saved_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Saved searches against listings: equality on the type bounds the theta part; null prices never match."""
     s = load(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.col("c_custkey").alias("search_id"), F.col("c_mktsegment").alias("prop_type"), (F.col("c_acctbal").cast("decimal(18,2)") * 30).alias("max_price"))
-    feed = listings(spark, sf_dir).where((F.col("status") == "available") & (F.col("auction_date") >= F.lit("2001-06-01").cast("date"))).select("id", "prop_type", "price")
+    feed = listings(spark, sf_dir).where((F.col("status") == "available") & (F.col("sale_date") >= F.lit("2001-06-01").cast("date"))).select("id", "prop_type", "price")
     return s.join(feed, (s.prop_type == feed.prop_type) & (feed.price <= s.max_price)).select("search_id", "id")
 
 
 @query("f15_unsold_alert_top20", f"""
-WITH {LISTINGS}, {_SEARCHES} SELECT search_id, id FROM searches JOIN listings ON listings.prop_type = searches.kind AND price <= max_price AND status = 'stc' QUALIFY row_number() OVER (PARTITION BY search_id ORDER BY auction_date DESC, id) <= 20""")
+WITH {LISTINGS}, {_SEARCHES} SELECT search_id, id FROM searches JOIN listings ON listings.prop_type = searches.kind AND price <= max_price AND status = 'stc' QUALIFY row_number() OVER (PARTITION BY search_id ORDER BY sale_date DESC, id) <= 20""")
 def unsold_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = load(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.col("c_custkey").alias("search_id"), F.col("c_mktsegment").alias("prop_type"), (F.col("c_acctbal").cast("decimal(18,2)") * 30).alias("max_price"))
-    unsold = listings(spark, sf_dir).where("status = 'stc'").select("id", "prop_type", "price", "auction_date")
+    unsold = listings(spark, sf_dir).where("status = 'stc'").select("id", "prop_type", "price", "sale_date")
     hits = s.join(unsold, (s.prop_type == unsold.prop_type) & (unsold.price <= s.max_price))
-    return hits.withColumn("r", F.row_number().over(Window.partitionBy("search_id").orderBy(F.desc("auction_date"), "id"))).where("r <= 20").select("search_id", "id")
+    return hits.withColumn("r", F.row_number().over(Window.partitionBy("search_id").orderBy(F.desc("sale_date"), "id"))).where("r <= 20").select("search_id", "id")
 
 
 @query("j12_asof_relist", f"""
-WITH {LISTINGS}, u AS (SELECT id, owner, auction_date FROM listings WHERE status = 'sold'), n AS (SELECT owner, auction_date, max(id) AS id FROM listings WHERE status = 'available' GROUP BY 1, 2)
-SELECT u.id, max(n.auction_date) AS relisted_on, max_by(n.id, n.auction_date) AS relisted_id FROM u JOIN n ON n.owner = u.owner AND n.auction_date > u.auction_date GROUP BY u.id""")
+WITH {LISTINGS}, u AS (SELECT id, owner, sale_date FROM listings WHERE status = 'sold'), n AS (SELECT owner, sale_date, max(id) AS id FROM listings WHERE status = 'available' GROUP BY 1, 2)
+SELECT u.id, max(n.sale_date) AS relisted_on, max_by(n.id, n.sale_date) AS relisted_id FROM u JOIN n ON n.owner = u.owner AND n.sale_date > u.sale_date GROUP BY u.id""")
 def asof_relist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = listings(spark, sf_dir).select("id", "owner", "auction_date", "status")
-    newest = rows.where("status = 'available'").groupBy("owner").agg(F.max(F.struct("auction_date", "id")).alias("m"))  # the newest later one is the newest of all, if it is later
-    return rows.where("status = 'sold'").join(newest, "owner").where(F.col("m.auction_date") > F.col("auction_date")).select("id", F.col("m.auction_date").alias("relisted_on"), F.col("m.id").alias("relisted_id"))
+    rows = listings(spark, sf_dir).select("id", "owner", "sale_date", "status")
+    newest = rows.where("status = 'available'").groupBy("owner").agg(F.max(F.struct("sale_date", "id")).alias("m"))  # the newest later one is the newest of all, if it is later
+    return rows.where("status = 'sold'").join(newest, "owner").where(F.col("m.sale_date") > F.col("sale_date")).select("id", F.col("m.sale_date").alias("relisted_on"), F.col("m.id").alias("relisted_id"))
 
 
 @query("j13_asof_previous", """

@@ -106,7 +106,7 @@ def property_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("d02_uk_dates", "SELECT o_orderkey, o_orderdate::DATE AS a, o_orderdate::DATE AS b, o_orderdate::DATE AS c FROM orders")
 def uk_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     write = lambda f: text.uk_date(F.date_format("o_orderdate", f))
-    return load(spark, sf_dir, "orders").select("o_orderkey", write("'Auction: 'd'th 'MMMM yyyy").alias("a"), write("dd/MM/yyyy").alias("b"), write("yyyy-MM-dd'T'HH:mm").alias("c"))
+    return load(spark, sf_dir, "orders").select("o_orderkey", write("'Sale: 'd'th 'MMMM yyyy").alias("a"), write("dd/MM/yyyy").alias("b"), write("yyyy-MM-dd'T'HH:mm").alias("c"))
 
 
 @query("d04_sentinel_dates", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate::DATE END AS day FROM orders")

@@ -28,21 +28,21 @@ def score() -> Column:
 
 def fresh(today: Column, window: int = 365) -> Column:
     """The served feed: available and lately seen, or unsold in the last 30 days."""
-    age = F.datediff(today, F.col("auction_date"))
+    age = F.datediff(today, F.col("sale_date"))
     return ((F.col("status") == "available") & (age <= window)) | ((F.col("status") == "stc") & (age <= 30))
 
 
 @query("active_board", f"""
-WITH {LISTINGS}, f AS (SELECT *, {_SCORE} AS score FROM listings WHERE (status = 'available' AND DATE '{ORDERS_TODAY}' - auction_date <= 365) OR (status = 'stc' AND DATE '{ORDERS_TODAY}' - auction_date <= 30)),
+WITH {LISTINGS}, f AS (SELECT *, {_SCORE} AS score FROM listings WHERE (status = 'available' AND DATE '{ORDERS_TODAY}' - sale_date <= 365) OR (status = 'stc' AND DATE '{ORDERS_TODAY}' - sale_date <= 30)),
 cal AS (SELECT n_name AS house, min(s_suppkey) AS calendar_id, count(*) AS suppliers FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1),
 d AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY house, owner, price ORDER BY score DESC, id) = 1)
-SELECT id, d.house, owner, price, status, auction_date, prop_type, deal_type, score, calendar_id, suppliers FROM d LEFT JOIN cal ON d.house = cal.house ORDER BY score DESC NULLS LAST, auction_date, id LIMIT 100""")
+SELECT id, d.house, owner, price, status, sale_date, prop_type, deal_type, score, calendar_id, suppliers FROM d LEFT JOIN cal ON d.house = cal.house ORDER BY score DESC NULLS LAST, sale_date, id LIMIT 100""")
 def active_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     feed = listings(spark, sf_dir).where(fresh(today())).withColumn("score", score())
     calendar = load(spark, sf_dir, "supplier").join(F.broadcast(load(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("house")).agg(F.min("s_suppkey").alias("calendar_id"), F.count("*").alias("suppliers"))
     one = keep_first(feed, ["house", "owner", "price"], [F.desc("score"), "id"])
-    board = one.join(calendar, "house", "left").orderBy(F.desc_nulls_last("score"), "auction_date", "id").limit(100)
-    return board.select("id", "house", "owner", "price", "status", "auction_date", "prop_type", "deal_type", "score", "calendar_id", "suppliers")
+    board = one.join(calendar, "house", "left").orderBy(F.desc_nulls_last("score"), "sale_date", "id").limit(100)
+    return board.select("id", "house", "owner", "price", "status", "sale_date", "prop_type", "deal_type", "score", "calendar_id", "suppliers")
 
 
 @query("t01_top_desc_nulls_last", f"WITH {LISTINGS} SELECT id, nullif(prop_type, 'BUILDING') AS kind, price FROM listings ORDER BY kind DESC NULLS LAST, price DESC, id LIMIT 50")
@@ -52,7 +52,7 @@ def top_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Browse orders by name; 0 and null prices sink.
 ORDERS = {
-    "date_asc": lambda: [F.when(F.col("auction_date") >= today(), 0).otherwise(1), F.col("auction_date").asc_nulls_last(), F.desc("score"), F.col("id")],
+    "date_asc": lambda: [F.when(F.col("sale_date") >= today(), 0).otherwise(1), F.col("sale_date").asc_nulls_last(), F.desc("score"), F.col("id")],
     "price_asc": lambda: [F.nullif("price", F.lit(0)).asc_nulls_last(), F.col("id")],
     "price_desc": lambda: [F.coalesce("price", F.lit(0)).desc(), F.col("id")],
     "score": lambda: [F.coalesce("score", F.lit(0)).desc(), F.nullif("price", F.lit(0)).asc_nulls_last(), F.col("id")],
@@ -60,10 +60,10 @@ ORDERS = {
 
 
 @query("t02_browse_orders", f"""
-WITH {LISTINGS}, s AS (SELECT id, price, auction_date, {_SCORE} AS score FROM listings),
+WITH {LISTINGS}, s AS (SELECT id, price, sale_date, {_SCORE} AS score FROM listings),
 r AS (SELECT id, row_number() OVER (ORDER BY nullif(price, 0) NULLS LAST, id) AS price_asc, row_number() OVER (ORDER BY coalesce(price, 0) DESC, id) AS price_desc FROM s)
 (SELECT 'price_asc' AS sort, id FROM s ORDER BY nullif(price, 0) NULLS LAST, id LIMIT 20) UNION ALL (SELECT 'price_desc', id FROM s ORDER BY coalesce(price, 0) DESC, id LIMIT 20)
-UNION ALL (SELECT 'score', id FROM s ORDER BY coalesce(score, 0) DESC, nullif(price, 0) NULLS LAST, id LIMIT 20) UNION ALL (SELECT 'date_asc', id FROM s ORDER BY CASE WHEN auction_date >= DATE '{ORDERS_TODAY}' THEN 0 ELSE 1 END, auction_date NULLS LAST, score DESC, id LIMIT 20)""")
+UNION ALL (SELECT 'score', id FROM s ORDER BY coalesce(score, 0) DESC, nullif(price, 0) NULLS LAST, id LIMIT 20) UNION ALL (SELECT 'date_asc', id FROM s ORDER BY CASE WHEN sale_date >= DATE '{ORDERS_TODAY}' THEN 0 ELSE 1 END, sale_date NULLS LAST, score DESC, id LIMIT 20)""")
 def browse_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = listings(spark, sf_dir).withColumn("score", score())
     tops = [rows.orderBy(*by()).limit(20).select(F.lit(name).alias("sort"), "id") for name, by in ORDERS.items()]
@@ -96,9 +96,9 @@ def severity_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.select("event_type", "n", F.row_number().over(Window.orderBy(rank, F.desc("n"), "event_type")).alias("place"))
 
 
-@query("t07_digest_top", f"WITH {LISTINGS} SELECT id, {_SCORE} AS score, auction_date FROM listings WHERE status = 'available' ORDER BY score DESC, auction_date DESC, id LIMIT 10")
+@query("t07_digest_top", f"WITH {LISTINGS} SELECT id, {_SCORE} AS score, sale_date FROM listings WHERE status = 'available' ORDER BY score DESC, sale_date DESC, id LIMIT 10")
 def digest_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return listings(spark, sf_dir).where("status = 'available'").select("id", score().alias("score"), "auction_date").orderBy(F.desc("score"), F.desc("auction_date"), "id").limit(10)
+    return listings(spark, sf_dir).where("status = 'available'").select("id", score().alias("score"), "sale_date").orderBy(F.desc("score"), F.desc("sale_date"), "id").limit(10)
 
 
 @query("t09_stale_work", """

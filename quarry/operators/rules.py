@@ -19,14 +19,14 @@ def pounds(rows: DataFrame) -> DataFrame:
 _POUNDS = f"{LISTINGS}, p AS (SELECT *, floor(price)::BIGINT AS pounds FROM listings)"
 
 
-@query("f01_alias_projection", f"WITH {LISTINGS} SELECT id, house AS house_slug, auction_date AS day FROM listings")
+@query("f01_alias_projection", f"WITH {LISTINGS} SELECT id, house AS house_slug, sale_date AS day FROM listings")
 def alias_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return listings(spark, sf_dir).select("id", F.col("house").alias("house_slug"), F.col("auction_date").alias("day"))
+    return listings(spark, sf_dir).select("id", F.col("house").alias("house_slug"), F.col("sale_date").alias("day"))
 
 
-@query("f02_row_mapper", f"WITH {LISTINGS} SELECT id, nullif(owner % 50, 0) * 12 AS annual_rent, CASE WHEN status <> 'sold' THEN auction_date END AS day FROM listings")
+@query("f02_row_mapper", f"WITH {LISTINGS} SELECT id, nullif(owner % 50, 0) * 12 AS annual_rent, CASE WHEN status <> 'sold' THEN sale_date END AS day FROM listings")
 def row_mapper(spark: SparkSession, sf_dir: str) -> DataFrame:
-    day = F.when(F.col("status") == "sold", F.lit("2099-12-31").cast("date")).otherwise(F.col("auction_date"))
+    day = F.when(F.col("status") == "sold", F.lit("2099-12-31").cast("date")).otherwise(F.col("sale_date"))
     return listings(spark, sf_dir).select("id", (F.nullif(F.col("owner") % 50, F.lit(0)) * 12).alias("annual_rent"), real_date(day).alias("day"))
 
 
@@ -80,11 +80,11 @@ def status_families(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Named searches: predicate, order.
-PRESETS = {"cheap": ("pounds < 60000", [("pounds", True)]), "urgent": ("deal_type = '1-URGENT'", [("auction_date", False)]), "in debt": ("balance < 0 AND status <> 'sold'", [("balance", True)])}
+PRESETS = {"cheap": ("pounds < 60000", [("pounds", True)]), "urgent": ("deal_type = '1-URGENT'", [("sale_date", False)]), "in debt": ("balance < 0 AND status <> 'sold'", [("balance", True)])}
 
 
 @query("f16_presets", f"""WITH {_POUNDS}
-(SELECT 'cheap' AS preset, id FROM p WHERE pounds < 60000 ORDER BY pounds, id LIMIT 10) UNION ALL (SELECT 'urgent', id FROM p WHERE deal_type = '1-URGENT' ORDER BY auction_date DESC, id LIMIT 10)
+(SELECT 'cheap' AS preset, id FROM p WHERE pounds < 60000 ORDER BY pounds, id LIMIT 10) UNION ALL (SELECT 'urgent', id FROM p WHERE deal_type = '1-URGENT' ORDER BY sale_date DESC, id LIMIT 10)
 UNION ALL (SELECT 'in debt', id FROM p WHERE balance < 0 AND status <> 'sold' ORDER BY balance, id LIMIT 10)""")
 def presets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, out = pounds(listings(spark, sf_dir)), None
@@ -275,9 +275,9 @@ def reason_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.orderBy(R.ranked(F.col("reason"), REASONS), F.desc("n"), "house", "reason").limit(60)
 
 
-@query("t08_horizon_top", f"WITH {LISTINGS}, o AS (SELECT owner, min(CASE WHEN auction_date >= DATE '{ORDERS_TODAY}' THEN auction_date END) AS soonest FROM listings GROUP BY 1) SELECT owner, soonest FROM o ORDER BY soonest IS NULL, soonest, owner LIMIT 40")
+@query("t08_horizon_top", f"WITH {LISTINGS}, o AS (SELECT owner, min(CASE WHEN sale_date >= DATE '{ORDERS_TODAY}' THEN sale_date END) AS soonest FROM listings GROUP BY 1) SELECT owner, soonest FROM o ORDER BY soonest IS NULL, soonest, owner LIMIT 40")
 def horizon_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per = listings(spark, sf_dir).groupBy("owner").agg(F.min(F.when(F.col("auction_date") >= today(), F.col("auction_date"))).alias("soonest"))
+    per = listings(spark, sf_dir).groupBy("owner").agg(F.min(F.when(F.col("sale_date") >= today(), F.col("sale_date"))).alias("soonest"))
     return per.orderBy(F.col("soonest").asc_nulls_last(), "owner").limit(40)
 
 
@@ -360,19 +360,19 @@ def silent_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.where("fed > 0 AND last = 'error'").select("user_id")
 
 
-@query("d05_stale_dates", f"WITH {LISTINGS} SELECT id, coalesce(CASE WHEN id % 3 <> 0 THEN auction_date END, CASE WHEN auction_date + 14 < DATE '{ORDERS_TODAY}' THEN auction_date + 14 END) AS day FROM listings")
+@query("d05_stale_dates", f"WITH {LISTINGS} SELECT id, coalesce(CASE WHEN id % 3 <> 0 THEN sale_date END, CASE WHEN sale_date + 14 < DATE '{ORDERS_TODAY}' THEN sale_date + 14 END) AS day FROM listings")
 def stale_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return listings(spark, sf_dir).select("id", R.stale_date(F.when(F.col("id") % 3 != 0, F.col("auction_date")), F.col("auction_date"), today()).alias("day"))
+    return listings(spark, sf_dir).select("id", R.stale_date(F.when(F.col("id") % 3 != 0, F.col("sale_date")), F.col("sale_date"), today()).alias("day"))
 
 
 @query("d07_cache_hours", f"""
-WITH {LISTINGS}, t AS (SELECT id, CASE deal_type WHEN '1-URGENT' THEN 6 WHEN '2-HIGH' THEN 24 ELSE 72 END AS own, datediff('day', DATE '{ORDERS_TODAY}', auction_date) * 24 AS hours_left FROM listings)
+WITH {LISTINGS}, t AS (SELECT id, CASE deal_type WHEN '1-URGENT' THEN 6 WHEN '2-HIGH' THEN 24 ELSE 72 END AS own, datediff('day', DATE '{ORDERS_TODAY}', sale_date) * 24 AS hours_left FROM listings)
 SELECT id, CASE WHEN hours_left > 0 AND hours_left < 48 THEN least(own, 6) ELSE own END AS ttl FROM t""")
 def cache_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = F.datediff("auction_date", today()) * 24
+    left = F.datediff("sale_date", today()) * 24
     return listings(spark, sf_dir).select("id", R.cache_hours(F.col("deal_type"), left, {"1-URGENT": 6, "2-HIGH": 24, "other": 72}).alias("ttl"))
 
 
-@query("d10_retire_past", f"WITH {LISTINGS} SELECT house, count(*) AS retired FROM listings WHERE status = 'available' AND auction_date < DATE '{ORDERS_TODAY}' - 30 GROUP BY 1")
+@query("d10_retire_past", f"WITH {LISTINGS} SELECT house, count(*) AS retired FROM listings WHERE status = 'available' AND sale_date < DATE '{ORDERS_TODAY}' - 30 GROUP BY 1")
 def retire_past(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return listings(spark, sf_dir).where((F.col("status") == "available") & (F.col("auction_date") < F.date_sub(today(), 30))).groupBy("house").agg(F.count("*").alias("retired"))
+    return listings(spark, sf_dir).where((F.col("status") == "available") & (F.col("sale_date") < F.date_sub(today(), 30))).groupBy("house").agg(F.count("*").alias("retired"))

@@ -101,14 +101,14 @@ def building_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings(spark, sf_dir).select("id", "owner", (F.sum("price").over(Window.partitionBy("owner")) > 1500000).alias("large"))
 
 
-@query("a45_terminal_ratio", f"WITH {LISTINGS} SELECT house, count(*) FILTER (status = 'sold')::DOUBLE / count(*) > 0.48 AND count(*) >= 5 AS terminal, count(DISTINCT auction_date) AS dates FROM listings GROUP BY house")
+@query("a45_terminal_ratio", f"WITH {LISTINGS} SELECT house, count(*) FILTER (status = 'sold')::DOUBLE / count(*) > 0.48 AND count(*) >= 5 AS terminal, count(DISTINCT sale_date) AS dates FROM listings GROUP BY house")
 def terminal_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return listings(spark, sf_dir).groupBy("house").agg(((F.count_if(F.col("status") == "sold").cast("double") / F.count("*") > 0.48) & (F.count("*") >= 5)).alias("terminal"), F.count_distinct("auction_date").alias("dates"))
+    return listings(spark, sf_dir).groupBy("house").agg(((F.count_if(F.col("status") == "sold").cast("double") / F.count("*") > 0.48) & (F.count("*") >= 5)).alias("terminal"), F.count_distinct("sale_date").alias("dates"))
 
 
-@query("a46_catalogue_summary", f"WITH {LISTINGS} SELECT house, auction_date, count(*) AS lots, count(*) FILTER (price < 100000) AS cheap, count(*) FILTER (status = 'sold') AS sold FROM listings GROUP BY 1, 2")
+@query("a46_catalogue_summary", f"WITH {LISTINGS} SELECT house, sale_date, count(*) AS lots, count(*) FILTER (price < 100000) AS cheap, count(*) FILTER (status = 'sold') AS sold FROM listings GROUP BY 1, 2")
 def catalogue_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return listings(spark, sf_dir).groupBy("house", "auction_date").agg(F.count("*").alias("lots"), F.count_if(F.col("price") < 100000).alias("cheap"), F.count_if(F.col("status") == "sold").alias("sold"))
+    return listings(spark, sf_dir).groupBy("house", "sale_date").agg(F.count("*").alias("lots"), F.count_if(F.col("price") < 100000).alias("cheap"), F.count_if(F.col("status") == "sold").alias("sold"))
 
 
 @query("a47_facets", f"""

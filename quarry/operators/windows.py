@@ -35,9 +35,9 @@ _CANON = r"lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(tri
 
 
 @query("w01_keep_latest", f"""
-WITH {LISTINGS} SELECT id, owner, auction_date, price FROM listings QUALIFY row_number() OVER (PARTITION BY owner ORDER BY auction_date DESC NULLS LAST, price DESC NULLS LAST, id) = 1""")
+WITH {LISTINGS} SELECT id, owner, sale_date, price FROM listings QUALIFY row_number() OVER (PARTITION BY owner ORDER BY sale_date DESC NULLS LAST, price DESC NULLS LAST, id) = 1""")
 def keep_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keep_first(listings(spark, sf_dir).select("id", "owner", "auction_date", "price"), ["owner"], [F.desc_nulls_last("auction_date"), F.desc_nulls_last("price"), "id"])
+    return keep_first(listings(spark, sf_dir).select("id", "owner", "sale_date", "price"), ["owner"], [F.desc_nulls_last("sale_date"), F.desc_nulls_last("price"), "id"])
 
 
 @query("w02_dedup_canonical_url", f"SELECT page_id, {_CANON} AS canon FROM pages QUALIFY row_number() OVER (PARTITION BY {_CANON} ORDER BY length(html) DESC, page_id) = 1")
@@ -73,12 +73,12 @@ def dedup_within_house(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("w07_prefer_open_soonest", f"""
-WITH {LISTINGS} SELECT id, owner, auction_date, status = 'sold' AS ended, count(*) FILTER (status <> 'sold') OVER (PARTITION BY owner) > 1 AS also_in_future FROM listings
-QUALIFY row_number() OVER (PARTITION BY owner ORDER BY status = 'sold', auction_date, id) = 1""")
+WITH {LISTINGS} SELECT id, owner, sale_date, status = 'sold' AS ended, count(*) FILTER (status <> 'sold') OVER (PARTITION BY owner) > 1 AS also_in_future FROM listings
+QUALIFY row_number() OVER (PARTITION BY owner ORDER BY status = 'sold', sale_date, id) = 1""")
 def prefer_open_soonest(spark: SparkSession, sf_dir: str) -> DataFrame:
     ended = F.col("status") == "sold"
-    rows = listings(spark, sf_dir).select("id", "owner", "auction_date", ended.alias("ended")).withColumn("also_in_future", F.count_if(~F.col("ended")).over(Window.partitionBy("owner")) > 1)
-    return keep_first(rows, ["owner"], ["ended", "auction_date", "id"])
+    rows = listings(spark, sf_dir).select("id", "owner", "sale_date", ended.alias("ended")).withColumn("also_in_future", F.count_if(~F.col("ended")).over(Window.partitionBy("owner")) > 1)
+    return keep_first(rows, ["owner"], ["ended", "sale_date", "id"])
 
 
 _SNAPS = f"""{EVENTS}, snaps AS (SELECT user_id, ts::DATE AS day, list_sort(list(DISTINCT k)) AS ks FROM ev GROUP BY 1, 2)"""
@@ -110,10 +110,10 @@ def snapshot_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("user_id", "day", F.when(F.col("prev").isNull(), 1.0).otherwise(F.coalesce(recall, F.lit(1.0))).alias("recall"))
 
 
-@query("w10_nearest_dates", f"WITH {LISTINGS} SELECT id, house, auction_date FROM listings QUALIFY dense_rank() OVER (PARTITION BY house ORDER BY auction_date DESC) <= 3")
+@query("w10_nearest_dates", f"WITH {LISTINGS} SELECT id, house, sale_date FROM listings QUALIFY dense_rank() OVER (PARTITION BY house ORDER BY sale_date DESC) <= 3")
 def nearest_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = listings(spark, sf_dir).select("id", "house", "auction_date")
-    return rows.withColumn("r", F.dense_rank().over(Window.partitionBy("house").orderBy(F.desc("auction_date")))).where("r <= 3").drop("r")
+    rows = listings(spark, sf_dir).select("id", "house", "sale_date")
+    return rows.withColumn("r", F.dense_rank().over(Window.partitionBy("house").orderBy(F.desc("sale_date")))).where("r <= 3").drop("r")
 
 
 @query("w11_rolling_five", f"""
@@ -127,27 +127,27 @@ def rolling_five(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("w12_fair_share", f"""
-WITH {LISTINGS}, r AS (SELECT id, house, row_number() OVER (PARTITION BY house ORDER BY auction_date, id) AS turn FROM listings WHERE status = 'stc')
+WITH {LISTINGS}, r AS (SELECT id, house, row_number() OVER (PARTITION BY house ORDER BY sale_date, id) AS turn FROM listings WHERE status = 'stc')
 SELECT id, house, turn FROM r ORDER BY turn, house LIMIT 60""")
 def fair_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turn = F.row_number().over(Window.partitionBy("house").orderBy("auction_date", "id"))
+    turn = F.row_number().over(Window.partitionBy("house").orderBy("sale_date", "id"))
     return listings(spark, sf_dir).where("status = 'stc'").select("id", "house", turn.alias("turn")).orderBy("turn", "house").limit(60)
 
 
 @query("w13_per_house_cap", f"""
-WITH {LISTINGS} SELECT id, house, deal_type FROM listings WHERE status <> 'sold' QUALIFY deal_type = '1-URGENT' OR row_number() OVER (PARTITION BY house, deal_type = '1-URGENT' ORDER BY auction_date DESC, id) <= 5""")
+WITH {LISTINGS} SELECT id, house, deal_type FROM listings WHERE status <> 'sold' QUALIFY deal_type = '1-URGENT' OR row_number() OVER (PARTITION BY house, deal_type = '1-URGENT' ORDER BY sale_date DESC, id) <= 5""")
 def per_house_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     ever = F.col("deal_type") == "1-URGENT"
-    rank = F.row_number().over(Window.partitionBy("house", ever).orderBy(F.desc("auction_date"), "id"))
+    rank = F.row_number().over(Window.partitionBy("house", ever).orderBy(F.desc("sale_date"), "id"))
     return listings(spark, sf_dir).where("status <> 'sold'").withColumn("r", rank).where(ever | (F.col("r") <= 5)).select("id", "house", "deal_type")
 
 
 @query("w14_soonest_else_latest", f"""
-WITH {LISTINGS} SELECT house, id, auction_date FROM listings QUALIFY row_number() OVER (PARTITION BY house ORDER BY auction_date < DATE '2001-01-01', CASE WHEN auction_date >= DATE '2001-01-01' THEN auction_date END ASC NULLS LAST, auction_date DESC, id) = 1""")
+WITH {LISTINGS} SELECT house, id, sale_date FROM listings QUALIFY row_number() OVER (PARTITION BY house ORDER BY sale_date < DATE '2001-01-01', CASE WHEN sale_date >= DATE '2001-01-01' THEN sale_date END ASC NULLS LAST, sale_date DESC, id) = 1""")
 def soonest_else_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    past = F.col("auction_date") < F.lit("2001-01-01").cast("date")
-    rows = listings(spark, sf_dir).select("house", "id", "auction_date")
-    return keep_first(rows, ["house"], [past, F.when(~past, F.col("auction_date")).asc_nulls_last(), F.desc("auction_date"), "id"])
+    past = F.col("sale_date") < F.lit("2001-01-01").cast("date")
+    rows = listings(spark, sf_dir).select("house", "id", "sale_date")
+    return keep_first(rows, ["house"], [past, F.when(~past, F.col("sale_date")).asc_nulls_last(), F.desc("sale_date"), "id"])
 
 
 @query("w16_first_event", "SELECT user_id, min_by(event_type, (ts, event_id)) AS first_type, min(ts) AS first_ts, count(*) AS n FROM events GROUP BY user_id")
@@ -155,10 +155,10 @@ def first_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).groupBy("user_id").agg(F.min_by("event_type", F.struct("ts", "event_id")).alias("first_type"), F.min("ts").alias("first_ts"), F.count("*").alias("n"))
 
 
-@query("w17_group_headers", f"WITH {LISTINGS} SELECT id, auction_date, count(*) OVER (PARTITION BY auction_date) AS on_day FROM listings WHERE auction_date >= DATE '2001-07-01'")
+@query("w17_group_headers", f"WITH {LISTINGS} SELECT id, sale_date, count(*) OVER (PARTITION BY sale_date) AS on_day FROM listings WHERE sale_date >= DATE '2001-07-01'")
 def group_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = listings(spark, sf_dir).where(F.col("auction_date") >= F.lit("2001-07-01").cast("date"))
-    return rows.select("id", "auction_date", F.count("*").over(Window.partitionBy("auction_date")).alias("on_day"))
+    rows = listings(spark, sf_dir).where(F.col("sale_date") >= F.lit("2001-07-01").cast("date"))
+    return rows.select("id", "sale_date", F.count("*").over(Window.partitionBy("sale_date")).alias("on_day"))
 
 
 #: Hours to the next probe after so many equal results in a row.
@@ -191,20 +191,20 @@ def precedence_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("u02_union_minus_active", f"""
-WITH {LISTINGS} SELECT id, owner, 'active' AS pool FROM listings WHERE status = 'available' AND auction_date >= DATE '2001-06-01'
-UNION ALL SELECT id, owner, 'unsold' FROM listings l WHERE status = 'stc' AND NOT EXISTS (SELECT 1 FROM listings a WHERE a.status = 'available' AND a.auction_date >= DATE '2001-06-01' AND a.owner = l.owner)""")
+WITH {LISTINGS} SELECT id, owner, 'active' AS pool FROM listings WHERE status = 'available' AND sale_date >= DATE '2001-06-01'
+UNION ALL SELECT id, owner, 'unsold' FROM listings l WHERE status = 'stc' AND NOT EXISTS (SELECT 1 FROM listings a WHERE a.status = 'available' AND a.sale_date >= DATE '2001-06-01' AND a.owner = l.owner)""")
 def union_minus_active(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = listings(spark, sf_dir).select("id", "owner", "status", "auction_date")
-    active = rows.where((F.col("status") == "available") & (F.col("auction_date") >= F.lit("2001-06-01").cast("date"))).select("id", "owner", F.lit("active").alias("pool"))
+    rows = listings(spark, sf_dir).select("id", "owner", "status", "sale_date")
+    active = rows.where((F.col("status") == "available") & (F.col("sale_date") >= F.lit("2001-06-01").cast("date"))).select("id", "owner", F.lit("active").alias("pool"))
     rest = rows.where("status = 'stc'").select("id", "owner", F.lit("unsold").alias("pool")).join(active.select("owner"), "owner", "left_anti")
     return active.unionByName(rest.select("id", "owner", "pool"))
 
 
 @query("u03_fallback_switch", f"""
-WITH {LISTINGS}, n AS (SELECT count(*) AS n FROM listings WHERE status = 'stc' AND auction_date >= DATE '2001-07-25')
-SELECT id, 'main' AS via FROM listings, n WHERE n.n >= 50 AND status = 'stc' AND auction_date >= DATE '2001-07-25' UNION ALL SELECT id, 'fallback' FROM listings, n WHERE n.n < 50 AND status = 'stc' AND auction_date >= DATE '2001-01-01'""")
+WITH {LISTINGS}, n AS (SELECT count(*) AS n FROM listings WHERE status = 'stc' AND sale_date >= DATE '2001-07-25')
+SELECT id, 'main' AS via FROM listings, n WHERE n.n >= 50 AND status = 'stc' AND sale_date >= DATE '2001-07-25' UNION ALL SELECT id, 'fallback' FROM listings, n WHERE n.n < 50 AND status = 'stc' AND sale_date >= DATE '2001-01-01'""")
 def fallback_switch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = listings(spark, sf_dir).where((F.col("status") == "stc") & (F.col("auction_date") >= F.lit("2001-01-01").cast("date"))).select("id", (F.col("auction_date") >= F.lit("2001-07-25").cast("date")).alias("main"))
+    rows = listings(spark, sf_dir).where((F.col("status") == "stc") & (F.col("sale_date") >= F.lit("2001-01-01").cast("date"))).select("id", (F.col("sale_date") >= F.lit("2001-07-25").cast("date")).alias("main"))
     enough = F.broadcast(rows.agg((F.count_if("main") >= 50).alias("enough")))  # one row; one plan for both branches
     return rows.crossJoin(enough).where(~F.col("enough") | F.col("main")).select("id", F.when(F.col("enough"), "main").otherwise("fallback").alias("via"))
 
@@ -232,20 +232,20 @@ def jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("u07_ghosts", f"""
-WITH {LISTINGS}, w AS (SELECT id, house, auction_date, max(auction_date) OVER (PARTITION BY house) AS scraped,
-  count(*) FILTER (auction_date >= DATE '2001-07-29') OVER (PARTITION BY house) AS fresh, count(*) FILTER (auction_date < DATE '2001-07-29') OVER (PARTITION BY house) AS ghosts FROM listings WHERE status <> 'sold' AND auction_date >= DATE '2001-06-01')
-SELECT id, CASE WHEN auction_date >= DATE '2001-07-29' THEN 'keep' WHEN scraped < DATE '2001-07-30' THEN 'unconfirmed' WHEN fresh < ghosts THEN 'held' ELSE 'flip' END AS verdict FROM w""")
+WITH {LISTINGS}, w AS (SELECT id, house, sale_date, max(sale_date) OVER (PARTITION BY house) AS scraped,
+  count(*) FILTER (sale_date >= DATE '2001-07-29') OVER (PARTITION BY house) AS fresh, count(*) FILTER (sale_date < DATE '2001-07-29') OVER (PARTITION BY house) AS ghosts FROM listings WHERE status <> 'sold' AND sale_date >= DATE '2001-06-01')
+SELECT id, CASE WHEN sale_date >= DATE '2001-07-29' THEN 'keep' WHEN scraped < DATE '2001-07-30' THEN 'unconfirmed' WHEN fresh < ghosts THEN 'held' ELSE 'flip' END AS verdict FROM w""")
 def ghosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows unseen for over four days: flipped only where the house was scraped and has more fresh rows than ghosts."""
-    stale = F.col("auction_date") < F.date_sub(today(), 4)
+    stale = F.col("sale_date") < F.date_sub(today(), 4)
     house = Window.partitionBy("house")
-    rows = listings(spark, sf_dir).where("status <> 'sold' AND auction_date >= DATE '2001-06-01'")
-    verdict = F.when(~stale, "keep").when(F.max("auction_date").over(house) < F.date_sub(today(), 3), "unconfirmed").when(F.count_if(~stale).over(house) < F.count_if(stale).over(house), "held").otherwise("flip")
+    rows = listings(spark, sf_dir).where("status <> 'sold' AND sale_date >= DATE '2001-06-01'")
+    verdict = F.when(~stale, "keep").when(F.max("sale_date").over(house) < F.date_sub(today(), 3), "unconfirmed").when(F.count_if(~stale).over(house) < F.count_if(stale).over(house), "held").otherwise("flip")
     return rows.select("id", verdict.alias("verdict"))
 
 
 @query("u08_conditional_retire", f"""
-WITH {LISTINGS} SELECT id, CASE WHEN status IN ('available', 'stc') AND auction_date < DATE '2001-01-01' THEN 'withdrawn' ELSE status END AS status, status IN ('available', 'stc') AND auction_date < DATE '2001-01-01' AS changed FROM listings""")
+WITH {LISTINGS} SELECT id, CASE WHEN status IN ('available', 'stc') AND sale_date < DATE '2001-01-01' THEN 'withdrawn' ELSE status END AS status, status IN ('available', 'stc') AND sale_date < DATE '2001-01-01' AS changed FROM listings""")
 def conditional_retire(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hit = F.col("status").isin("available", "stc") & (F.col("auction_date") < F.lit("2001-01-01").cast("date"))
+    hit = F.col("status").isin("available", "stc") & (F.col("sale_date") < F.lit("2001-01-01").cast("date"))
     return listings(spark, sf_dir).select("id", F.when(hit, "withdrawn").otherwise(F.col("status")).alias("status"), hit.alias("changed"))

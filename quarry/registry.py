@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
-_MODULES = [f"quarry.operators.{m}" for m in ("filters", "health", "joins", "listing_text", "ranking", "rules", "stats", "streams", "windows")]
+_MODULES = [f"quarry.operators.{m}" for m in ("deals", "filters", "health", "joins", "listing_text", "ranking", "rules", "stats", "streams", "windows")]
 
 
 def query(name: str, oracle: str | None = None):

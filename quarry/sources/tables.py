@@ -44,7 +44,7 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_custkey").alias("owner"),
         F.col("o_totalprice").cast("decimal(18,2)").alias("price"),
         status.alias("status"),
-        F.to_date("o_orderdate").alias("auction_date"),
+        F.to_date("o_orderdate").alias("sale_date"),
         F.col("c_mktsegment").alias("prop_type"),
         F.col("o_orderpriority").alias("deal_type"),
         F.col("n_regionkey").alias("region"),
@@ -72,7 +72,7 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
 LISTINGS = """listings AS (
   SELECT o_orderkey AS id, n_name AS house, c_custkey AS owner, o_totalprice::DECIMAL(18,2) AS price,
     CASE o_orderstatus WHEN 'O' THEN 'available' WHEN 'P' THEN 'stc' ELSE 'sold' END AS status,
-    o_orderdate::DATE AS auction_date, c_mktsegment AS prop_type, o_orderpriority AS deal_type,
+    o_orderdate::DATE AS sale_date, c_mktsegment AS prop_type, o_orderpriority AS deal_type,
     n_regionkey AS region, c_acctbal::DECIMAL(18,2) AS balance
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
 EVENTS = "ev AS (SELECT *, (props->>'$.k')::INT AS k FROM events)"
