@@ -206,3 +206,56 @@ def score(parts: Column) -> Column:
     """The points together, from 0 to 10, to one decimal."""
     total = F.aggregate(parts, F.lit(0.0), lambda s, p: s + p["pts"])
     return F.greatest(F.lit(0.0), F.least(F.lit(10.0), F.floor(total * 10 + 0.5) / 10))
+
+
+#: References decoded and kinds of property as told by others.
+REFERENCES = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#x27;": "'", "&#x2F;": "/", "&nbsp;": " "}
+KIND_CODES = {"d": "house", "s": "house", "t": "house", "f": "flat", "o": "other"}
+KIND_NAMES = {"detached": "house", "semi-detached": "house", "terraced": "house", "bungalow": "house", "flat/maisonette": "flat", "apartment": "flat", "maisonette": "flat", "studio": "flat"}
+TENURE_NAMES = {"f": "Freehold", "freehold": "Freehold", "l": "Leasehold", "leasehold": "Leasehold", "long leasehold": "Leasehold", "share of freehold": "Share of Freehold"}
+
+
+def decoded(text: Column) -> Column:
+    """Character references of the table as characters, ampersands first, as pages that were escaped twice need."""
+    for ref, char in REFERENCES.items():
+        text = F.replace(text, F.lit(ref), F.lit(char))
+    return text
+
+
+def titled(text: Column) -> Column:
+    """Each word with a capital, the rest lower case; hyphens and apostrophes begin a word too."""
+    return F.regexp_replace(F.initcap(F.regexp_replace(F.regexp_replace(text, "-", "- "), "'", "' ")), "([-']) ", "$1")
+
+
+def canonical(value: Column, *tables: dict[str, str]) -> Column:
+    """A value by the first table that has it, else itself; blank is null."""
+    v = F.lower(F.trim(value))
+    return F.when(v != "", F.coalesce(*[F.when(v == k, F.lit(x)) for t in tables for k, x in t.items()], v))
+
+
+def street(address: Column) -> Column:
+    """The first part of an address without flat, number and marks, lower case."""
+    first = F.lower(F.trim(F.split_part(F.coalesce(address, F.lit("")), F.lit(","), F.lit(1))))
+    bare = F.regexp_replace(first, r"^(?:flat|unit|apartment)\s+\w+\s*", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"^[0-9]+[a-z]?(?:\s*-\s*[0-9]+[a-z]?)?\s+", ""), r"[^a-z0-9 ]", ""))
+
+
+def address_key(address: Column, code: Column) -> Column:
+    """Letters and digits of an address with its postcode: equal for two spellings of a place."""
+    return F.concat(F.regexp_replace(F.lower(F.coalesce(address, F.lit(""))), r"[^a-z0-9]", ""), F.lit("|"), F.regexp_replace(F.lower(F.coalesce(code, F.lit(""))), r"\s", ""))
+
+
+def shortened(address: Column, parts: int = 2) -> Column:
+    """The first parts of an address, each trimmed, and an ellipsis where some were left out."""
+    p = F.filter(F.transform(F.split(F.coalesce(address, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+    return F.concat(F.array_join(F.slice(p, 1, parts), ", "), F.when(F.size(p) > parts, F.lit(", …")).otherwise(""))
+
+
+def search_text(fields: list[Column], most: int = 4000) -> Column:
+    """Fields that have something, in order, as sentences; cut at ``most`` characters, as the index needs."""
+    return F.left(F.concat_ws(". ", *[F.nullif(F.trim(f), F.lit("")) for f in fields]), F.lit(most))
+
+
+def money(pounds: Column) -> Column:
+    """£1,234,567, with a minus before the sign of the pound; null stays null."""
+    return F.concat(F.when(pounds < 0, "-").otherwise(""), F.lit("£"), F.format_number(F.abs(pounds), 0))
