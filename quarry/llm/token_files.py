@@ -4,9 +4,10 @@ Documents are range-partitioned by doc_id and sorted, so files and the rows in t
 order of ids. Each task writes one file of sequences, ``ids fixed_size_list<uint>[length]`` and
 ``mask fixed_size_list<uint8>[length / 8]`` (a bit for each id) in batches of equal size, and one small index file with
 the place of each document. Documents are packed back to back; only a file's last sequence is
-padded, and its mask says where. A reader maps a file and takes sequence i without a copy: the
-offset is i * length * width into one buffer of a batch. A file is written under a name of its
-attempt and then moved, so a task that is run again leaves one whole file.
+padded, and its mask says where. All batches of a file but its last have one size, so ``sequence``
+maps a file, steps to the batch of sequence i and gives views of its buffers. A file is written
+under a name of its attempt and then moved; a task that is run again may leave a second file, which
+nothing refers to: only the files that the returned table names count.
 """
 
 from __future__ import annotations
@@ -73,6 +74,25 @@ def read_sequences(path: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield ids, mask
 
 
+def sequence(path: str, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and mask bits of sequence i of a file; a local file is mapped, and both are views of it."""
+    where, name = opened(path)
+    source = pa.memory_map(name) if isinstance(where, fs.LocalFileSystem) else where.open_input_file(name)
+    schema = pa.ipc.read_schema(source)
+    start = source.tell()
+    try:
+        batch = pa.ipc.read_record_batch(pa.ipc.read_message(source), schema)
+        k, j = divmod(i, batch.num_rows)
+        if k:
+            source.seek(start + k * (source.tell() - start))
+            batch = pa.ipc.read_record_batch(pa.ipc.read_message(source), schema)
+    except (EOFError, pa.ArrowInvalid):
+        raise IndexError(i) from None
+    if i < 0 or j >= batch.num_rows:
+        raise IndexError(i)
+    return tuple(c.slice(j, 1).flatten().to_numpy(zero_copy_only=True) for c in batch.columns)
+
+
 def _writer(path: str, vocabulary: str, end_id: int, length: int, rows: int):
     schema = pa.schema([("part", pa.int32()), ("file", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
     encoder = Encoder(vocabulary)
@@ -145,7 +165,8 @@ def read_token_files(files: DataFrame, path: str) -> DataFrame:
                             held = held[n:]
                         yield record(schema, part.column("doc_id"), [first + s for s in part.column("start").to_pylist()], part.column("n_tokens"), crc)
 
-    return files.select("file", "start").repartition(F.col("file")).mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    # a task for each file: the number keeps the few small rows from being put together
+    return files.select("part", "file", "start").repartitionByRange(max(1, files.count()), "part").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

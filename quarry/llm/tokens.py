@@ -11,14 +11,15 @@ from __future__ import annotations
 import json
 import os
 import re
-import sys
-import types
+from array import array
 from collections import ChainMap
 from functools import cached_property
 
 import numpy as np
 
 MEMORY = 400_000
+#: The memories of this process by path and kind.
+_MEMORIES: dict[tuple[str, str], list[dict]] = {}
 #: A space before white space or the end: white space runs there may join across pieces.
 _RUN = re.compile(r" (?:\s|$)")
 #: Pieces longer than this many characters are not kept; this many new ones go through the library at once.
@@ -57,8 +58,7 @@ class Encoder:
     @cached_property
     def memory(self) -> list[dict]:
         """The newer and the older generation, kept for the life of the process."""
-        kept = sys.modules.setdefault("_quarry_pieces", types.ModuleType("_quarry_pieces"))
-        return kept.__dict__.setdefault(self.path, [{}, {}])
+        return _MEMORIES.setdefault((self.path, "pieces"), [{}, {}])
 
     @cached_property
     def library(self):
@@ -119,13 +119,24 @@ class Encoder:
     def letters(self) -> dict[int, str]:
         return byte_letters()
 
+    @cached_property
+    def tokenize(self):
+        return self.library.model.tokenize
+
     def _word(self, word: str) -> bytes:
         """Ids of one of the model's words, from the library's model."""
-        return np.array([t.id for t in self.library.model.tokenize(word.encode().decode("latin-1").translate(self.letters))], self.dtype).tobytes()
+        # of the plain ASCII characters only the space has another letter
+        form = word.replace(" ", "\u0120") if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.tokenize(form)]).tobytes()
+
+    @cached_property
+    def code(self) -> str:
+        return {2: "H", 4: "I"}[self.dtype.itemsize]
 
     def _pieces(self, texts: list[str]) -> list[bytes]:
         """Ids of short texts: plain ones word by word, with a memory of words; others through the library."""
-        plain = [i for i, t in enumerate(texts) if _PLAIN.fullmatch(t, 1 if self.spaced else 0) and "<|" not in t and len(t) <= LONG] if self.split else []
+        at = 1 if self.spaced else 0
+        plain = [i for i, t in enumerate(texts) if len(t) <= LONG and (t.isascii() and t[at:].isalpha() or _PLAIN.fullmatch(t, at) and "<|" not in t)] if self.split else []
         out: list[bytes | None] = [None] * len(texts)
         forms = [texts[i] for i in plain]
         if forms and self.library.normalizer is not None:
@@ -135,14 +146,17 @@ class Encoder:
         words = self.words[0]
         if len(words) > MEMORY:
             words = self.words[0] = {}
+        find = self.split.findall if self.split else None
         for i, form in zip(plain, forms):
-            parts = []
-            for w in self.split.findall(form):
-                ids = words.get(w)
-                if ids is None:
-                    ids = words[w] = self._word(w)
-                parts.append(ids)
-            out[i] = b"".join(parts) if len(parts) != 1 else parts[0]
+            # letters alone are one word of either pattern
+            parts = (form,) if form[at:].isalpha() else find(form)
+            ids = []
+            for w in parts:
+                known = words.get(w)
+                if known is None:
+                    known = words[w] = self._word(w)
+                ids.append(known)
+            out[i] = b"".join(ids) if len(ids) != 1 else ids[0]
         rest = [i for i, b in enumerate(out) if b is None]
         for i, b in zip(rest, self._together([texts[i] for i in rest]) if rest else []):
             out[i] = b
@@ -150,8 +164,8 @@ class Encoder:
 
     @cached_property
     def words(self) -> list[dict]:
-        kept = sys.modules.setdefault("_quarry_pieces", types.ModuleType("_quarry_pieces"))
-        return kept.__dict__.setdefault(self.path + "#words", [{}])
+        """Ids of single words; one generation, emptied where it is full."""
+        return _MEMORIES.setdefault((self.path, "words"), [{}])
 
     def known(self, pieces: set, texts) -> dict:
         """A table that has the ids of all the pieces; ``texts`` makes a piece a text."""
@@ -162,13 +176,13 @@ class Encoder:
         if len(new) + len(missing) > MEMORY:
             self.memory[:] = {}, new
             (new, old), missing = self.memory, pieces
-        got = {p: old[p] for p in missing if p in old}
-        rest = [p for p in missing if p not in got]
+        got = {p: old[p] for p in missing if p in old} if old else {}
+        rest = [p for p in missing if p not in got] if got else [*missing]
         for i in range(0, len(rest), TOGETHER):
             some = rest[i : i + TOGETHER]
             got.update(zip(some, self._pieces([texts(p) for p in some])))
-        new.update((p, b) for p, b in got.items() if len(p) <= LONG)
-        long = {p: b for p, b in got.items() if len(p) > LONG}
+        long = {p: got.pop(p) for p in rest if len(p) > LONG}
+        new.update(got)
         return ChainMap(long, new) if long else new
 
     def encode(self, texts: list[str]) -> list[bytes]:
