@@ -8,9 +8,12 @@ the longest text and not the partition.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -32,20 +35,62 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder that the driver and all executors see, below ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in tests on one machine, a temporary folder takes its place.
+    Only on one machine (a local master), where that is unset, a temporary folder takes its place;
+    a cluster without the setting is an error, since its machines don't see each other's folders.
     """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/quarry-{uuid.uuid4().hex}"
+    path = f"{top.rstrip('/')}/quarry-{uuid.uuid4().hex}"
+    made = _made.get()
+    if made is not None:
+        made.append(path)
+    return path
+
+
+#: The folders made within a ``noted`` block.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """A list of the scratch folders that the block makes, for a caller that knows when nothing needs them."""
+    paths: list[str] = []
+    token = _made.set(paths)
+    try:
+        yield paths
+    finally:
+        _made.reset(token)
+
+
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders wherever Spark's file systems keep them."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def saved(df: DataFrame, name: str = "table") -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage, and is there if an executor goes."""
-    path = f"{shared_dir(df.sparkSession)}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).save(df, name)
+
+
+class Scratch:
+    """Tables of one computation in a folder of its own; each can go once its readers are written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.top = spark, shared_dir(spark)
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.top}/{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        removed(self.spark, [f"{self.top}/{n}" for n in names])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -53,6 +98,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
 
 
+def least_hashed(rows: DataFrame, n: int, key: str) -> DataFrame:
+    """At most ``n`` rows, those of least hash of ``key``: the same ones however the rows are dealt.
+
+    The hash has to be below a share of its range that is sure to hold n rows (they spread evenly;
+    the margin is eight standard deviations), so few more than n are sorted, whatever the partitions.
+    """
+    share = (n + 8 * n**0.5 + 50) / max(1, rows.count())
+    rank = F.xxhash64(key, F.lit(1))
+    some = rows if share >= 1 else rows.where(rank.bitwiseAND((1 << 40) - 1) / float(1 << 40) < share)
+    return some.orderBy(rank.bitwiseAND((1 << 40) - 1), key).limit(n)
+
+
 def sieve(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Adds ``maybe``: false only if no row of ``wanted`` has the doc_id.
 
@@ -164,7 +221,7 @@ class Words:
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes and the bounds of an Arrow string column, without a copy; null is empty."""
     if texts.null_count:
-        texts = texts.fill_null("")
+        texts = texts.fill_null(b"" if pa.types.is_binary(texts.type) or pa.types.is_large_binary(texts.type) else "")
     large = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
     _, offsets, data = texts.buffers()
     bounds = np.frombuffer(offsets, np.int64 if large else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)

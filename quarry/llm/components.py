@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import Scratch
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -31,10 +31,13 @@ def connected(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
 
     Null ends and loops are left out. The result is written and read back.
     """
-    edges = saved(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u <> v").distinct(), "edges")
+    tables, round_ = Scratch(edges.sparkSession), 0
+    edges = tables.save(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u <> v").distinct(), "edges0")
     mark = None
     while True:
-        edges = saved(_small(_large(edges)), "edges")
+        round_ += 1
+        edges = tables.save(_small(_large(edges)), f"edges{round_}")
+        tables.drop(f"edges{round_ - 1}")
         row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if tuple(row) == mark:
             break

@@ -10,13 +10,15 @@ leaving out every set of ``errors`` symbols of every chunk, so each text has
 defaults (12 chunks of 6 symbols, 1 error) a pair at similarity 0.8 shares no key with a chance
 of 3 in a million. Links are confirmed on the full word sets, never on hashes of signatures.
 
-No bucket emits all its pairs. Equal sets become one class first. Each bucket names its least
-class as pivot; every member near its pivot is compared with it once, and keeps the symmetric
-difference of the two sets. Members of one pivot are then compared with each other by these
-differences (|x ^ y| = |dx ^ dy|), in blocks of bounded size, only across components of the links
-found so far, and a block gives a spanning forest of its links. So a group of n near copies costs
-about n confirmations, and no link between different components is lost. Members far from their
-bucket's pivot are rare; they are joined with their bucket behind a bound on the signature
+No bucket emits all its pairs. Equal sets become one class first (known by their size and 128 bits
+of sums). Keys are sorted across tasks by key and class, so a hot bucket is spread over as many
+tasks as it fills, and its least class becomes the pivot. Every member near its pivot is compared
+with it once, in groups of ``BLOCK_ROWS`` members with a copy of the pivot each, and keeps the
+symmetric difference of the two sets. Members of one pivot are then compared with each other by
+these differences (|x ^ y| = |dx ^ dy|), in blocks of bounded size, only across components of the
+links found so far, and a block gives a spanning forest of its links. So a group of n near copies
+costs about n confirmations, and no link between different components is lost. Members far from
+their bucket's pivot are rare; they are joined with their bucket behind a bound on the signature
 distance and confirmed on the texts.
 """
 
@@ -30,10 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, buffers, mix, record, saved, sieve, sliced, table
+from .common import Scratch, Words, buffers, mix, record, sieve, sliced, table
 from .components import connected
 
-#: Signature errors a candidate may have, as a share of its symbols. At similarity 0.8 a fifth is expected; more than this has a chance of about 1e-6.
+#: Signature errors a candidate may have, as a share of its symbols: 30 of 72. At similarity 0.8 a fifth is
+#: expected, and more than this has a chance of about 1e-6. (The pigeonhole guarantees a key up to 23 of 72.)
 LOOSE = 0.43
 #: Errors up to which a member is near its pivot, as a share of the symbols (a similarity of about 0.4).
 NEAR = 0.6
@@ -106,31 +109,65 @@ def keyer(chunks: int, width: int, errors: int):
     return run
 
 
+def pivoter():
+    """Of rows sorted by key and rep: every later member of a run of equal keys, with the first one as pivot.
+
+    A run may go on in the next task, so each task also gives its first and last run's first member
+    as a row marked ``edge``.
+    """
+    schema = pa.schema([("key", pa.int64()), ("pivot", pa.int64()), ("rep", pa.int64()), ("edge", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int, int] | None = None
+        for batch in batches:
+            key, rep = batch.column("key").to_numpy(), batch.column("rep").to_numpy()
+            if not key.size:
+                continue
+            fresh = np.ones(key.size, bool)
+            fresh[1:] = key[1:] != key[:-1]
+            pivot = rep[np.maximum.accumulate(np.where(fresh, np.arange(key.size), 0))]
+            if last is None:
+                yield record(schema, [int(key[0])], [int(pivot[0])], [int(pivot[0])], [True])
+            elif last[0] == key[0]:  # the run of the batch before goes on
+                n = int(np.flatnonzero(fresh)[1]) if fresh.sum() > 1 else key.size
+                pivot[:n], fresh[0] = last[1], False
+            if not fresh.all():
+                later = ~fresh
+                yield record(schema, key[later], pivot[later], rep[later], np.zeros(int(later.sum()), bool))
+            last = int(key[-1]), int(pivot[-1])
+        if last is not None:
+            yield record(schema, [last[0]], [last[1]], [last[1]], [True])
+
+    return run
+
+
 def confirmer(shingle: int, percent: int):
-    """Pairs of texts with exact similarity and the symmetric difference of their sets."""
+    """Texts compared with the first of their group, exactly, with the symmetric difference of the sets.
+
+    Rows are sorted by ``a`` and ``block``, the texts of ``a`` (``first``) before those of ``b``.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("delta", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-
-        def sets(texts: pa.Array) -> list[np.ndarray]:
-            return [shingles(w, shingle) for _, part in words.texts(*buffers(texts)) for w in part]
-
-        for batch in sliced(batches, "text_b", 1 << 19):
-            known: dict[int, np.ndarray] = {}
-            keys, firsts = batch.column("a").to_pylist(), batch.column("text_a")
-            linked, n_a, n_b, delta = [], [], [], []
-            for i, (a, y) in enumerate(zip(keys, sets(batch.column("text_b")))):
-                if a not in known:
-                    known = {a: sets(firsts.slice(i, 1))[0]}
-                x = known[a]
-                d = np.setxor1d(x, y, assume_unique=True)
-                both = (x.size + y.size - d.size) // 2
-                linked.append(bool(both) and 100 * both >= percent * (x.size + y.size - both))
-                n_a.append(x.size)
-                n_b.append(y.size)
-                delta.append(d.view(np.int64))
-            yield record(schema, batch.column("a"), batch.column("b"), linked, n_a, n_b, delta)
+        group, firsts = None, []
+        for batch in sliced(batches, "text", 1 << 19):
+            rows = []
+            sets = (shingles(w, shingle) for _, part in words.texts(*buffers(batch.column("text"))) for w in part)
+            for a, block, role, b, y in zip(*(batch.column(c).to_pylist() for c in ("a", "block", "role", "doc_id")), sets):
+                if (a, block) != group:
+                    group, firsts = (a, block), []
+                if role == 0:
+                    # rows that repeat a doc_id may have several texts
+                    if not any(np.array_equal(x, y) for x in firsts):
+                        firsts.append(y)
+                    continue
+                for x in firsts:
+                    d = np.setxor1d(x, y, assume_unique=True)
+                    both = (x.size + y.size - d.size) // 2
+                    rows.append((a, b, bool(both) and 100 * both >= percent * (x.size + y.size - both), x.size, y.size, d.view(np.int64)))
+            if rows:
+                yield record(schema, *zip(*rows))
 
     return run
 
@@ -227,43 +264,50 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, chunks
         raise ValueError("chunks * width must be a multiple of 8")
     size = chunks * width
     loose = int(LOOSE * size)
+    tables = Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = saved(docs.mapInArrow(signer(shingle, chunks, width), "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, signature binary"), "signed")
+    signed = tables.save(docs.mapInArrow(signer(shingle, chunks, width), "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, signature binary"), "signed")
     some = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     same = ["set_a", "set_b", "n_shingles"]
-    reps = saved(some.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature")), "reps")
+    reps = tables.save(some.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature")), "reps")
     packed = reps.select("rep", F.col("n_shingles").alias("n"), _packed("signature", size).alias("sig"))
 
-    # buckets with two members or more, and the least as pivot
+    # the later members of each bucket with its least as pivot; keys are shuffled once
     keys = reps.select("rep", "signature").mapInArrow(keyer(chunks, width, errors), "rep bigint, key bigint")
-    shared = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("top")).where("pivot < top").select("key", "pivot")
-    held = saved(keys.join(shared, "key"), "held")
+    runs = tables.save(keys.repartitionByRange("key", "rep").sortWithinPartitions("key", "rep").mapInArrow(pivoter(), "key bigint, pivot bigint, rep bigint, edge boolean"), "runs")
+    # buckets that go on from task to task; there are two rows for each task
+    edges = runs.where("edge").groupBy("key").agg(F.min("pivot").alias("least"), F.max("pivot").alias("top")).where("least < top").select("key", "least")
+    later = runs.select("key", "pivot", F.col("rep").alias("rep")).join(F.broadcast(edges), "key", "left")
+    held = later.select("key", F.coalesce("least", "pivot").alias("pivot"), "rep").where("pivot <> rep")
 
     # members against pivots
     left = packed.select(F.col("rep").alias("pivot"), F.col("sig").alias("sa"))
     right = packed.select("rep", F.col("sig").alias("sb"))
-    star = held.where("rep <> pivot").select("pivot", "rep").distinct().join(left, "pivot").join(right, "rep")
-    star = saved(star.select("pivot", "rep", (_apart(F.col("sa"), F.col("sb"), size) <= int(NEAR * size)).alias("near")), "star")
+    star = held.select("pivot", "rep").distinct().join(left, "pivot").join(right, "rep")
+    star = tables.save(star.select("pivot", "rep", (_apart(F.col("sa"), F.col("sb"), size) <= int(NEAR * size)).alias("near")), "star")
     near = star.where("near").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
 
     # members far from their pivot against their bucket
-    far = held.join(star.where("NOT near").select("pivot", "rep"), ["pivot", "rep"], "left_semi").select("key", F.col("rep").alias("x"))
-    far = far.join(packed.select(F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("sig").alias("sx")), "x")
-    beside = held.select("key", "rep").join(far.select("key").distinct(), "key", "left_semi").join(packed, "rep")
+    far = held.join(star.where("NOT near").select("pivot", "rep"), ["pivot", "rep"], "left_semi").select("key", "pivot", F.col("rep").alias("x"))
+    bucket = held.join(far.select("key").distinct(), "key", "left_semi").select("key", "rep").unionByName(far.select("key", F.col("pivot").alias("rep")).distinct())
+    beside = bucket.distinct().join(packed, "rep")
+    far = far.select("key", "x").join(packed.select(F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("sig").alias("sx")), "x")
     alike = (F.least("n", "nx") * 100 >= F.greatest("n", "nx") * percent) & (_apart(F.col("sig"), F.col("sx"), size) <= loose)
     lone = far.join(beside, "key").where((F.col("x") != F.col("rep")) & alike).select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
-    lone = saved(lone, "lone")
-
-    wanted = near.unionByName(lone).select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    wanted = saved(wanted, "wanted")
-    texts = saved(sieve(docs, wanted).where("maybe").drop("maybe").join(wanted, "doc_id", "left_semi"), "texts")
+    lone = tables.save(lone, "lone")
+    tables.drop("runs")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        return both.mapInArrow(confirmer(shingle, percent), "a bigint, b bigint, linked boolean, n_a bigint, n_b bigint, delta array<bigint>")
-
-    around = saved(confirmed(near), "around")
-    first = saved(around.where("linked").select("a", "b").unionByName(confirmed(lone).where("linked").select("a", "b")).distinct(), "links")
+        blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+        rows = pairs.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), "blocks").cast("int").alias("block"), F.lit(1).alias("role"), F.col("b").alias("doc_id"))
+        rows = rows.unionByName(blocks.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), F.col("a").alias("doc_id")))
+        # pairs grow with the corpus: they are merged at every size, and only texts that have one are shuffled
+        texts = sieve(docs, rows).where("maybe").drop("maybe").join(rows.hint("merge"), "doc_id")
+        grouped = texts.repartition("a", "block").sortWithinPartitions("a", "block", "role")
+        return grouped.mapInArrow(confirmer(shingle, percent), "a bigint, b bigint, linked boolean, n_a bigint, n_b bigint, delta array<bigint>")
+
+    around = tables.save(confirmed(near), "around")
+    first = tables.save(around.where("linked").select("a", "b").unionByName(confirmed(lone).where("linked").select("a", "b")).distinct(), "links")
     member = connected(first, "a", "b")
 
     # members of a pivot against each other, across components
@@ -273,13 +317,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, chunks
     mixed = sized.groupBy("pivot").agg(F.max_by("component", F.struct("rows", "component")).alias("main"), F.count("*").alias("parts"), F.sum("rows").alias("rows"), F.sum("load").alias("load"), F.max(F.struct("rows", "component", "load")).alias("most"))
     blocks = lambda rows, load: F.greatest(F.ceil(rows / BLOCK_ROWS), F.ceil(load / BLOCK_LOAD), F.lit(1)).cast("int")
     mixed = mixed.where("parts > 1").select("pivot", "main", blocks(F.col("rows"), F.col("load")).alias("ny"), blocks(F.col("rows") - F.col("most.rows"), F.col("load") - F.col("most.load")).alias("nx"))
-    open_ = saved(rows.join(mixed, "pivot"), "open")
+    open_ = tables.save(rows.join(mixed, "pivot"), "open")
+    tables.drop("around")
     block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     kept = ["pivot", "rep", "component", "n", "delta"]
     minor = open_.where("component <> main").select(*kept, block("nx").alias("x"), each("ny").alias("y"))
     whole = open_.select(*kept, block("ny").alias("y"), each("nx").alias("x"))
-    second = saved(minor.groupBy("pivot", "x", "y").cogroup(whole.groupBy("pivot", "x", "y")).applyInArrow(comparer(percent), "a bigint, b bigint"), "more")
+    second = tables.save(minor.groupBy("pivot", "x", "y").cogroup(whole.groupBy("pivot", "x", "y")).applyInArrow(comparer(percent), "a bigint, b bigint"), "more")
+    tables.drop("open", "star", "lone", "links")
 
     member = connected(member.select(F.col("vertex").alias("a"), F.col("component").alias("b")).unionByName(second), "a", "b")
     classes = reps.select(*same, "rep").join(member.withColumnRenamed("vertex", "rep"), "rep", "left")
@@ -290,6 +336,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, chunks
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "class_id")
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` but for the doc_ids of ``gone``; rows that a bitmap of those rules out aren't shuffled."""
+    seen = sieve(docs, gone)
+    left = seen.where("maybe").join(gone.select("doc_id").hint("merge"), "doc_id", "left_anti")
+    return seen.where("NOT maybe").unionByName(left).drop("maybe")
+
+
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
