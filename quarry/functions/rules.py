@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Points of each field of a listing.
@@ -115,3 +115,21 @@ def ranked(value: Column, order: Iterable[str]) -> Column:
     """The place of a value in a fixed order; others come last."""
     names = list(order)
     return F.coalesce(*[F.when(value == n, i) for i, n in enumerate(names)], F.lit(len(names)))
+
+
+def regressed(rows: DataFrame, images: float = 30, field: float = 40, known: float = 30, lost: float = 80) -> DataFrame:
+    """Adds ``reasons`` and ``verdict`` to ``usual, lots, was, is_, had, has``: what fell, by more than so many points."""
+    c = F.col
+    reasons = [
+        F.when((c("usual") > 5) & (c("lots") < 0.5 * c("usual")), "error:lots").when((c("usual") > 5) & (c("lots") < 0.8 * c("usual")), "warning:lots"),
+        F.when((c("was") > 30) & (c("was") - c("is_") > images), "warning:images"),
+        F.when((c("had") >= known) & (c("had") - c("has") > field), "warning:field"),
+        F.when((c("had") > lost) & (c("has") == 0), "warning:lost"),
+    ]
+    rows = rows.withColumn("reasons", F.array_compact(F.array(*reasons)))
+    return rows.withColumn("verdict", F.when(F.array_contains("reasons", "error:lots"), "regression").when(F.size("reasons") > 0, "degraded").otherwise("healthy"))
+
+
+def demotion(recall: Column, rival: Column, lots: Column, found: Column, least: int = 5) -> Column:
+    """Whether a cheaper way may take over: parity, or why not."""
+    return F.when(recall.isNull() | rival.isNull(), "no signal").when(lots < least, "too few").when(found < lots, "found fewer").when(rival >= recall, "parity").otherwise("shortfall")

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import io
+import tempfile
+import uuid
+import zipfile
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
-from ..functions import text as T
 from ..registry import query
-from ..sources.tables import EVENTS, EVENTS_NOW, LISTINGS, ORDERS_TODAY, events, listings, load, now, today
+from ..sources import files
+from ..sources.tables import EVENTS_NOW, LISTINGS, ORDERS_TODAY, events, listings, load, now, today
 
 #: The columns that the feed serves.
 MANIFEST = ["id", "house", "price", "status", "sale_date", "prop_type"]
@@ -37,6 +43,50 @@ def served_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.to_json(F.struct("id", "house", "status", "sale_date")).alias("doc"))
 
 
+@query("s05_headed_csv", """
+WITH c AS (SELECT c_custkey AS id, c_acctbal AS balance, DATE '2020-01-01' + (c_custkey % 900)::INT AS day FROM customer)
+SELECT id::INT AS id, CASE WHEN id % 6 <> 0 THEN floor(abs(balance) * 10)::INT END AS price, CASE WHEN id % 7 <> 0 THEN day END AS day, CASE WHEN id % 5 <> 0 THEN 'He said "' || id || '", twice' END AS note FROM c""")
+def headed_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A CSV with its own headers, thousands marks, dates of two forms, quotes and gaps, read by name and kind."""
+    path, k = _scratch(spark, "headed"), F.col("c_custkey")
+    price = F.when(k % 6 == 0, "n/a").otherwise(F.format_number(F.floor(F.abs("c_acctbal") * 10), 0))
+    day = F.date_add(F.lit("2020-01-01").cast("date"), (k % 900).cast("int"))
+    when = F.when(k % 7 == 0, "soon").when(k % 2 == 0, F.date_format(day, "dd/MM/yyyy")).otherwise(F.date_format(day, "dd-MM-yyyy"))
+    note = F.when(k % 5 == 0, " ").otherwise(F.concat(F.lit('He said "'), k.cast("string"), F.lit('", twice')))
+    load(spark, sf_dir, "customer").select(k.alias("Ref"), price.alias("Guide Price"), when.alias("SALE DATE"), note.alias("Note")).write.csv(path, header=True, escape='"', quoteAll=True, emptyValue="")
+    return files.headed_csv(spark, path, {"id": ("ref", "int"), "price": ("guide price", "int"), "day": ("sale date", "date"), "note": ("note", "text")})
+
+
+@query("s06_positional_csv", "SELECT event_id::INT AS id, event_type AS kind, value FROM events WHERE event_id % 7 <> 0")
+def positional_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines without headers, read by place; a line of another width is dropped."""
+    path, k = _scratch(spark, "positional"), F.col("event_id")
+    line = F.concat_ws(",", k.cast("string"), "event_type", F.col("value").cast("string"), F.when(k % 7 == 0, "extra"))
+    load(spark, sf_dir, "events").select(line.alias("line")).write.text(path)
+    return files.positional_csv(spark, path, [("id", "int"), ("kind", "text"), ("value", "num")])
+
+
+@query("s07_zipped_owners", "SELECT s_suppkey AS title, (1 + (s_suppkey % 3 = 0)::INT)::INT AS n_owners, s_name AS first_owner, CASE WHEN s_suppkey % 3 = 0 THEN 'Second ' || s_suppkey END AS last_owner FROM supplier")
+def zipped_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of CSV lines, 500 titles each, unzipped and their groups of columns made into owners."""
+    k = F.col("s_suppkey")
+    line = F.concat_ws(",", k.cast("string"), "s_name", F.lit("C1"), F.lit("UK"), F.when(k % 3 == 0, F.concat(F.lit("Second "), k.cast("string"))).otherwise(" "), F.lit("C2"), F.lit("FR"))
+    rows = load(spark, sf_dir, "supplier").select(F.floor(k / 500).alias("part"), line.alias("line"))
+
+    def zipped(frame: pd.DataFrame) -> pd.DataFrame:
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("titles.csv", "\n".join(frame["line"]) + "\n")
+            z.writestr("readme.txt", "none")
+        return pd.DataFrame({"path": [f"part-{frame['part'].iloc[0]}.zip"], "content": [held.getvalue()]})
+
+    lines = files.unzipped(rows.groupBy("part").applyInPandas(zipped, "path string, content binary"))
+    cells = lines.select(F.from_csv("line", F.lit("title bigint, a string, b string, c string, d string, e string, f string")).alias("r")).select("r.*")
+    c = F.col
+    named = cells.select("title", files.owners([(c("a"), c("b"), c("c")), (c("d"), c("e"), c("f"))]).alias("o"))
+    return named.select("title", F.size("o").alias("n_owners"), F.get("o", F.lit(0))["name"].alias("first_owner"), F.get("o", F.lit(1))["name"].alias("last_owner"))
+
+
 @query("s09_json_items", """
 WITH r AS (SELECT user_id, event_type, k FROM (SELECT *, (props->>'$.k')::INT AS k FROM events)) SELECT user_id % 40 AS site, event_type AS kind, k AS number, count(*) AS n FROM r WHERE k % 3 <> 0 GROUP BY 1, 2, 3""")
 def json_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,9 +172,6 @@ def exports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scratch(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``; a temporary one only on one machine without the setting."""
-    import tempfile
-    import uuid
-
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         if not spark.conf.get("spark.master", "").startswith("local") or spark.conf.get("spark.master", "").startswith("local-cluster"):

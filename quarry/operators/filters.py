@@ -109,8 +109,10 @@ def sanity_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("f26_teaser_mask", f"WITH {LISTINGS} SELECT id, house, CASE WHEN row_number() OVER (PARTITION BY house ORDER BY price DESC, id) <= 3 THEN price END AS price FROM listings")
 def teaser_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = F.row_number().over(Window.partitionBy("house").orderBy(F.desc("price"), "id"))
-    return listings(spark, sf_dir).select("id", "house", F.when(r <= 3, F.col("price")).alias("price"))
+    """The three dearest rows of a house show their price; they are found first, and the rest isn't sorted."""
+    rows = listings(spark, sf_dir).select("id", "house", "price")
+    top = rows.withColumn("r", F.row_number().over(Window.partitionBy("house").orderBy(F.desc("price"), "id"))).where("r <= 3").select("id", F.lit(True).alias("shown"))
+    return rows.join(top, "id", "left").select("id", "house", F.when(F.col("shown"), F.col("price")).alias("price"))
 
 
 @query("f27_red_flags", "SELECT doc_id FROM documents WHERE regexp_matches(lower(text), 'knotweed|asbestos|idiot') OR list_has_any(string_split(lower(text), ' '), ['clown', 'scum'])")

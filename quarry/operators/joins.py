@@ -68,11 +68,13 @@ def inner_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CANON = r"lower(regexp_replace(regexp_replace(regexp_replace(trim(url), '[#?].*$', ''), '/+$', ''), '^https?://(www\.|m\.|blog\.)?', ''))"
 
 
-@query("j03_twin_theta", f"WITH p AS (SELECT page_id, {_CANON} AS canon FROM pages) SELECT a.page_id AS older, b.page_id AS newer FROM p a JOIN p b ON a.canon = b.canon AND a.page_id < b.page_id")
+@query("j03_twin_theta", f"WITH p AS (SELECT page_id, {_CANON} AS canon FROM pages) SELECT page_id AS older, (max(page_id) OVER (PARTITION BY canon)) AS newest FROM p QUALIFY page_id < max(page_id) OVER (PARTITION BY canon)")
 def twin_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page with the newest of its host variants, where that is another: one row a page, not one a pair."""
     u = F.regexp_replace(F.regexp_replace(F.trim("url"), r"[#?].*$", ""), r"/+$", "")
     p = load(spark, sf_dir, "pages").select("page_id", F.lower(F.regexp_replace(u, r"^https?://(www\.|m\.|blog\.)?", "")).alias("canon"))
-    return p.alias("a").join(p.alias("b"), (F.col("a.canon") == F.col("b.canon")) & (F.col("a.page_id") < F.col("b.page_id"))).select(F.col("a.page_id").alias("older"), F.col("b.page_id").alias("newer"))
+    newest = p.groupBy("canon").agg(F.max("page_id").alias("newest"))
+    return p.join(newest, "canon").where("page_id < newest").select(F.col("page_id").alias("older"), "newest")
 
 
 @query("j04_calendar_lookup", f"""
@@ -115,19 +117,42 @@ _SEARCHES = "searches AS (SELECT c_custkey AS search_id, c_mktsegment AS kind, c
 @query("j10_saved_searches", f"""
 WITH {LISTINGS}, {_SEARCHES} SELECT search_id, id FROM searches JOIN listings ON listings.prop_type = searches.kind AND price IS NOT NULL AND price <= max_price AND status = 'available' AND sale_date >= DATE '2001-06-01'""")
 def saved_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Saved searches against listings: equality on the type bounds the theta part; null prices never match."""
-    s = load(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.col("c_custkey").alias("search_id"), F.col("c_mktsegment").alias("prop_type"), (F.col("c_acctbal").cast("decimal(18,2)") * 30).alias("max_price"))
-    feed = listings(spark, sf_dir).where((F.col("status") == "available") & (F.col("sale_date") >= F.lit("2001-06-01").cast("date"))).select("id", "prop_type", "price")
-    return s.join(feed, (s.prop_type == feed.prop_type) & (feed.price <= s.max_price)).select("search_id", "id")
+    """Saved searches against listings by type and price step: the steps below a search's own match whole.
+
+    So the join is an equality over many keys, and no task has a type's whole product; null prices
+    never match.
+    """
+    s = _searches(spark, sf_dir)
+    feed = listings(spark, sf_dir).where((F.col("status") == "available") & (F.col("sale_date") >= F.lit("2001-06-01").cast("date"))).select("id", "prop_type", "price", price_step(F.col("price")).alias("step"))
+    each = s.select("search_id", "prop_type", "max_price", F.explode(F.sequence(F.lit(0), "step")).alias("step"))
+    return each.join(feed, ["prop_type", "step"]).where("price <= max_price").select("search_id", "id")
+
+
+#: Pounds of a price step.
+STEP = 10_000
+
+
+def price_step(price: Column) -> Column:
+    return F.floor(price / STEP).cast("int")
+
+
+def _searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    most = F.col("c_acctbal").cast("decimal(18,2)") * 30
+    return load(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.col("c_custkey").alias("search_id"), F.col("c_mktsegment").alias("prop_type"), most.alias("max_price"), price_step(most).alias("step"))
 
 
 @query("f15_unsold_alert_top20", f"""
 WITH {LISTINGS}, {_SEARCHES} SELECT search_id, id FROM searches JOIN listings ON listings.prop_type = searches.kind AND price <= max_price AND status = 'stc' QUALIFY row_number() OVER (PARTITION BY search_id ORDER BY sale_date DESC, id) <= 20""")
 def unsold_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = load(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.col("c_custkey").alias("search_id"), F.col("c_mktsegment").alias("prop_type"), (F.col("c_acctbal").cast("decimal(18,2)") * 30).alias("max_price"))
-    unsold = listings(spark, sf_dir).where("status = 'stc'").select("id", "prop_type", "price", "sale_date")
-    hits = s.join(unsold, (s.prop_type == unsold.prop_type) & (unsold.price <= s.max_price))
-    return hits.withColumn("r", F.row_number().over(Window.partitionBy("search_id").orderBy(F.desc("sale_date"), "id"))).where("r <= 20").select("search_id", "id")
+    """The newest 20 within a search's price: of each lower price step only its newest 20 can be among them."""
+    s = _searches(spark, sf_dir)
+    unsold = listings(spark, sf_dir).where("status = 'stc'").select("id", "prop_type", "price", "sale_date", price_step(F.col("price")).alias("step"))
+    newest = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("sale_date"), "id"))
+    tops = unsold.withColumn("r", newest("prop_type", "step")).where("r <= 20").select("id", "prop_type", "sale_date", "step")
+    below = s.where("step > 0").select("search_id", "prop_type", F.explode(F.sequence(F.lit(0), F.col("step") - 1)).alias("step")).join(tops, ["prop_type", "step"])
+    own = s.join(unsold, ["prop_type", "step"]).where("price <= max_price")
+    hits = below.select("search_id", "id", "sale_date").unionByName(own.select("search_id", "id", "sale_date"))
+    return hits.withColumn("r", newest("search_id")).where("r <= 20").select("search_id", "id")
 
 
 @query("j12_asof_relist", f"""
@@ -183,11 +208,19 @@ def tiered_comps(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH t AS (SELECT p_partkey AS id, p_brand AS block, list_distinct(string_split(p_name, ' ')) AS words FROM part)
 SELECT a.id, max_by(b.id, (len(list_intersect(a.words, b.words)), -b.id)) AS best, max(len(list_intersect(a.words, b.words)))::INT AS shared FROM t a JOIN t b ON a.block = b.block AND a.id <> b.id AND len(list_intersect(a.words, b.words)) * 2 >= len(a.words) GROUP BY a.id""")
 def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best match by shared words, at least half of them; candidates share a word within the block."""
+    """Best match by shared words, at least half of them.
+
+    Who shares half of n words shares one of the rarest n - ceil(n / 2) + 1 of them, so candidates
+    come from those alone, and words that a whole block has join nothing unless a name has no others.
+    """
     t = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("block"), F.array_distinct(F.split("p_name", " ")).alias("words"))
-    w = t.select("id", "block", F.size("words").alias("n"), F.explode("words").alias("word"))
-    other = w.select(F.col("id").alias("other"), "block", "word")
-    shared = w.join(other, ["block", "word"]).where("id <> other").groupBy("id", "other", "n").agg(F.count("*").cast("int").alias("shared")).where("shared * 2 >= n")
+    w = t.select("id", "block", F.explode("words").alias("word"))
+    often = w.groupBy("block", "word").agg(F.count("*").alias("often"))
+    rare = w.join(often, ["block", "word"]).groupBy("id", "block").agg(F.array_sort(F.collect_list(F.struct("often", "word"))).alias("r"))
+    rare = rare.select("id", "block", F.explode(F.slice("r", F.lit(1), F.size("r") - F.ceil(F.size("r") / 2).cast("int") + 1)).alias("r")).select("id", "block", "r.word")
+    pairs = rare.join(w.select(F.col("id").alias("other"), "block", "word"), ["block", "word"]).where("id <> other").select("id", "other").distinct()
+    both = pairs.join(t.select("id", "words"), "id").join(t.select(F.col("id").alias("other"), F.col("words").alias("others")), "other")
+    shared = both.select("id", "other", F.size("words").alias("n"), F.size(F.array_intersect("words", "others")).alias("shared")).where("shared * 2 >= n")
     best = shared.groupBy("id").agg(F.max(F.struct("shared", (-F.col("other")).alias("o"))).alias("m"))
     return best.select("id", (-F.col("m.o")).alias("best"), F.col("m.shared").alias("shared"))
 

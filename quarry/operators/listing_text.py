@@ -150,13 +150,15 @@ def status_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", F.when(t.rlike("sold stc|subject to contract"), "stc").when(t.rlike(r"\bsold\b"), "sold").when(t.rlike("withdrawn"), "withdrawn").otherwise("available").alias("status"))
 
 
-@query("e10_grounding", """
-SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40 WHERE len(list_filter(list_distinct(string_split(lower(b.text), ' ')), lambda w: length(w) > 5 AND contains(lower(d.text), w))) >= 5""")
+@query("e10_grounding", r"""
+WITH b AS (SELECT DISTINCT item_id, w FROM (SELECT item_id, unnest(string_split(lower(text), ' ')) AS w FROM benchmark) WHERE length(w) > 5),
+d AS (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+')) AS w FROM documents) WHERE length(w) > 5)
+SELECT item_id, doc_id FROM b JOIN d USING (w) GROUP BY 1, 2 HAVING count(*) >= 5""")
 def grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that a text bears out: five or more of its long words occur there."""
-    b = load(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 40).alias("k"), F.filter(F.array_distinct(F.split(F.lower("text"), " ")), lambda w: F.length(w) > 5).alias("words"))
-    d = load(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 40).alias("k"), F.lower("text").alias("t"))
-    return d.join(b, "k").where(F.size(F.filter("words", lambda w: F.contains(F.col("t"), w))) >= 5).select("item_id", "doc_id")
+    """Rows that a text bears out: five or more of its long words occur there. Only shared words meet."""
+    b = load(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("w")).where(F.length("w") > 5)
+    d = load(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"))).alias("w")).where(F.length("w") > 5)
+    return d.join(b, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("n")).where("n >= 5").select("item_id", "doc_id")
 
 
 @query("k01_json_path", f"WITH {EVENTS} SELECT event_id, k FROM ev WHERE k > 900")

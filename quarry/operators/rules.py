@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import rules as R
 from ..functions.text import REGIONS, area, real_date
@@ -233,34 +233,40 @@ def earliest_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def diverse(rows: DataFrame, order: list, caps: dict[str, int], top: int) -> DataFrame:
-    """Greedy picks in an order under caps on each column: ``rows`` with ``pick`` (1 is the first).
+    """Greedy picks in order with at most ``caps`` rows for each value of a column, ``top`` in all, with ``pick`` from 1.
 
     A row that follows ``min(caps)`` rows with the same values in all capped columns can never be
-    picked, so those rows alone reach the one sequential step: their number is bounded by the
-    combinations of values and not by the rows.
+    picked, so each task keeps only the first ones of each combination. Then ``top`` rounds take
+    the first row whose values still have room: each is a top-1 over those, and one row comes back.
     """
     same = Window.partitionBy(*caps).orderBy(*order)
-    few = rows.withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= min(caps.values())).drop("_n")
-
-    def choose(frame: pd.DataFrame) -> pd.DataFrame:
-        seen: dict[tuple, int] = {}
-        picks = []
-        for i, row in frame.sort_values("_place").iterrows():
-            keys = [(c, row[c]) for c in caps]
-            if len(picks) < top and all(seen.get(k, 0) < caps[k[0]] for k in keys):
-                picks.append(i)
-                for k in keys:
-                    seen[k] = seen.get(k, 0) + 1
-        out = frame.loc[picks].drop(columns=["_all", "_place"])
-        out["pick"] = range(1, len(out) + 1)
-        return out
-
-    placed = few.withColumn("_all", F.lit(0)).withColumn("_place", F.row_number().over(Window.partitionBy("_all").orderBy(*order)))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", pick int"
-    return placed.groupBy("_all").applyInPandas(choose, schema)
-
-
-@query("w20_diverse_picks")
+    few = rows.withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= min(caps.values())).drop("_n").persist()
+    picks: list = []
+    for _ in range(top):
+        room = F.lit(True)
+        for column, most in caps.items():
+            values = [p[column] for p in picks]
+            full = [v for v in set(values) if values.count(v) >= most]
+            room = room & ~F.col(column).eqNullSafe(F.lit(None)) if None in full else room
+            named = [v for v in full if v is not None]
+            room = room & F.coalesce(~F.col(column).isin(named), F.lit(True)) if named else room
+        rest = few.where(room)
+        if picks:
+            rest = rest.join(F.broadcast(rows.sparkSession.createDataFrame(picks, rows.schema)), rows.columns, "left_anti")  # at most ``top`` rows
+        picks += rest.orderBy(*order).limit(1).collect()
+        if len(picks) <= _:
+            break
+    few.unpersist()
+    schema = T.StructType([*rows.schema.fields, T.StructField("pick", T.IntegerType(), False)])
+    return rows.sparkSession.createDataFrame([(*p, i) for i, p in enumerate(picks, 1)], schema)
+
+
+@query("w20_diverse_picks", f"""
+WITH RECURSIVE {_POUNDS}, o AS (SELECT id, house, prop_type, region, pounds, row_number() OVER (ORDER BY pounds DESC, id) AS place FROM p WHERE status <> 'sold'),
+g AS (SELECT 0 AS pick, 0::BIGINT AS place, []::VARCHAR[] AS hs, []::VARCHAR[] AS ts, []::BIGINT[] AS rs
+  UNION ALL SELECT pick + 1, n.place, list_append(hs, n.house), list_append(ts, n.prop_type), list_append(rs, n.region::BIGINT) FROM (
+    SELECT g.*, (SELECT min(o.place) FROM o WHERE o.place > g.place AND len(list_filter(g.hs, lambda x: x = o.house)) < 2 AND len(list_filter(g.ts, lambda x: x = o.prop_type)) < 3 AND len(list_filter(g.rs, lambda x: x = o.region)) < 2) AS nxt FROM g WHERE pick < 8) s JOIN o n ON n.place = s.nxt)
+SELECT id, house, prop_type, region, pounds, pick FROM g JOIN o USING (place) WHERE pick > 0""")
 def diverse_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pounds(listings(spark, sf_dir)).where("status <> 'sold'").select("id", "house", "prop_type", "region", "pounds")
     return diverse(rows, [F.desc("pounds"), "id"], {"house": 2, "prop_type": 3, "region": 2}, 8)

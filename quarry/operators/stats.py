@@ -18,6 +18,29 @@ def ranked(df: DataFrame, keys: list[str], value: str, *ties: str) -> DataFrame:
     return df.withColumns({"i": F.row_number().over(w.orderBy(value, *ties)) - 1, "n": F.count("*").over(w)})
 
 
+#: Values that share a bin of the first pass of ``at_places``.
+WIDTH = 1024
+
+
+def at_places(df: DataFrame, keys: list[str], value: str, places: dict[str, Column]) -> DataFrame:
+    """``keys, n`` and the whole-number values at some places (columns over ``n``, from 0) of each group, exactly.
+
+    Nothing is sorted: counts of bins, combined in each task, tell the bin of each place, and the
+    rows of those bins alone are counted by value. A place outside the group gives null.
+    """
+    binned = df.select(*keys, F.col(value).alias("_v"), F.floor(F.col(value) / WIDTH).alias("_bin"))
+    whole = Window.partitionBy(*keys)
+    before = lambda n, w: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = binned.groupBy(*keys, "_bin").agg(F.count("*").alias("_n"))
+    bins = bins.withColumns({"n": F.sum("_n").over(whole), "_before": before("_n", whole.orderBy("_bin"))})
+    wanted = bins.select(*keys, "n", "_bin", "_n", "_before", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), p.cast("bigint").alias("p")) for k, p in places.items()])).alias("w"))
+    wanted = wanted.where((F.col("w.p") >= F.col("_before")) & (F.col("w.p") < F.col("_before") + F.col("_n"))).select(*keys, "n", "_bin", F.col("w.k").alias("_k"), (F.col("w.p") - F.col("_before")).alias("_at"))
+    inner = binned.join(wanted.select(*keys, "_bin").distinct(), [*keys, "_bin"], "left_semi").groupBy(*keys, "_bin", "_v").agg(F.count("*").alias("_c"))
+    inner = inner.withColumn("_ahead", before("_c", Window.partitionBy(*keys, "_bin").orderBy("_v")))
+    found = wanted.join(inner, [*keys, "_bin"]).where((F.col("_at") >= F.col("_ahead")) & (F.col("_at") < F.col("_ahead") + F.col("_c")))
+    return found.groupBy(*keys).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("_k") == k, F.col("_v"))).alias(k) for k in places])
+
+
 def at_share(p: float, value: str = "pence") -> Column:
     """The value at place floor(n p)."""
     return F.max(F.when(F.col("i") == F.floor(F.col("n") * F.lit(p)), F.col(value)))
@@ -28,16 +51,18 @@ WITH {SALES}, r AS (SELECT district, pence, row_number() OVER (PARTITION BY dist
 SELECT district, any_value(n) AS n, max(pence) FILTER (i = floor(n * 0.25)) AS p25, max(pence) FILTER (i = floor(n * 0.75)) AS p75, min(pence) AS low, max(pence) AS high,
   CASE WHEN any_value(n) % 2 = 1 THEN max(pence) FILTER (i = n // 2) ELSE floor((max(pence) FILTER (i = n // 2) + max(pence) FILTER (i = n // 2 - 1)) / 2.0 + 0.5)::BIGINT END AS median FROM r GROUP BY district""")
 def order_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = ranked(sales(spark, sf_dir), ["district"], "pence", "sale_id", "line")
-    half = F.floor(F.col("n") / 2)
-    upper, lower = F.max(F.when(F.col("i") == half, F.col("pence"))), F.max(F.when(F.col("i") == half - 1, F.col("pence")))
-    n = F.max("n")
-    return r.groupBy("district").agg(n.alias("n"), at_share(0.25).alias("p25"), at_share(0.75).alias("p75"), F.min("pence").alias("low"), F.max("pence").alias("high"), F.when(n % 2 == 1, upper).otherwise(F.floor((upper + lower) / 2 + 0.5).cast("bigint")).alias("median"))
+    n = F.col("n")
+    half = F.floor(n / 2)
+    r = at_places(sales(spark, sf_dir), ["district"], "pence", {"p25": F.floor(n * 0.25), "p75": F.floor(n * 0.75), "low": F.lit(0), "high": n - 1, "upper": half, "lower": half - 1})
+    middle = F.when(n % 2 == 1, F.col("upper")).otherwise(F.floor((F.col("upper") + F.col("lower")) / 2 + 0.5).cast("bigint"))
+    return r.select("district", "n", "p25", "p75", "low", "high", middle.alias("median"))
 
 
 @query("a33_median", f"WITH {SALES} SELECT kind, median(pence) AS median FROM sales GROUP BY kind")
 def median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sales(spark, sf_dir).groupBy("kind").agg(F.median("pence").alias("median"))
+    n = F.col("n")
+    r = at_places(sales(spark, sf_dir), ["kind"], "pence", {"upper": F.floor(n / 2), "lower": F.floor((n - 1) / 2)})
+    return r.select("kind", ((F.col("upper") + F.col("lower")) / 2).alias("median"))
 
 
 @query("a34_yield_band", f"""
@@ -130,9 +155,9 @@ def backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = s.where(F.col("sold_on") < cut).groupBy("postcode").agg((F.sum("pence").cast("double") / F.count("*")).alias("est"), F.count("*").alias("seen"))
     confidence = F.when(F.col("seen") >= 20, "high").when(F.col("seen") >= 10, "medium").otherwise("low")
     e = s.where((F.col("sold_on") >= cut) & (F.col("pence") > 0)).join(m, "postcode").select(confidence.alias("confidence"), F.round(F.abs(F.col("pence") - F.col("est")) * 1000000 / F.col("pence")).cast("bigint").alias("ppm"), "sale_id", "line")
-    r = ranked(e, ["confidence"], "ppm", "sale_id", "line")
-    n = F.max("n")
-    return r.groupBy("confidence").agg(n.alias("n"), (F.sum("ppm").cast("double") / n).alias("mae_ppm"), at_share(0.5, "ppm").alias("p50"), at_share(0.9, "ppm").alias("p90"), (F.count_if(F.col("ppm") <= 150000).cast("double") * 100 / n).alias("in_band"))
+    places = at_places(e, ["confidence"], "ppm", {"p50": F.floor(F.col("n") * F.lit(0.5)), "p90": F.floor(F.col("n") * F.lit(0.9))})
+    sums = e.groupBy("confidence").agg((F.sum("ppm").cast("double") / F.count("*")).alias("mae_ppm"), (F.count_if(F.col("ppm") <= 150000).cast("double") * 100 / F.count("*")).alias("in_band"))
+    return places.join(sums, "confidence").select("confidence", "n", "mae_ppm", "p50", "p90", "in_band")
 
 
 @query("a52_scrape_diff", """
@@ -205,9 +230,14 @@ def mean_of_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("e05_stratified_sample", f"WITH {LISTINGS} SELECT id, house, status FROM listings QUALIFY row_number() OVER (PARTITION BY house, status = 'available' ORDER BY md5(id::VARCHAR), id) <= CASE WHEN status = 'available' THEN 4 ELSE 1 END")
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    open_ = F.col("status") == "available"
-    r = F.row_number().over(Window.partitionBy("house", open_).orderBy(F.md5(F.col("id").cast("string")), "id"))
-    return listings(spark, sf_dir).withColumn("r", r).where(F.col("r") <= F.when(open_, 4).otherwise(1)).select("id", "house", "status")
+    return stratified(listings(spark, sf_dir).select("id", "house", "status"))
+
+
+def stratified(rows: DataFrame, open_: int = 4, other: int = 1) -> DataFrame:
+    """So many open rows and others of each house, by hash; the bounds are literal, so tasks drop the rest before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy("house").orderBy(F.md5(F.col("id").cast("string")), "id"))
+    parts = [rows.where(when).withColumn("_r", rank).where(F.col("_r") <= n).drop("_r") for when, n in ((F.col("status") == "available", open_), (F.col("status") != "available", other))]
+    return parts[0].unionByName(parts[1])
 
 
 @query("e14_field_coverage", "SELECT source, avg((lang IS NOT NULL AND lang <> '')::INT) AS lang, avg((n_chars > 0)::INT) AS chars, avg((text LIKE '%.%')::INT) AS stops FROM documents GROUP BY source")

@@ -68,8 +68,11 @@ def richest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("w06_dedup_within_house", f"""
 WITH {LISTINGS} SELECT id, house, deal_type, price FROM listings QUALIFY length(prop_type) < 9 OR row_number() OVER (PARTITION BY house, owner, floor(price / 50000) ORDER BY id) = 1""")
 def dedup_within_house(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("house", "owner", F.floor(F.col("price") / 50000)).orderBy("id")
-    return listings(spark, sf_dir).withColumn("rank", F.row_number().over(w)).where((F.length("prop_type") < 9) | (F.col("rank") == 1)).select("id", "house", "deal_type", "price")
+    """The first of each place and price step; the least id is combined in each task, so nothing is sorted."""
+    rows = listings(spark, sf_dir).withColumn("step", F.floor(F.col("price") / 50000))
+    first = rows.groupBy("house", "owner", "step").agg(F.min("id").alias("id")).select("id")
+    short = F.length("prop_type") < 9
+    return rows.where(short).unionByName(rows.where(~short).join(first, "id", "left_semi").select(rows.columns)).select("id", "house", "deal_type", "price")
 
 
 @query("w07_prefer_open_soonest", f"""
@@ -130,16 +133,18 @@ def rolling_five(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {LISTINGS}, r AS (SELECT id, house, row_number() OVER (PARTITION BY house ORDER BY sale_date, id) AS turn FROM listings WHERE status = 'stc')
 SELECT id, house, turn FROM r ORDER BY turn, house LIMIT 60""")
 def fair_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A turn for each house until 60 are dealt; no house can have more, so each task keeps its first 60."""
     turn = F.row_number().over(Window.partitionBy("house").orderBy("sale_date", "id"))
-    return listings(spark, sf_dir).where("status = 'stc'").select("id", "house", turn.alias("turn")).orderBy("turn", "house").limit(60)
+    return listings(spark, sf_dir).where("status = 'stc'").select("id", "house", turn.alias("turn")).where("turn <= 60").orderBy("turn", "house").limit(60)
 
 
 @query("w13_per_house_cap", f"""
 WITH {LISTINGS} SELECT id, house, deal_type FROM listings WHERE status <> 'sold' QUALIFY deal_type = '1-URGENT' OR row_number() OVER (PARTITION BY house, deal_type = '1-URGENT' ORDER BY sale_date DESC, id) <= 5""")
 def per_house_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     ever = F.col("deal_type") == "1-URGENT"
-    rank = F.row_number().over(Window.partitionBy("house", ever).orderBy(F.desc("sale_date"), "id"))
-    return listings(spark, sf_dir).where("status <> 'sold'").withColumn("r", rank).where(ever | (F.col("r") <= 5)).select("id", "house", "deal_type")
+    rows = listings(spark, sf_dir).where("status <> 'sold'").select("id", "house", "deal_type", "sale_date")
+    few = rows.where(~ever).withColumn("r", F.row_number().over(Window.partitionBy("house").orderBy(F.desc("sale_date"), "id"))).where("r <= 5").drop("r")
+    return rows.where(ever).unionByName(few).select("id", "house", "deal_type")
 
 
 @query("w14_soonest_else_latest", f"""
@@ -238,10 +243,10 @@ SELECT id, CASE WHEN sale_date >= DATE '2001-07-29' THEN 'keep' WHEN scraped < D
 def ghosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows unseen for over four days: flipped only where the house was scraped and has more fresh rows than ghosts."""
     stale = F.col("sale_date") < F.date_sub(today(), 4)
-    house = Window.partitionBy("house")
-    rows = listings(spark, sf_dir).where("status <> 'sold' AND sale_date >= DATE '2001-06-01'")
-    verdict = F.when(~stale, "keep").when(F.max("sale_date").over(house) < F.date_sub(today(), 3), "unconfirmed").when(F.count_if(~stale).over(house) < F.count_if(stale).over(house), "held").otherwise("flip")
-    return rows.select("id", verdict.alias("verdict"))
+    rows = listings(spark, sf_dir).where("status <> 'sold' AND sale_date >= DATE '2001-06-01'").select("id", "house", "sale_date")
+    house = rows.groupBy("house").agg(F.max("sale_date").alias("scraped"), F.count_if(~stale).alias("fresh"), F.count_if(stale).alias("ghosts"))
+    verdict = F.when(~stale, "keep").when(F.col("scraped") < F.date_sub(today(), 3), "unconfirmed").when(F.col("fresh") < F.col("ghosts"), "held").otherwise("flip")
+    return rows.join(house, "house").select("id", verdict.alias("verdict"))
 
 
 @query("u08_conditional_retire", f"""

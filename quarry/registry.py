@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
-_MODULES = [f"quarry.operators.{m}" for m in ("deals", "feeds", "filters", "health", "joins", "listing_text", "ranking", "rules", "schedules", "stats", "streams", "vocab", "windows")]
+_MODULES = [f"quarry.operators.{m}" for m in ("checks", "deals", "feeds", "filters", "health", "joins", "listing_text", "ranking", "rules", "schedules", "stats", "streams", "vocab", "windows")]
 
 
 def query(name: str, oracle: str | None = None):

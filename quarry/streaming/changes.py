@@ -16,18 +16,14 @@ CHANGES = "key bigint, seq bigint, change string, old_value string, new_value st
 STATE = "status string, price double"
 
 
-def change_events(states: DataFrame) -> DataFrame:
-    """Batch: typed changes between consecutive states ``(key, seq, status, price)`` of a key."""
+def change_events(states: DataFrame, fields: tuple[str, ...] = ("status", "price")) -> DataFrame:
+    """Batch: typed changes between consecutive states ``(key, seq, *fields)`` of a key; the first field names a first state."""
     w = Window.partitionBy("key").orderBy("seq")
-    rows = states.withColumns({"n": F.row_number().over(w), "p_status": F.lag("status").over(w), "p_price": F.lag("price").over(w)})
+    rows = states.withColumns({"n": F.row_number().over(w), **{f"p_{f}": F.lag(f).over(w) for f in fields}})
     change = lambda when, kind, a, b: F.when(when, F.struct(F.lit(kind).alias("change"), a.cast("string").alias("old_value"), b.cast("string").alias("new_value")))
-    later, nothing = F.col("n") > 1, F.lit(None)
-    found = F.array(
-        change(~later, "first_seen", nothing, F.col("status")),
-        change(later & ~F.col("status").eqNullSafe(F.col("p_status")), "status", F.col("p_status"), F.col("status")),
-        change(later & ~F.col("price").eqNullSafe(F.col("p_price")), "price", F.col("p_price"), F.col("price")),
-    )
-    return rows.select("key", "seq", F.explode(F.array_compact(found)).alias("c")).select("key", "seq", "c.*")
+    later = F.col("n") > 1
+    found = [change(~later, "first_seen", F.lit(None), F.col(fields[0]))] + [change(later & ~F.col(f).eqNullSafe(F.col(f"p_{f}")), f, F.col(f"p_{f}"), F.col(f)) for f in fields]
+    return rows.select("key", "seq", F.explode(F.array_compact(F.array(*found))).alias("c")).select("key", "seq", "c.*")
 
 
 def _text(value) -> str | None:
