@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cached_property
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -27,32 +27,51 @@ from .common import SPACES, as_bytes, mix, record, saved, sieve, sliced, table
 from .tokens import Encoder, public
 
 WINDOW, BITS, LEAST = 24, 10, 256
-_P = np.uint64(0x100000001B3)
+#: Bytes hashed at once.
+STEP = 1 << 18
+
+
+@cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2**64."""
+    base, n = 0x100000001B3, STEP + 2 * WINDOW
+    out = []
+    for b in (base, pow(base, -1, 1 << 64)):
+        powers = np.full(n, b, np.uint64)
+        powers[0] = 1
+        out.append(np.multiply.accumulate(powers))
+    return out[0], out[1]
 
 
 def cuts(data: bytes) -> list[int]:
-    """Bounds of the chunks of a text: content decides, at least ``LEAST`` bytes apart."""
+    """Bounds of the chunks of a text: content decides, at least ``LEAST`` bytes apart.
+
+    The hash of a window is a polynomial in its bytes; all windows of a block come from one running
+    sum, brought to the same power.
+    """
+    if not data:
+        return [0]
+    up, down = _powers()
     out, start = [0], 0
-    step = 1 << 20
-    while start < len(data):  # a block at a time, each with the window before it
+    while start < len(data) and len(data) >= 2 * LEAST:  # a block at a time, each with the window before it
         low = max(0, start - WINDOW + 1)
-        x = np.frombuffer(data, np.uint8, min(len(data), start + step) - low, low).astype(np.uint64) + np.uint64(1)
+        x = np.frombuffer(data, np.uint8, min(len(data), start + STEP) - low, low)
         n = x.size - WINDOW + 1
         if n > 0:
-            h = np.zeros(n, np.uint64)
-            for j in range(WINDOW):
-                h *= _P
-                h += x[j : j + n]
+            sums = np.zeros(x.size + 1, np.uint64)
+            np.cumsum((x.astype(np.uint64) + np.uint64(1)) * down[: x.size], out=sums[1:])
+            h = (sums[WINDOW:] - sums[:n]) * up[WINDOW - 1 : WINDOW - 1 + n]
             ends = np.flatnonzero(mix(h) >> np.uint64(64 - BITS) == 0) + low + WINDOW
             for e in ends.tolist():
                 if e - out[-1] >= LEAST and len(data) - e >= LEAST:
                     out.append(e)
-        start += step
-    return [*out, len(data)] if data else [0]
+        start += STEP
+    return [*out, len(data)]
 
 
-def chunk_hash(chunk: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(chunk, digest_size=8).digest(), "little", signed=True)
+def chunk_hash(chunk: bytes) -> bytes:
+    """What a chunk is known by: 128 bits, so that among 10**12 chunks two meet with a chance of 1e-15."""
+    return hashlib.blake2b(chunk, digest_size=16).digest()
 
 
 def _ragged(chunk: bytes) -> tuple[bytes, list[bytes], bytes]:
@@ -137,7 +156,7 @@ class Chunks(Encoder):
 
 def _listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every chunk of every text: its hash and its number in the document."""
-    schema = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("hash", pa.int64()), ("k", pa.int32())])
+    schema = pa.schema([("chunk", pa.binary()), ("doc_id", pa.int64()), ("hash", pa.int64()), ("k", pa.int32())])
     for batch in sliced(batches):
         rows = []
         for i, h, data in zip(batch.column("doc_id").to_pylist(), batch.column("hash").to_pylist(), as_bytes(batch.column("text"))):
@@ -152,7 +171,7 @@ _ENCODED = pa.struct([("k", pa.int32()), ("head", pa.binary()), ("ids", pa.binar
 
 def _owned(vocabulary: str):
     """Encodes the chunks that a document owns."""
-    schema = pa.schema([("chunk", pa.int64()), ("head", pa.binary()), ("ids", pa.binary()), ("tail", pa.binary())])
+    schema = pa.schema([("chunk", pa.binary()), ("head", pa.binary()), ("ids", pa.binary()), ("tail", pa.binary())])
     encoder = Chunks(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +220,7 @@ def encoded(docs: DataFrame, vocabulary: str, digest: bool = True) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
     key = ["doc_id", "hash"]  # a doc_id may have several texts
-    listed = docs.where("doc_id IS NOT NULL").mapInArrow(_listing, "chunk bigint, doc_id bigint, hash bigint, k int")
+    listed = docs.where("doc_id IS NOT NULL").mapInArrow(_listing, "chunk binary, doc_id bigint, hash bigint, k int")
     owners = listed.groupBy("chunk").agg(F.min(F.struct(*key, "k")).alias("owner"), F.max(F.struct(*key)).alias("last")).where((F.col("last.doc_id") != F.col("owner.doc_id")) | (F.col("last.hash") != F.col("owner.hash"))).select("chunk", "owner")
     uses = saved(listed.join(owners, "chunk").distinct(), "uses")
     # only documents that may hold a shared chunk are shuffled
@@ -209,7 +228,7 @@ def encoded(docs: DataFrame, vocabulary: str, digest: bool = True) -> DataFrame:
 
     own = uses.where((F.col("owner.doc_id") == F.col("doc_id")) & (F.col("owner.hash") == F.col("hash")) & (F.col("owner.k") == F.col("k")))
     own = saved(own.groupBy(*key).agg(F.collect_list("k").alias("own")), "own")
-    done = saved(sieve(docs, own).where("maybe").join(own, key).select("text", "own").mapInArrow(_owned(vocabulary), "chunk bigint, head binary, ids binary, tail binary").dropDuplicates(["chunk"]), "encoded")
+    done = saved(sieve(docs, own).where("maybe").join(own, key).select("text", "own").mapInArrow(_owned(vocabulary), "chunk binary, head binary, ids binary, tail binary").dropDuplicates(["chunk"]), "encoded")
     shared = uses.select(*key, "k", "chunk").join(done, "chunk").groupBy(*key).agg(F.collect_list(F.struct("k", "head", "ids", "tail")).alias("shared"))
 
     run, encoder = _digests(vocabulary)
