@@ -246,13 +246,14 @@ def diverse(rows: DataFrame, order: list, caps: dict[str, int], top: int) -> Dat
         room = F.lit(True)
         for column, most in caps.items():
             values = [p[column] for p in picks]
-            full = [v for v in set(values) if values.count(v) >= most]
-            room = room & ~F.col(column).eqNullSafe(F.lit(None)) if None in full else room
-            named = [v for v in full if v is not None]
-            room = room & F.coalesce(~F.col(column).isin(named), F.lit(True)) if named else room
+            for full in {v for v in values if values.count(v) >= most}:
+                room = room & ~F.col(column).eqNullSafe(F.lit(full))
         rest = few.where(room)
-        if picks:
-            rest = rest.join(F.broadcast(rows.sparkSession.createDataFrame(picks, rows.schema)), rows.columns, "left_anti")  # at most ``top`` rows
+        for p in picks:
+            same_row = F.lit(True)
+            for column in rows.columns:
+                same_row = same_row & F.col(column).eqNullSafe(F.lit(p[column]))
+            rest = rest.where(~same_row)
         picks += rest.orderBy(*order).limit(1).collect()
         if len(picks) <= _:
             break
