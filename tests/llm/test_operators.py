@@ -101,6 +101,34 @@ def test_near_duplicates_odd_cases(odd, empty):
     assert minhash.near_duplicates(empty, 2, 80).count() == 0
 
 
+def test_a_hot_bucket_goes_on_from_task_to_task(spark):
+    """Near copies whose buckets fill several tasks, beside copies, and texts that share one passage only."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(120)]
+    texts = {}
+    for i in range(0, 400):
+        words = list(base)
+        for _ in range(rng.randrange(0, 6)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        texts[i] = " ".join(words)
+    for i in range(400, 460):
+        texts[i] = " ".join(base[:40] + [f"y{rng.randrange(10**6)}" for _ in range(200)])
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(7)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, 5, 80).collect()}
+    assert got == components(texts, 5, 80)[0]
+
+
+def test_pivots_of_runs_that_cross_batches_and_tasks():
+    import pyarrow as pa
+
+    rows = [(1, 5), (2, 1), (2, 3), (2, 7), (3, 2), (3, 9), (4, 4)]
+    batch = lambda part: pa.record_batch([pa.array([r[k] for r in part], pa.int64()) for k in (0, 1)], names=["key", "rep"])
+    for cut in range(len(rows) + 1):
+        out = [tuple(r.values()) for b in minhash.pivoter()(iter([batch(rows[:cut]), batch(rows[cut:])])) for r in b.to_pylist()]
+        assert sorted(r[:3] for r in out if not r[3]) == [(2, 1, 3), (2, 1, 7), (3, 2, 9)]
+        assert [r[:3] for r in out if r[3]] == [(1, 5, 5), (4, 4, 4)]
+
+
 def test_url_filter_rules(spark):
     urls = [
         (1, "http://A.Example.NET/en/x?q#f", ""), (2, "https://b.example.net/fr/", ""), (3, "http://c.example.com/de/1", ""), (4, "http://org/fr/x", ""),
@@ -123,7 +151,9 @@ def test_distrust_runs_against_links_and_trust_along_them(spark):
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
     got = {r.host: r for r in url_filter.filtered(df, [], trusted=("good.test",), blocked=("bad.test",)).collect()}
     assert got["bad.test"].verdict == "block" and got["fan.test"].verdict == "block"
-    assert got["good.test"].verdict == "allow" and got["friend.test"].trust == pytest.approx(0.85)
+    assert got["good.test"].verdict == "allow" and got["friend.test"].verdict == "allow"
+    d = url_filter.DAMPING
+    assert got["friend.test"].trust == got["fan.test"].distrust == pytest.approx(d / (1 + d), abs=1e-4) and got["fan.test"].trust == 0
 
 
 def with_host(pages):
@@ -158,12 +188,66 @@ def test_ranks_reach_the_fixed_point(spark):
         for (a, b), e in edges.items():
             a, b = (a, b) if way == 1 else (b, a)
             part[at[b], at[a]], n[at[b], at[a]] = e[way], e[0]
-        flow = part / np.maximum(n.sum(axis=0), 1)
-        want.append(np.linalg.solve(np.eye(len(names)) - 0.85 * flow, np.array([float(h in seeds) for h in names])))
+        system = np.eye(len(names)) - url_filter.DAMPING * part / np.maximum(n.sum(axis=0), 1)
+        want.append(np.linalg.solve(system, np.array([float(h in seeds) for h in names])) / np.linalg.solve(system, np.ones(len(names))))
     assert len(got) == 33
     for h, ranks in got.items():
-        assert ranks == pytest.approx((want[0][at[h]], want[1][at[h]]), abs=1e-4)
-    assert got["h25.test"][0] > 0.85**26
+        assert ranks == pytest.approx((want[0][at[h]], want[1][at[h]]), abs=2e-3)
+    assert got["h25.test"][0] > 0
+
+
+def test_url_verdicts_of_pages_by_dense_iteration(spark):
+    """The whole query over the pages of the smallest tables, with links between hosts added, in plain numpy."""
+    pages = [(r.page_id, r.url, r.html) for r in table(spark, SF, "pages").collect()]
+    # hosts without a rule that link to blocked ones, so that their distrust decides
+    links = "".join(f'<a href="http://bad{k}.net/">b</a>' for k in range(4))
+    pages += [(1000 + k, f"http://bad{k}.net/x", "") for k in range(4)] + [(1010 + k, f"http://fan{k}.test/x", links) for k in range(3)]
+    parsed = []
+    for i, u, html in pages:
+        rest = u.split("://", 1)[1]
+        host = rest.split("/")[0].split("?")[0].split("#")[0].lower()
+        path = rest[len(host) :].split("?")[0].split("#")[0]
+        fits = [(len(r), r, v) for r, v in url_filter.RULES if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith("/" + r.split("/", 1)[1])]
+        parsed.append((i, host, max(fits)[2] if fits else None, [x.split("//")[1].split("/")[0].split('"')[0].lower() for x in html.split("<a ")[1:] if 'href="http' in x.split(">")[0]]))
+    count = {}
+    for _, h, _, _ in parsed:
+        count[h] = count.get(h, 0) + 1
+    below, edges = {}, {}
+    for h, n in count.items():
+        parts = h.split(".")
+        for k in range(max(1, len(parts) - 1)):
+            name = ".".join(parts[k:])
+            below[name] = below.get(name, 0) + n
+    for h, n in below.items():
+        if h.count(".") >= 2:
+            up = h.split(".", 1)[1]
+            for a, b, x, y in ((h, up, n / below[up], 1), (up, h, 1, n / below[up])):
+                e = edges.setdefault((a, b), [0, 0, 0])
+                e[0], e[1], e[2] = e[0] + 1, e[1] + x, e[2] + y
+    for _, h, _, links in parsed:
+        for b in links:
+            if b != h:
+                e = edges.setdefault((h, b), [0, 0, 0])
+                e[0], e[1], e[2] = e[0] + 1, e[1] + 1, e[2] + 1
+    names = sorted({*below, *(x for e in edges for x in e), *count})
+    at = {h: k for k, h in enumerate(names)}
+    share = lambda h, v: sum(x[1] == h and x[2] == v for x in parsed) / count[h] if h in count else 0
+    score = {}
+    for way, verdict in ((1, "allow"), (2, "block")):
+        flow, n = np.zeros((len(names), len(names))), np.zeros(len(names))
+        for (a, b), e in edges.items():
+            a, b = (a, b) if way == 1 else (b, a)
+            flow[at[b], at[a]] += e[way]
+            n[at[a]] += e[0]
+        rank, mass, seed = np.zeros(len(names)), np.zeros(len(names)), np.array([share(h, verdict) for h in names])
+        for _ in range(200):
+            rank, mass = seed + url_filter.DAMPING * flow @ (rank / np.maximum(n, 1)), 1 + url_filter.DAMPING * flow @ (mass / np.maximum(n, 1))
+        score[verdict] = rank / mass
+    want = {i: v or ("block" if score["block"][at[h]] - score["allow"][at[h]] > url_filter.MARGIN else "allow") for i, h, v, _ in parsed}
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    got = {r.page_id: r.verdict for r in url_filter.filtered(df, url_filter.RULES).collect()}
+    assert got == want
+    assert sum(v is None and want[i] == "block" for i, _, v, _ in parsed) >= 3
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
@@ -220,6 +304,25 @@ def test_quality_counts_by_brute_force(spark, odd, empty):
     assert quality.passing(df).columns == df.columns
 
 
+def test_quality_limits_follow_their_group(spark):
+    """Two sources of different spread have different limits; what one does often is odd in the other."""
+    rng, rows = np.random.default_rng(4), []
+    for source, usual in (("prose", 0.002), ("code", 0.08)):
+        for i in range(400):
+            words = [f"w{k}" for k in rng.integers(0, 10_000, 200)]
+            marks = rng.poisson(usual * 900 * rng.uniform(0.5, 1.5))
+            rows.append((len(rows), " ".join(words) + " " + "$" * int(marks), "en", source))
+    odd_ = " ".join(f"v{k}" for k in range(200)) + " " + "$" * 90
+    rows += [(9001, odd_, "en", "prose"), (9002, odd_, "en", "code"), (9003, odd_, "en", "new"), (9004, odd_, None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    limits = {r.source: r for r in quality.thresholds(quality.with_shares(quality.with_counts(df))).collect()}
+    assert limits["code"].max_symbol_share > 3 * limits["prose"].max_symbol_share
+    assert limits["prose"].max_symbol_share < limits["new"].max_symbol_share and limits[None].n_documents == 1
+    got = {r.doc_id: r.kept for r in quality.judged(df).collect()}
+    assert not got[9001] and got[9002]
+    assert np.mean([got[r[0]] for r in rows[:800]]) > 0.97
+
+
 def test_quality_matches_sql(spark):
     from oracle import same
 
@@ -243,6 +346,47 @@ def test_html_blocks_and_text(spark):
     assert wrong <= 6
 
 
+def test_html_text_of_pages_is_their_article(spark):
+    """Over the pages of the tables: what stands in the article, read by Python's own parser."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.open, self.out, self.held = [], [], []
+
+        def flush(self):
+            t = " ".join("".join(self.held).split())
+            self.out += [t] if t and "article" in self.open and not {"nav", "aside", "footer", "form", "div"} & set(self.open[self.open.index("article") :]) else []
+            self.held = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("p", "h1", "h2", "article", "div", "nav", "aside", "footer", "header", "li", "ul", "section", "form"):
+                self.flush()
+                while tag in ("p", "div", "aside") and "p" in self.open:
+                    self.open.remove("p")
+                self.open.append(tag)
+
+        def handle_endtag(self, tag):
+            if tag in self.open:
+                self.flush()
+                del self.open[len(self.open) - 1 - self.open[::-1].index(tag) :]
+
+        def handle_data(self, data):
+            self.held.append(data)
+
+    pages = table(spark, SF, "pages")
+    got = {r.page_id: r.text for r in html_text.extracted(pages, html_text.fit(pages)).collect()}
+    want = {}
+    for r in pages.collect():
+        p = Article()
+        p.feed(r.html)
+        p.flush()
+        want[r.page_id] = "\n\n".join(p.out)
+    same = sum(got[i] == want[i] for i in want)
+    assert same >= 0.9 * len(want) and all(got.values())
+
+
 def test_html_text_around_and_in_embedded_elements_stays():
     cut = lambda page: [b.text for b in html_text.blocks(page)]
     assert cut('<article><p>one</p><svg class="i"/><p>two</p><p>three <svg><path d="x"/></svg>four</p></article>') == ["one", "two", "three four"]
@@ -288,6 +432,28 @@ def test_gif_disposal_transparency_and_interlace():
         next(gif.decode(b"PNG"))
 
 
+def test_broken_and_boundless_gifs_are_null(spark):
+    import struct
+
+    good = gif.payload_gif(b"abc" * 64)
+    at = 13 + 768 + 8 + 10  # header, palette, control and box come before the code size
+    huge = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0x81, 0, 0) + good[13:]
+    media = [(1, 192, good), (2, 0, good[:at] + b"\0" + good[at + 1 :]), (3, 0, good[:at] + b"\x0c" + good[at + 1 :]), (4, 0, huge), (5, 0, b""), (6, 0, None), (7, 192, good[:-20])]
+    got = {r.doc_id: r for r in gif.described(spark.createDataFrame(media, "doc_id bigint, n_bytes bigint, media binary")).collect()}
+    assert got[1].payload == b"abc" * 64 and got[6].media_bytes is None
+    assert all(got[i].payload is None and not got[i].frames for i in (2, 3, 4, 5, 6)) and len(got[7].payload) == 192
+
+
+def test_media_query_columns(spark):
+    got = {r.doc_id: r for r in gif.op6_media_gif(spark, SF).collect()}
+    for r in table(spark, SF, "documents").collect():
+        p = gif.padded((r.text or "").encode())
+        g, m = got[r.doc_id], gif.payload_gif(p)
+        assert (g.n_bytes, g.payload_bytes, g.payload_sha256, g.tail_crc32) == (len((r.text or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+        assert (g.media_bytes, g.media_sha256) == (len(m), hashlib.sha256(m).hexdigest())
+        assert g.feature == ",".join(map(str, np.bincount(np.frombuffer(p, np.uint8) >> 4, minlength=16)))
+
+
 def test_media_round_trip(odd, empty):
     got = gif.described(gif.stored(odd)).collect()
     want = {r[0]: gif.padded((r[1] or "").encode()) for r in ODD}
@@ -313,6 +479,13 @@ def test_token_files(spark, odd, empty, tmp_path):
         blocks = list(token_files.read_sequences(f"{path}/{f.file}.arrows"))
         assert all(ids.shape[1] == 64 and ids.base is not None for ids, _ in blocks)
         assert sum(int(np.unpackbits(m).sum()) for _, m in blocks) == f.n
+        whole = [(i, m) for ids, mask in blocks for i, m in zip(ids, mask)]
+        for k, (ids, mask) in enumerate(whole):
+            one, bits = token_files.sequence(f"{path}/{f.file}.arrows", k)
+            assert (one == ids).all() and (bits == mask).all() and not one.flags.owndata
+        for k in (-1, len(whole), len(whole) + 1000):
+            with pytest.raises(IndexError):
+                token_files.sequence(f"{path}/{f.file}.arrows", k)
     other = f"file://{tmp_path}/none"
     assert token_files.read_token_files(token_files.write_token_files(empty, other, public("byte_bpe_50k.json")), other).count() == 0
 
@@ -321,8 +494,7 @@ def test_mixing_fills_siblings_before_ancestors(spark):
     rows = [("d0", "en", "a", 100), ("d0", "en", "b", 1000), ("d0", "de", "c", 50), ("d1", "en", "d", 5000)]
     leaves = spark.createDataFrame(rows, "domain string, lang string, source string, tokens bigint")
     got = {r.source: r.budget for r in mixing.budgets(leaves, {"domain": {"d0": 1, "d1": 1}}, 0.2, 1).collect()}
-    assert got == {"a": 100, "b": 515, "c": 50, "d": 615} or sum(got.values()) <= 1230
-    assert got["c"] == 50 and got["a"] == 100 and got["b"] + 150 in (614, 615) and got["d"] in (614, 615)
+    assert got == {"a": 100, "b": 465, "c": 50, "d": 615}
 
 
 def test_mixing_matches_sql_and_odd_cases(spark, odd, empty):
@@ -378,12 +550,57 @@ def test_segments_equal_brute_force():
         assert [(a, b) for a, b, _ in toxicity.segments(s)] == maximal(s.tolist(), 0, len(s))
 
 
+def test_segments_take_linear_time():
+    import time
+
+    def seconds(n):
+        s = np.full(4 * n, -0.9)
+        s[::4] = np.linspace(1, 2, n)  # hits further apart than their weight, each above the last
+        t = time.process_time()
+        assert len(toxicity.segments(s)) == n
+        return time.process_time() - t
+
+    seconds(1000)
+    assert seconds(64_000) < 2
+
+
+def test_toxicity_scores_by_hand(spark):
+    """The whole score of short texts from the model's weights, without the package's scan."""
+    docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    model = toxicity.fit(docs, labels)
+    weight, notable = dict(zip(model.buckets.tolist(), model.weights.tolist())), dict(zip(model.buckets.tolist(), model.notable.tolist()))
+    some = docs.where("length(text) < 3000").limit(40)
+    got = {r.doc_id: r for r in toxicity.scored(some, model).collect()}
+    words = Words(toxicity.GAPS, toxicity.SEED, toxicity.PREFIXES)
+    for r in some.collect():
+        raw = r.text.encode()
+        (_, (features,)), = words.texts(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        s = []
+        for f in toxicity._buckets(features).tolist():
+            best = max(f, key=lambda b: notable.get(b, 0.0))
+            s.append(weight.get(best, -toxicity.DRIFT) if notable.get(best, 0.0) else -toxicity.DRIFT)
+        found, rest = [], [(0, len(s))]
+        while rest:  # the best segment, then the same on either side of it
+            a, b = rest.pop()
+            top, low, at, here = (0.0, a, a), 0.0, a, 0.0
+            for i in range(a, b):
+                here += s[i]
+                if here - low > top[0] + 1e-9:
+                    top = (here - low, at, i + 1)
+                if here < low:
+                    low, at = here, i + 1
+            if top[0] > 0:
+                found.append(top[0])
+                rest += [(a, top[1]), (top[2], b)]
+        assert got[r.doc_id].score == pytest.approx(model.score(model.significance(found, len(s))), abs=1e-6)
+
+
 def test_toxicity_held_out_and_odd_cases(spark, odd, empty):
     sf = "/root/testdata/sf0.1"
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
     model = toxicity.fit(docs, labels)
     out = toxicity.scored(docs, model).join(labels, "doc_id").where(F.crc32(F.col("doc_id").cast("string")) % 5 == 0).toPandas()
-    assert out[out.toxic == 1].predicted.mean() > 0.8 and out[out.toxic == 0].predicted.mean() < 0.02
+    assert out[out.toxic == 1].predicted.mean() >= 0.9 and out[out.toxic == 0].predicted.mean() < 0.02
     rows = {r.doc_id: r for r in toxicity.scored(odd, model).collect()}
     assert rows[1].score == rows[2].score and rows[1].predicted == 0 and 0 <= rows[6].score <= 1
     assert toxicity.clean(odd, model).columns == odd.columns and toxicity.clean(odd, model).count() == len(ODD)
