@@ -46,12 +46,8 @@ PUBLIC = r"by\s+order\s+of\s+(?:the\s+)?(?:local\s+authority|council\b|housing\s
 UNITS = r"(\d{1,2})\s*(?:x\s*)?(?:self[- ]contained\s+)?(?:flats?|apartments?|units?)\b"
 BLOCK_OF, TIMES_BEDS = r"block\s+of\s+(\d{1,2})\b", r"(\d{1,2})\s*x\s*(?:one|two|three|1|2|3)\s*[-\s]?bed"
 FLATS, SOLD_SINGLY = r"flats|apartments|self[- ]contained|arranged as", r"individual flat sales|individual sales"
-#: States of repair, tenancy and works, in full.
-NEEDS_WORK = r"modernis|refurbishment|renovation|updating|in need of|improvement|for improve|requires? (?:updating|work|repair)|(?:tired|dated|worn) (?:condition|decor|throughout)|cosmetic work|stripping out|(?:complete|full|extensive) refurb|fixer.upper|requires attention"
-GOOD_ORDER = r"good order|good decorative|well maintained|recently refurbished|well presented|good condition|excellent condition|ready to let|move.in|turnkey"
-EMPTY, TENANTED = r"vacant possession|\bvp\b|vacant property|\bvacant\b|with vacant|sold with vacant", r"tenant|let to|tenanted|occupied|sitting tenant|subject to tenancy|assured shorthold"
-DEVELOPS = r"development potential|development opportunity|planning permission|pp granted|change of use|conversion potential|redevelopment|building plot"
-EXTENDS = r"extension potential|scope to extend|subject to requi[st]i?te? consents|loft conversion|\bhmo\b|potential to extend"
+NEEDS_WORK, GOOD_ORDER, EMPTY, TENANTED, DEVELOPS, EXTENDS = T.NEEDS, T.GOOD, T.VACANT, T.LET, T.DEVELOP, T.EXTEND
+#: What else is told.
 LISTED, BY_ORDER, SQFT = r"grade ii|listed", r"by order of", r"([\d,]+)\s*sq\s*(?:ft|feet)"
 
 

@@ -73,7 +73,7 @@ def price(text: Column) -> Column:
 
 
 def price_status(status: Column, text: Column, amount: Column) -> Column:
-    """The status of a price, in order of precedence."""
+    """The status of a price, in order of precedence; its patterns are fixed values."""
     s, t, none = F.lower(F.coalesce(status, F.lit(""))), F.lower(F.coalesce(text, F.lit(""))), ~(F.coalesce(amount, F.lit(0)) > 0)
     return (
         F.when(s.isin("sold", "unsold"), "sold")
@@ -112,7 +112,7 @@ def strip_html(page: Column) -> Column:
 SIGNALS = [
     ("Executor/probate", 1.5, r"executor|probate|estate of|personal representative"),
     ("Receivership", 2.0, r"receiver|receivership|administrator|liquidator|lpa receiver"),
-    ("Extension/HMO potential", 1.5, r"extension potential|scope to extend|loft conversion|\bhmo\b|potential to extend"),
+    ("Extension/HMO potential", 1.5, r"extension potential|scope to extend|subject to requi[st]i?te? consents|loft conversion|\bhmo\b|potential to extend"),
     ("Quick completion", 0.5, r"(4|5|6)\s*week\s*completion|six week"),
     ("Sitting tenant", -2.0, r"sitting tenant"),
     ("Knotweed", -2.0, r"knotweed"),
@@ -123,11 +123,14 @@ SIGNALS = [
     ("Flood risk", -1.0, r"flood risk|flood zone"),
     ("Contamination", -1.0, r"asbestos|contamination"),
 ]
+#: States of repair, works, tenancy and kinds.
 POOR = r"derelict|dilapidated|fire damage|structurally unsound|uninhabitable|condemned"
-NEEDS = r"modernis|refurbishment|renovation|updating|in need of|improvement"
-GOOD = r"good order|well maintained|recently refurbished|well presented|good condition|excellent condition|ready to let|turnkey"
-DEVELOP = r"development potential|development opportunity|planning permission|change of use|conversion potential|redevelopment|building plot"
-VACANT, LET = r"vacant possession|\bvp\b|\bvacant\b", r"tenant|let to|tenanted|occupied"
+NEEDS = r"modernis|refurbishment|renovation|updating|in need of|improvement|for improve|requires? (?:updating|work|repair)|(?:tired|dated|worn) (?:condition|decor|throughout)|cosmetic work|stripping out|(?:complete|full|extensive) refurb|fixer.upper|requires attention"
+GOOD = r"good order|good decorative|well maintained|recently refurbished|well presented|good condition|excellent condition|ready to let|move.in|turnkey"
+DEVELOP = r"development potential|development opportunity|planning permission|pp granted|change of use|conversion potential|redevelopment|building plot"
+EXTEND = r"extension potential|scope to extend|subject to requi[st]i?te? consents|loft conversion|\bhmo\b|potential to extend"
+VACANT = r"vacant possession|\bvp\b|vacant property|\bvacant\b|with vacant|sold with vacant"
+LET = r"tenant|let to|tenanted|occupied|sitting tenant|subject to tenancy|assured shorthold"
 HOUSE, FLAT, LAND = r"semi[- ]?detached|terraced?|detached house|bungalow|cottage|\bhouse\b", r"\bflats?\b|\bapartments?\b|\bmaisonette\b", r"\bland\b|\bplot\b|\bsite\b"
 
 
