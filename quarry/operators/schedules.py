@@ -291,3 +291,20 @@ def asked_in_words(spark: SparkSession, sf_dir: str) -> DataFrame:
             every = every & part
         hit.append(F.when(every, F.lit(q)))
     return rows.select(F.explode(F.array_compact(F.array(*hit))).alias("asked"), "id")
+
+
+@query("r07_adaptive_schedule", """
+WITH l AS (SELECT user_id, event_type, ts, row_number() OVER w AS back, first_value(event_type) OVER w AS lt FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)),
+r AS (SELECT user_id, any_value(lt) AS lt, coalesce(min(back) FILTER (event_type <> lt) - 1, count(*)) AS run, max(ts) AS last FROM l GROUP BY 1)
+SELECT user_id, run, CASE WHEN lt = 'error' AND run >= 2 THEN 'open' ELSE 'closed' END AS circuit, last + to_hours(CASE WHEN lt = 'error' AND run >= 2 THEN 24 ELSE least(pow(2, run - 1), 24)::INT END) AS due FROM r""")
+def adaptive_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When a source is due: twice as late for each like result in a row, a day where its failures open the circuit."""
+    from ..streaming.changes import backoff_hours
+
+    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    rows = load(spark, sf_dir, "events").select("user_id", "event_type", "ts", F.row_number().over(w).alias("back"), F.first("event_type").over(w).alias("latest"))
+    other = F.min(F.when(F.col("event_type") != F.col("latest"), F.col("back"))) - 1
+    per = rows.groupBy("user_id").agg(F.max("latest").alias("latest"), F.coalesce(other, F.count("*")).alias("run"), F.max("ts").alias("last"))
+    open_ = (F.col("latest") == "error") & (F.col("run") >= 2)
+    hours = F.when(open_, 24).otherwise(backoff_hours(F.col("run")).cast("int"))
+    return per.select("user_id", "run", F.when(open_, "open").otherwise("closed").alias("circuit"), (F.col("last") + F.make_dt_interval(hours=hours)).alias("due"))
