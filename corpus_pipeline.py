@@ -27,7 +27,7 @@ def stage(made: Callable) -> Callable:
 
     @wraps(made)
     def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        read = docs.inputFiles()
+        read = docs.inputFiles() if _left else []
         done = [p for p in _left if not any(p.rpartition("/")[2] in f for f in read)]
         _left[:] = [p for p in _left if p not in done]
         removed(spark, done)
@@ -41,20 +41,31 @@ def stage(made: Callable) -> Callable:
 
 @stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the fences of their language and source reject go."""
+    """Documents that the base rules or the limits of their language and source reject go.
+
+    Null, empty and wordless texts go (under 20 words); repeated rows stay or go together; null
+    languages and sources are groups of their own; very long texts are counted whole.
+    """
     return quality.passing(docs.select(*COLUMNS))
 
 
 @stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is 0.5 or more go; the labels teach the model, not the verdict."""
+    """Documents whose score is 0.5 or more go; the labels teach the model, not the verdict.
+
+    Null, empty and letterless texts have no finding and stay; repeated rows are scored alike.
+    """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.clean(docs.select(*COLUMNS), model)
 
 
 @stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8) the least doc_id stays."""
+    """Of each group of near copies (five-word shingles, similarity 0.8) the least doc_id stays.
+
+    Null, empty and wordless texts and rows without an id stay; rows that repeat an id are one
+    document, so all of them stay or go; texts under five words are one shingle.
+    """
     groups = saved(minhash.near_duplicates(docs, shingle=5, percent=80), "groups")
     return minhash.without(docs.select(*COLUMNS), groups.where("NOT kept")).select(*COLUMNS)
 
@@ -63,14 +74,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents by the target weights of the tree; a document of a second epoch comes twice.
 
-    The budget is ``mixing.SHARE`` of all tokens, so the rest of them goes.
+    The budget is ``mixing.SHARE`` of all tokens, so the rest of them goes: weights and supply alone
+    would take nearly everything. Null names are nodes of their own; texts without words cost
+    nothing and go with any prefix; rows that repeat an id are taken or left together.
     """
     return mixing.mixed(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 @stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each row's text, their digest and that of the text decoded from them."""
+    """Token ids of each row's text, their digest and that of the text decoded from them.
+
+    Null and empty texts have no ids; every row gives a row, also where an id repeats or is null.
+    """
     return bpe.encoded(docs, public("word_bpe_49k.json"))
 
 
@@ -82,7 +98,7 @@ STAGES = [
     ("bpe encoding", encode),
 ]
 
-#: Toxicity and near-duplicates are beyond SQL; tests hold near-dedup and encoding against brute force.
+#: Toxicity and encoding are beyond SQL; tests hold each stage against brute force or a plain computation.
 ORACLE_SQL = None
 
 
