@@ -20,9 +20,9 @@ def keep_first(df: DataFrame, keys: list, order: list) -> DataFrame:
 
 
 def keep_last_by_key(df: DataFrame, key: str, ordinal: str) -> DataFrame:
-    """The last row of each key by ordinal; rows with a null key all stay."""
-    w = Window.partitionBy(key).orderBy(F.desc(ordinal))
-    return df.withColumn("_rank", F.when(F.col(key).isNull(), 1).otherwise(F.row_number().over(w))).where("_rank = 1").drop("_rank")
+    """The last row of each key by ordinal; rows with a null key all stay, and are not dealt by it."""
+    last = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*df.columns), F.struct(ordinal)).alias("_row"))
+    return last.select("_row.*").unionByName(df.where(F.col(key).isNull()))
 
 
 def canonical_url(url: Column) -> Column:
