@@ -347,5 +347,22 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+#: The same in DuckDB: shingles meet by equality and components are walked, which is for small tables.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) END AS s FROM w),
+c AS (SELECT s, len(s) AS n, min(doc_id) AS rep FROM s GROUP BY s),
+g AS (SELECT rep, n, unnest(s) AS g FROM c),
+p AS (
+  SELECT a.rep AS a, b.rep AS b FROM g a JOIN g b ON a.g = b.g AND a.rep < b.rep AND least(a.n, b.n) * 100 >= 80 * greatest(a.n, b.n)
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+r AS (SELECT rep AS a, rep AS b FROM c WHERE n > 0 UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+m AS (SELECT a AS rep, min(b) AS component FROM r GROUP BY 1),
+k AS (SELECT s.doc_id, len(s.s) AS n, c.rep, m.component FROM s LEFT JOIN c ON len(s.s) > 0 AND c.s = s.s LEFT JOIN m ON m.rep = c.rep)
+SELECT doc_id, n::BIGINT AS n_shingles, coalesce(component, doc_id) AS component_id, doc_id = coalesce(component, doc_id) AS kept, coalesce(rep, doc_id) AS class_id FROM k
+"""
+
 QUERIES = {"op1_minhash_near_dedup": op1_minhash_near_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op1_minhash_near_dedup": ORACLE}
