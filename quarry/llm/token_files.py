@@ -86,7 +86,7 @@ def sequence(path: str, i: int) -> tuple[np.ndarray, np.ndarray]:
         if k:
             source.seek(start + k * (source.tell() - start))
             batch = pa.ipc.read_record_batch(pa.ipc.read_message(source), schema)
-    except (EOFError, pa.ArrowInvalid):
+    except (EOFError, OSError, pa.ArrowInvalid):
         raise IndexError(i) from None
     if i < 0 or j >= batch.num_rows:
         raise IndexError(i)

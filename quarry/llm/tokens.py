@@ -17,7 +17,7 @@ from functools import cached_property
 
 import numpy as np
 
-MEMORY = 400_000
+MEMORY = 300_000
 #: The memories of this process by path and kind.
 _MEMORIES: dict[tuple[str, str], list[dict]] = {}
 #: A space before white space or the end: white space runs there may join across pieces.
