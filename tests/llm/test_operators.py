@@ -129,6 +129,13 @@ def test_pivots_of_runs_that_cross_batches_and_tasks():
         assert [r[:3] for r in out if r[3]] == [(1, 5, 5), (4, 4, 4)]
 
 
+@pytest.mark.parametrize("module, name", [(minhash, "op1_minhash_near_dedup"), (url_filter, "op2_url_filter")])
+def test_matches_sql(spark, module, name):
+    from oracle import same
+
+    same(module.QUERIES[name](spark, SF), module.ORACLES[name], SF)
+
+
 def test_url_filter_rules(spark):
     urls = [
         (1, "http://A.Example.NET/en/x?q#f", ""), (2, "https://b.example.net/fr/", ""), (3, "http://c.example.com/de/1", ""), (4, "http://org/fr/x", ""),
@@ -517,6 +524,33 @@ def test_language_accuracy_and_odd_cases(spark, odd, empty):
     assert language.identified(empty, language.fit(empty)).count() == 0
 
 
+def test_language_votes_by_hand(spark):
+    """Trigrams, families and pairs of a few texts in plain loops; repeated rows are predicted alike."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    model = language.fit(docs)
+    rows = [(r.doc_id, r.text) for r in docs.where("length(text) BETWEEN 40 AND 1500").limit(25).collect()]
+    got = [(r.doc_id, r.lang_pred) for r in language.identified(spark.createDataFrame(rows + rows[:5], "doc_id bigint, text string"), model).collect()]
+    assert len(got) == 30 and len(set(got)) == 25
+
+    def fold(b):
+        return b - 97 + 2 if 97 <= b <= 122 else b - 65 + 2 if 65 <= b <= 90 else b - 128 + 28 if b >= 128 else 1
+
+    for i, text in rows:
+        c, count = [1, *map(fold, text.encode()), 1], {}
+        for a, b, d in zip(c, c[1:], c[2:]):
+            if b > 1 or (a > 1 and d > 1):
+                k = ((((a * 160 + b) * 160 + d) * 2654435761) % 2**32) >> 20
+                count[k] = count.get(k, 0) + 1
+        norm = sum(count.values()) ** 0.5
+        score = lambda w: sum(float(w[k]) * n**0.5 / norm for k, n in count.items()) + float(w[-1])
+        family = max(model.families, key=lambda f: score(model.of_family[model.families.index(f)]))
+        votes = dict.fromkeys(model.members[family], 0.0)
+        for (a, b), w in model.pairs.items():
+            if a in votes:
+                votes[a if score(w) > 0 else b] += 1
+        assert dict(got)[i] in [c for c, v in votes.items() if v == max(votes.values())]
+
+
 def test_every_language_is_learned_and_the_sample_is_bounded(spark, monkeypatch):
     rng, rows = np.random.default_rng(6), []
     for k in range(26):
