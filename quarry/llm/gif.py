@@ -21,6 +21,8 @@ from .common import as_bytes, record, saved, sliced, table
 
 #: Samples in a row and rows in a frame of what ``payload_gif`` writes; hundredths of a second a frame.
 WIDTH, ROWS, DELAY = 64, 1024, 4
+#: The most pixels of a canvas or frame that is read.
+PIXELS = 1 << 26
 GREY = bytes(v for i in range(256) for v in (i, i, i))
 
 
@@ -83,7 +85,13 @@ def lzw_encode(data: bytes, size: int = 8) -> bytes:
 
 
 def lzw_decode(data: bytes, size: int, most: int) -> bytes:
-    """At most ``most`` samples of a code stream; a stream that breaks off gives what it has."""
+    """At most ``most`` samples of a code stream; a stream that breaks off gives what it has.
+
+    Raises ValueError for a code size that the format doesn't have.
+    """
+    if not 1 <= size <= 8:
+        raise ValueError(f"no code size {size}")
+    size = max(2, size)
     clear, end = 1 << size, (1 << size) + 1
     raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int64)
     bits, at, out, have = 8 * len(data), 0, [], 0
@@ -168,6 +176,8 @@ def decode(data: bytes) -> Iterator[Frame]:
         at += 1
         return b"".join(parts)
 
+    if width * height > PIXELS:
+        raise ValueError(f"a canvas of {width} x {height}")
     shared = colours(flags)
     canvas = np.zeros((height, width, 4), np.uint8)
     delay, disposal, clear = 0, 0, None
@@ -188,6 +198,8 @@ def decode(data: bytes) -> Iterator[Frame]:
             table = shared if table is None else table
             size = data[at] if at < len(data) else 8
             at += 1
+            if w * h > PIXELS:
+                raise ValueError(f"a frame of {w} x {h}")
             samples = np.frombuffer(lzw_decode(chain(), size, w * h).ljust(w * h, b"\0"), np.uint8).reshape(h, w)
             if flags & 0x40:  # interlaced: four passes
                 order = np.concatenate([np.arange(s, h, d) for s, d in ((0, 8), (4, 8), (2, 4), (1, 2))])
@@ -254,29 +266,28 @@ _FRAMES = pa.list_(pa.struct([("delay_cs", pa.int32()), ("width", pa.int32()), (
 def described(media: DataFrame) -> DataFrame:
     """Reads a ``media`` column: ``doc_id, n_bytes, payload, frames`` (timed, with colour histograms).
 
-    Null or broken media have a null payload and no frames.
+    Null and broken media have a null payload; broken ones keep the frames before the break. A canvas
+    or frame of more than ``PIXELS`` pixels counts as broken (a header of ten bytes can claim 4 GB).
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("payload", pa.binary()), ("frames", _FRAMES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 64):
-                batch = whole.slice(at, 64)
-                size, sha, payload, frames = [], [], [], []
-                for m in batch.column("media").to_pylist():
-                    size.append(None if m is None else len(m))
-                    sha.append(None if m is None else hashlib.sha256(m).hexdigest())
-                    parts, mine = [], []
-                    try:
-                        for f in decode(m or b""):
-                            left, top, w, h = f.box
-                            parts.append(f.canvas[top : top + h, left : left + w, 0].tobytes())
-                            mine.append({"delay_cs": f.delay_cs, "width": w, "height": h, "histogram": histogram(f)})
-                        payload.append(b"".join(parts))
-                    except ValueError:
-                        payload.append(None)
-                    frames.append(mine)
-                yield record(schema, batch.column("doc_id"), batch.column("n_bytes"), size, sha, payload, frames)
+        for batch in sliced(batches, "media", 1 << 20):
+            size, sha, payload, frames = [], [], [], []
+            for m in batch.column("media").to_pylist():
+                size.append(None if m is None else len(m))
+                sha.append(None if m is None else hashlib.sha256(m).hexdigest())
+                parts, mine = [], []
+                try:
+                    for f in decode(m or b""):
+                        left, top, w, h = f.box
+                        parts.append(f.canvas[top : top + h, left : left + w, 0].tobytes())
+                        mine.append({"delay_cs": f.delay_cs, "width": w, "height": h, "histogram": histogram(f)})
+                    payload.append(b"".join(parts))
+                except ValueError:
+                    payload.append(None)
+                frames.append(mine)
+            yield record(schema, batch.column("doc_id"), batch.column("n_bytes"), size, sha, payload, frames)
 
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id bigint, n_bytes bigint, media_bytes bigint, media_sha256 string, payload binary, frames {FRAMES}")
 
