@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, record, sliced, table
+from .common import Words, least_hashed, record, sliced, table
 
 PATHS, WORDS, SHARES, HIDDEN = 96, 32, 6, 20
 WIDTH = PATHS + WORDS + SHARES
@@ -335,15 +335,19 @@ def weak_labels(page: list[Block]) -> np.ndarray | None:
 
 
 def fit(pages: DataFrame, sample: int = 200, made: int = 400) -> Labeller:
-    """Train on ``made`` pages of the generator and at most ``sample`` pages of the table."""
+    """Train on ``made`` pages of the generator and at most ``sample`` pages of the table.
+
+    Of the table, pages of up to 100,000 characters are learned from, and of each the first 400
+    blocks: bounds of the training sample alone, extraction has none.
+    """
     rng, words = np.random.default_rng(17), Words()
     x, y = [], []
     for _ in range(made):
         page = blocks(made_page(rng))
         x.append(vectors([Block(b.path, b.text.replace("\x01", "").strip() or "-", b.linked) for b in page], words))
         y.append(np.array(["\x01" in b.text for b in page], np.float32))
-    some = pages.where(F.length("html").between(1, 100_000)).orderBy(F.xxhash64("page_id"), "page_id").limit(sample).select("html")
-    for row in some.collect():
+    some = least_hashed(pages.select("page_id", "html"), sample, "page_id").where(F.length("html").between(1, 100_000))
+    for row in some.select("html").collect():
         page = blocks(row.html)[:400]
         labels = weak_labels(page)
         if labels is not None:
@@ -359,7 +363,8 @@ def extracted(pages: DataFrame, labeller: Labeller) -> DataFrame:
     """``page_id, url, text, n_chars, n_blocks``: content blocks joined by an empty line.
 
     Null and empty html, and pages without content, have an empty text. Repeated rows are treated
-    alike. Other columns are ignored.
+    alike; a block whose log-odds are 0 is left out. A very long page is in memory whole, with a
+    vector of ``WIDTH`` numbers for each block. Other columns are ignored.
     """
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_blocks", pa.int64())])
 
