@@ -1,8 +1,8 @@
 """The queries of this package by name, and the SQL of those that SQL can express."""
 
-from . import bpe, gif, html_text, language, minhash, mixing, quality, token_files, toxicity, url_filter
+from . import bpe, gif, hard_negatives, html_text, language, minhash, mixing, quality, token_files, toxicity, url_filter, vector_codes, warc
 
-MODULES = [bpe, gif, html_text, language, minhash, mixing, quality, token_files, toxicity, url_filter]
+MODULES = [bpe, gif, hard_negatives, html_text, language, minhash, mixing, quality, token_files, toxicity, url_filter, vector_codes, warc]
 
 
 def queries() -> dict:
