@@ -14,10 +14,11 @@ size; extraction is a map over the pages.
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,10 +33,12 @@ WIDTH = PATHS + WORDS + SHARES
 #: Blocks of the pages that are labelled at once.
 BATCH = 4096
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
+_NAME_END = re.compile(r"[\s/>]")
+#: Rest of a tag: what isn't quoted, and quoted values, up to its end; quantifiers don't give back.
+_TAG_REST = re.compile(r"[^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+>")
+_RAW_END = {t: re.compile(rf"</{t}\s*+>", re.I) for t in ("script", "style", "template")}
+#: Numbers beyond any character, which Python may refuse to read.
+_HUGE = re.compile(r"&#(?:0*+[1-9]\d{7,}|[xX]0*+[1-9a-fA-F][0-9a-fA-F]{6,});?")
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[a-z]+", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split())
@@ -51,17 +54,167 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"op
 LISTS = frozenset("ul ol menu dl table select".split())
 
 
+class Path(Sequence):
+    """Tags and names of all open elements, from the outermost; it shares those of the element around it."""
+
+    __slots__ = ("around", "own", "slots")
+
+    def __init__(self, around: Path | None, own: tuple[str, ...]):
+        self.around, self.own = around, own
+        #: A bit for each of ``PATHS`` features that a name hashes to, also those of the paths around.
+        self.slots = 0 if around is None else around.slots
+        for w in own:
+            h = zlib.crc32(w.encode())
+            self.slots |= 1 << h % PATHS | 1 << (h >> 12) % PATHS
+
+    def names(self) -> tuple[str, ...]:
+        parts, at = [], self
+        while at is not None:
+            parts.append(at.own)
+            at = at.around
+        return tuple(w for own in reversed(parts) for w in own)
+
+    def __len__(self) -> int:
+        return len(self.names())
+
+    def __getitem__(self, i):
+        return self.names()[i]
+
+    def __iter__(self):
+        return iter(self.names())
+
+
+ROOT = Path(None, ())
+
+
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    path: Path
     text: str
     linked: float  # share of its characters in links
 
 
+class _TagEnds:
+    """Where a tag ends that goes on at some place, quoted values passed over; None if the page ends first.
+
+    The first place that has no end makes a table of all quotes and ends of the page, read from its end
+    to its beginning once; so many tags with an odd quote cost no more than one.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.table = page, None
+
+    def __call__(self, at: int) -> int | None:
+        if self.table is None:
+            if m := _TAG_REST.match(self.page, at):
+                return m.end()
+            self.table = self._made()
+        places, ends = self.table
+        i = bisect.bisect_left(places, at)
+        return ends[i] if i < len(places) else None
+
+    def _made(self) -> tuple[list[int], list[int | None]]:
+        places = [m.start() for m in re.finditer(r"[>\"']", self.page)]
+        ends: list[int | None] = [None] * (len(places) + 1)
+        later: dict[str, int] = {}
+        for i in range(len(places) - 1, -1, -1):
+            c = self.page[places[i]]
+            if c == ">":
+                ends[i] = places[i] + 1
+            else:
+                ends[i] = ends[later[c] + 1] if c in later else None
+                later[c] = i
+        return places, ends[:-1]
+
+
+def tokens(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """``start, end, kind, tag, attributes`` of the markup in order, in time linear in the page's length.
+
+    Kinds: ``open``, ``close``, ``raw`` (an element whose content is no text, with its content) and
+    ``skip`` (comments and declarations). As in the HTML standard a comment or raw element without
+    an end takes what is left of the page. A ``<`` that no tag's end follows is text.
+    """
+    ends, last = _TagEnds(page), page.rfind(">")
+    at, delimiter = 0, -1
+    while (i := page.find("<", at)) >= 0:
+        at = i + 1
+        if page.startswith("<!--", i):
+            end = page.find("-->", i + 4)
+            at = len(page) if end < 0 else end + 3
+            yield i, at, "skip", "", ""
+        elif i >= last:
+            continue
+        elif page[i + 1] in "!?":
+            at = page.find(">", i + 2) + 1 or i + 1
+            if at > i + 1:
+                yield i, at, "skip", "", ""
+        else:
+            name = i + 1 + (page[i + 1] == "/")
+            if not ("a" <= page[name].lower() <= "z"):
+                continue
+            if delimiter <= name:  # the first one after an earlier name may be the next one still
+                delimiter = _NAME_END.search(page, name).start()
+            stop = delimiter
+            end = ends(stop)
+            if end is None:  # a name with a quote may be a name and a quoted value
+                end = ends(name)
+                if end is None:
+                    continue
+                stop = re.compile("[\"']").search(page, name).start()
+            tag, rest = page[name:stop].lower(), page[stop : end - 1]
+            at = end
+            if name > i + 1:
+                yield i, at, "close", tag, rest
+            elif tag in _RAW_END:
+                closed = _RAW_END[tag].search(page, end)
+                at = closed.end() if closed else len(page)
+                yield i, at, "raw", tag, rest
+            else:
+                yield i, at, "open", tag, rest
+
+
+class _Stack:
+    """Open elements; closing one finds it by its tag, however deep the others are nested."""
+
+    def __init__(self):
+        self.open: list[tuple[str, Path]] = []
+        self.places: dict[str, list[int]] = {}
+        self.lists: list[int] = []
+
+    def push(self, tag: str, own: tuple[str, ...]) -> None:
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag in LISTS:
+            self.lists.append(len(self.open))
+        self.open.append((tag, Path(self.path, own)))
+
+    def close(self, tag: str, within_list: bool = False) -> None:
+        """Close the innermost element of that tag, and all in it; ``within_list``: not beyond the innermost list."""
+        found = self.places.get(tag)
+        if not found or (within_list and self.lists and self.lists[-1] > found[-1]):
+            return
+        for other, _ in self.open[found[-1] :]:
+            self.places[other].pop()
+            if other in LISTS:
+                self.lists.pop()
+            self.open.pop()
+
+    @property
+    def path(self) -> Path:
+        return self.open[-1][1] if self.open else ROOT
+
+
+def plain(raw: str) -> str:
+    """Character references decoded, white space made single; numbers beyond any character are U+FFFD."""
+    return " ".join(html.unescape(_HUGE.sub("\ufffd", raw)).split())
+
+
 def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page in order, their text decoded and its white space made single."""
+    """The leaf blocks of a page in order, their text decoded and its white space made single.
+
+    What follows a tag that the page's end cuts off is no text, as in the HTML standard.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack = _Stack()
     parts: list[str] = []
     linked = 0
     at = links = 0
@@ -77,52 +230,38 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         if parts:
             whole = "".join(parts)
-            if s := " ".join(html.unescape(whole).split()):
-                out.append(Block(tuple(w for _, p in stack for w in p), s, min(1.0, linked / len(whole))))
+            if s := plain(whole):
+                out.append(Block(stack.path, s, min(1.0, linked / len(whole))))
             parts.clear()
         linked = 0
 
-    def close(tag: str, bar: frozenset = frozenset()) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == tag:
-                del stack[i:]
-                return
-            if stack[i][0] in bar:
-                return
-
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            text(page[at : m.start()])
-        at = m.end()
-        tag = (m[3] or "").lower()
-        if not tag:
-            if m[1]:
+    for start, end, kind, tag, attributes in tokens(page):
+        text(page[at:start])
+        at = end
+        if kind in ("skip", "raw"):
+            if kind == "raw":
                 text(" ")
-            continue
-        if m[2]:
+        elif kind == "close":
             if tag == "a":
                 links = max(0, links - 1)
             if tag not in INLINE:
                 flush()
-                close(tag)
-            continue
-        if tag in INLINE:
+                stack.close(tag)
+        elif tag in INLINE:
             links += tag == "a"
-            continue
-        if tag in VOID:
-            if tag == "hr":
-                flush()
-            else:
-                text(" ")
-            continue
-        flush()
-        if tag in ENDS_P:
-            close("p", LISTS)
-        for other in SIBLINGS.get(tag, ()):
-            close(other, LISTS)
-        names = [w.lower() for n in _NAMED.finditer(m[4] or "") for w in _PART.findall(n[1] or n[2] or n[3] or "")]
-        stack.append((tag, (tag, *(f".{w}" for w in names))))
-        links = 0
+        elif tag == "hr" or tag not in VOID:
+            flush()
+            if tag in VOID:
+                continue
+            if tag in ENDS_P:
+                stack.close("p", True)
+            for other in SIBLINGS.get(tag, ()):
+                stack.close(other, True)
+            names = [w.lower() for n in _NAMED.finditer(attributes) for w in _PART.findall(n[1] or n[2] or n[3] or "")]
+            stack.push(tag, (tag, *(f".{w}" for w in names)))
+            links = 0
+        else:
+            text(" ")
     if at < len(page):
         cut = _BROKEN.search(page, at)
         text(page[at : cut.start() if cut else len(page)])
@@ -134,11 +273,9 @@ def vectors(page: list[Block], words: Words) -> np.ndarray:
     x = np.zeros((len(page), WIDTH), np.float32)
     if not page:
         return x
+    slots = b"".join(b.path.slots.to_bytes(PATHS // 8, "little") for b in page)
+    x[:, :PATHS] = np.unpackbits(np.frombuffer(slots, np.uint8), bitorder="little").reshape(len(page), PATHS)
     for i, b in enumerate(page):
-        for w in set(b.path):
-            h = zlib.crc32(w.encode())
-            x[i, h % PATHS] = 1
-            x[i, (h >> 12) % PATHS] = 1
         n = len(b.text)
         x[i, -SHARES:] = min(1.0, np.log1p(n) / 8), b.linked, b.text[-1] in ".!?", sum(map(b.text.count, ".,;")) * 10 / n, i / len(page), 1
     raw = [b.text.encode() for b in page]
@@ -166,8 +303,11 @@ class Labeller:
             self.p[f"c{d}"] = np.concatenate([np.zeros(HIDDEN), np.ones(HIDDEN), np.zeros(2 * HIDDEN)]).astype(np.float32)
         self.p["v"], self.p["o"] = rng.normal(0, 0.1, 2 * HIDDEN).astype(np.float32), np.zeros(1, np.float32)
 
-    def _run(self, d: str, x: np.ndarray, mask: np.ndarray):
-        """States of one direction for x of shape (steps, pages, WIDTH); masked steps keep the state."""
+    def _run(self, d: str, x: np.ndarray, mask: np.ndarray, learn: bool = True):
+        """States of one direction for x of shape (steps, pages, WIDTH); masked steps keep the state.
+
+        The tape of all steps is kept only to ``learn`` from.
+        """
         steps, n, _ = x.shape
         h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
         z = x @ self.p[f"w{d}"] + self.p[f"c{d}"]
@@ -179,7 +319,8 @@ class Labeller:
             new = f * c + i * a
             s = np.tanh(new)
             m = mask[t][:, None]
-            tape.append((t, h, c, i, f, o, a, s, m))
+            if learn:
+                tape.append((t, h, c, i, f, o, a, s, m))
             h, c = np.where(m, o * s, h), np.where(m, new, c)
             out[t] = h
         return out, tape
@@ -216,7 +357,7 @@ class Labeller:
             while order and (not batch or (len(batch) + 1) * longest <= BATCH):
                 batch.append(order.pop())
             x, mask = self._padded([pages[k] for k in batch])
-            h = np.concatenate([self._run("f", x, mask)[0], self._run("b", x, mask)[0]], axis=2)
+            h = np.concatenate([self._run("f", x, mask, False)[0], self._run("b", x, mask, False)[0]], axis=2)
             y = h @ self.p["v"] + self.p["o"]
             for j, k in enumerate(batch):
                 out[k] = y[: len(pages[k]), j]
@@ -364,7 +505,8 @@ def extracted(pages: DataFrame, labeller: Labeller) -> DataFrame:
 
     Null and empty html, and pages without content, have an empty text. Repeated rows are treated
     alike; a block whose log-odds are 0 is left out. A very long page is in memory whole, with a
-    vector of ``WIDTH`` numbers for each block. Other columns are ignored.
+    vector of ``WIDTH`` numbers for each block; cutting it takes time linear in its length, whatever is
+    broken in it. An empty table gives none. Other columns are ignored.
     """
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_blocks", pa.int64())])
 
