@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..plans import search
+from ..plans import saved, search
 from ..registry import query
 from ..sources.tables import EVENTS, LISTINGS, ORDERS_TODAY, events, listings, load, today
 from ..streaming import circuits
@@ -241,6 +241,40 @@ def all_saved_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matchable(spark, sf_dir).select(F.explode(hit).alias("search"), "id")
 
 
+#: What the suppliers have stored, as expressions that Spark and DuckDB both read.
+STORED = {
+    "minPrice": "CASE WHEN s_suppkey % 3 = 0 THEN CAST(s_suppkey % 7 * 40000 AS STRING) END",
+    "maxPrice": "CASE WHEN s_suppkey % 4 <> 1 THEN CAST(s_suppkey % 7 * 40000 + 60000 AS STRING) || ' GBP' WHEN s_suppkey % 8 = 1 THEN '' END",
+    "excludePOA": "CASE WHEN s_suppkey % 3 = 1 THEN 'yes' ELSE 'no' END",
+    "beds": "CASE WHEN s_suppkey % 5 = 2 THEN CAST(s_suppkey % 6 AS STRING) || '+' WHEN s_suppkey % 5 = 3 THEN 'any' END",
+    "type": "CASE s_suppkey % 9 WHEN 1 THEN 'FLAT' WHEN 2 THEN 'house' WHEN 5 THEN 'e' END",
+    "status": "CASE s_suppkey % 11 WHEN 1 THEN 'available' WHEN 2 THEN 'sold' WHEN 3 THEN 'stc' WHEN 4 THEN 'unsold' WHEN 5 THEN 'all' WHEN 6 THEN 'recently_unsold' END",
+    "tenure": "CASE s_suppkey % 8 WHEN 1 THEN 'FREEHOLD' WHEN 2 THEN 'leasehold' END",
+    "location": "CASE s_suppkey % 10 WHEN 2 THEN 'HMO' WHEN 3 THEN 'mill lane' WHEN 4 THEN 'of' END",
+    "town": "CASE s_suppkey % 6 WHEN 1 THEN ' Leeds ' WHEN 3 THEN 'bristol' WHEN 4 THEN 'nowhere' WHEN 5 THEN '  ' END",
+    "postcode": "CASE s_suppkey % 5 WHEN 1 THEN 'ls 1' WHEN 2 THEN 'bs' WHEN 3 THEN 'LS12 3AB' END",
+    "condition": "CASE s_suppkey % 7 WHEN 1 THEN 'Work' WHEN 2 THEN 'good' END",
+    "deal": "CASE s_suppkey % 13 WHEN 1 THEN 'REFURB' WHEN 2 THEN 'extend' END",
+}
+_BOUND = lambda c: f"TRY_CAST(nullif(regexp_extract({c}, '^[+-]?[0-9]+'), '') AS BIGINT)"
+_PART = lambda want, text: f"({want} IS NULL OR {want} = '' OR contains(lower({text}), lower({want})))"
+
+
+@query("j10_saved_search_index", f"""
+WITH {_MATCHABLE}, f AS (SELECT s_suppkey AS search_id, {", ".join(f'{e} AS f_{c.lower()}' for c, e in STORED.items())} FROM supplier),
+n AS (SELECT *, {_BOUND('f_minprice')} AS low, {_BOUND('f_maxprice')} AS high, {_BOUND('f_beds')} AS rooms FROM f)
+SELECT search_id, id FROM n JOIN m ON (low IS NULL OR price >= low) AND (high IS NULL OR price <= high) AND (f_excludepoa <> 'yes' OR coalesce(price, 0) <> 0) AND (rooms IS NULL OR beds >= rooms)
+  AND (f_status IS NULL OR f_status IN ('all', 'recently_unsold') OR (f_status = 'unsold' AND status IN ('unsold', 'no_bid', 'not_sold')) OR (f_status = 'stc' AND status IN ('stc', 'sale_agreed')) OR (f_status IN ('available', 'sold') AND coalesce(status, 'available') = f_status))
+  AND (f_tenure IS NULL OR lower(tenure) = lower(f_tenure)) AND (trim(f_town) IS NULL OR trim(f_town) = '' OR contains(lower(address), lower(trim(f_town))))
+  AND (f_postcode IS NULL OR starts_with(replace(postcode, ' ', ''), upper(replace(f_postcode, ' ', ''))))
+  AND {_PART('f_location', "coalesce(address, '') || ' ' || coalesce(t, '')")} AND {_PART('f_type', "coalesce(kind, '')")} AND {_PART('f_condition', "coalesce(condition, '')")} AND {_PART('f_deal', "coalesce(deal, '')")}""")
+def saved_search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored JSON filters of twelve fields against all listings, found by their rarest condition."""
+    filters = F.to_json(F.struct(*(F.expr(e).alias(c) for c, e in STORED.items())))
+    searches = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("search_id"), filters.alias("filters"))
+    return saved.matched(searches, matchable(spark, sf_dir))
+
+
 #: What each concept of a search looks for, any of its signals being enough.
 CONCEPT_SQL = {
     "multi_unit_freehold": "units > 1 OR split OR contains(t, 'flats') OR contains(t, 'apartments') OR contains(t, 'block') OR contains(t, 'units') OR kind = 'flat'",
