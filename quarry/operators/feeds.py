@@ -10,10 +10,12 @@ import zipfile
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import dates as D
 from ..registry import query
 from ..sources import files
+from ..sources.snapshots import Snapshot
 from ..sources.tables import EVENTS_NOW, LISTINGS, ORDERS_TODAY, events, listings, load, now, today
 
 #: The columns that the feed serves.
@@ -148,6 +150,21 @@ def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return old.join(new, "key", "full").select("key", F.coalesce("n", "v").alias("v"))
 
 
+@query("s15_upsert_sink", """
+WITH b AS (SELECT user_id, event_type, CASE WHEN event_id % 4 <> 0 THEN value END AS value, ['signup', 'view', 'error'].list_position(event_type) AS batch FROM events WHERE event_type IN ('signup', 'view', 'error')
+  QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1)
+SELECT user_id, arg_max(event_type, batch) AS status, arg_max(value, batch) FILTER (value IS NOT NULL) AS value FROM b GROUP BY 1""")
+def upsert_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches upserted by user into a bucketed snapshot, the second one sent twice; a null keeps the old value."""
+    rows = load(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("status"), F.when(F.col("event_id") % 4 != 0, F.col("value")).alias("value"), "ts", "event_id")
+    schema = StructType([f for f in rows.schema.fields if f.name in ("user_id", "status", "value")])
+    table = Snapshot(spark, _scratch(spark, "snapshot"), schema, "user_id")
+    for batch, kind in enumerate(("signup", "view", "error")):
+        for _ in range(1 + (batch == 1)):
+            table.upsert(rows.where(F.col("status") == kind), batch, ["ts", "event_id"], fill=("value",))
+    return table.read()
+
+
 @query("s16_appended", "SELECT event_type, count(*) AS n, sum(user_id)::BIGINT AS users FROM events WHERE event_type IN ('click', 'error') GROUP BY 1")
 def appended(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two batches appended to one table, then read whole; the table lies in the shared folder."""

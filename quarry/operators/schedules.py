@@ -10,6 +10,7 @@ from ..plans import saved, search
 from ..registry import query
 from ..sources.tables import EVENTS, LISTINGS, ORDERS_TODAY, events, listings, load, today
 from ..streaming import circuits
+from ..streaming.late import late_by_batch
 from .deals import TOLD, told
 
 #: Health of a run without its history: the points of images and of the way of extraction.
@@ -132,6 +133,17 @@ def late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return high.where(ts < F.col("high") - F.expr("INTERVAL 1 HOUR")).select("event_id", "ts")
 
 
+@query("r11_late_batches", """
+WITH s AS (SELECT event_id, ts, (ts + CASE WHEN user_id % 9 = 0 THEN INTERVAL 30 HOUR ELSE INTERVAL 0 HOUR END)::DATE AS batch FROM events),
+h AS (SELECT batch, max(max(ts)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM s GROUP BY 1)
+SELECT event_id, batch, coalesce(ts < high - INTERVAL 6 HOUR, false) AS late FROM s JOIN h USING (batch)""")
+def late_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row with its side, where a batch is a day's arrivals: the batch form of the stream with two sinks."""
+    slow = F.when(F.col("user_id") % 9 == 0, F.expr("INTERVAL 30 HOURS")).otherwise(F.expr("INTERVAL 0 HOURS"))
+    rows = load(spark, sf_dir, "events").select("event_id", "ts", F.to_date(F.col("ts") + slow).alias("batch"))
+    return late_by_batch(rows, "batch", "6 HOURS").select("event_id", "batch", "late")
+
+
 @query("m15_house_classes", f"""
 WITH {LISTINGS}, g AS (SELECT owner, count(*) FILTER (deal_type = '5-LOW') > 0 AS rolling, count(*) FILTER (status <> 'sold' AND deal_type <> '5-LOW') AS dated, count(*) FILTER (status <> 'sold' AND deal_type <> '5-LOW' AND sale_date >= DATE '2001-06-01') AS upcoming FROM listings GROUP BY 1),
 h AS (SELECT *, owner % 23 = 0 AS retired, owner % 11 = 0 AS configured, owner % 7 = 0 AS listed_root, owner % 5 = 0 AS next_day, owner % 10 = 0 AS next_moved FROM g)
