@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, table
 
-DAMPING, MARGIN, STILL = 0.75, 0.4, 1e-4
+DAMPING, MARGIN, STILL = 0.75, 0.4, 1e-6
 #: Rounds between two writes.
 STEPS = 4
 #: The rules of the registered query.
