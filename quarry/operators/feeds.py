@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import io
-import tempfile
-import uuid
 import zipfile
 
 import pandas as pd
@@ -50,7 +48,7 @@ WITH c AS (SELECT c_custkey AS id, c_acctbal AS balance, DATE '2020-01-01' + (c_
 SELECT id::INT AS id, CASE WHEN id % 6 <> 0 THEN floor(abs(balance) * 10)::INT END AS price, CASE WHEN id % 7 <> 0 THEN day END AS day, CASE WHEN id % 5 <> 0 THEN 'He said "' || id || '", twice' END AS note FROM c""")
 def headed_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A CSV with its own headers, thousands marks, dates of two forms, quotes and gaps, read by name and kind."""
-    path, k = _scratch(spark, "headed"), F.col("c_custkey")
+    path, k = files.scratch(spark, "headed"), F.col("c_custkey")
     price = F.when(k % 6 == 0, "n/a").otherwise(F.format_number(F.floor(F.abs("c_acctbal") * 10), 0))
     day = F.date_add(F.lit("2020-01-01").cast("date"), (k % 900).cast("int"))
     when = F.when(k % 7 == 0, "soon").when(k % 2 == 0, F.date_format(day, "dd/MM/yyyy")).otherwise(F.date_format(day, "dd-MM-yyyy"))
@@ -62,7 +60,7 @@ def headed_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("s06_positional_csv", "SELECT event_id::INT AS id, event_type AS kind, value FROM events WHERE event_id % 7 <> 0")
 def positional_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines without headers, read by place; a line of another width is dropped."""
-    path, k = _scratch(spark, "positional"), F.col("event_id")
+    path, k = files.scratch(spark, "positional"), F.col("event_id")
     line = F.concat_ws(",", k.cast("string"), "event_type", F.col("value").cast("string"), F.when(k % 7 == 0, "extra"))
     load(spark, sf_dir, "events").select(line.alias("line")).write.text(path)
     return files.positional_csv(spark, path, [("id", "int"), ("kind", "text"), ("value", "num")])
@@ -158,7 +156,7 @@ def upsert_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three batches upserted by user into a bucketed snapshot, the second one sent twice; a null keeps the old value."""
     rows = load(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("status"), F.when(F.col("event_id") % 4 != 0, F.col("value")).alias("value"), "ts", "event_id")
     schema = StructType([f for f in rows.schema.fields if f.name in ("user_id", "status", "value")])
-    table = Snapshot(spark, _scratch(spark, "snapshot"), schema, "user_id")
+    table = Snapshot(spark, files.scratch(spark, "snapshot"), schema, "user_id")
     for batch, kind in enumerate(("signup", "view", "error")):
         for _ in range(1 + (batch == 1)):
             table.upsert(rows.where(F.col("status") == kind), batch, ["ts", "event_id"], fill=("value",))
@@ -168,7 +166,7 @@ def upsert_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("s16_appended", "SELECT event_type, count(*) AS n, sum(user_id)::BIGINT AS users FROM events WHERE event_type IN ('click', 'error') GROUP BY 1")
 def appended(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two batches appended to one table, then read whole; the table lies in the shared folder."""
-    path = _scratch(spark, "appended")
+    path = files.scratch(spark, "appended")
     rows = load(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
     for kind in ("click", "error"):
         rows.where(F.col("event_type") == kind).write.mode("append").parquet(path)
@@ -178,7 +176,7 @@ def appended(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("s17_exports", f"WITH {LISTINGS} SELECT id, house, price::VARCHAR AS price, 'csv' AS via FROM listings WHERE status = 'stc' UNION ALL SELECT id, house, price::VARCHAR, 'json' FROM listings WHERE status = 'stc'")
 def exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The filtered set as CSV and as JSON lines, read back from both."""
-    path = _scratch(spark, "exports")
+    path = files.scratch(spark, "exports")
     rows = listings(spark, sf_dir).where("status = 'stc'").select("id", "house", F.col("price").cast("string").alias("price"))
     rows.write.csv(f"{path}/csv", header=True, escape='"')
     rows.write.json(f"{path}/json")
@@ -187,17 +185,6 @@ def exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return csv.withColumn("via", F.lit("csv")).unionByName(json.withColumn("via", F.lit("json")))
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a temporary one only on one machine without the setting."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not spark.conf.get("spark.master", "").startswith("local") or spark.conf.get("spark.master", "").startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        top = "file://" + tempfile.mkdtemp(prefix="quarry-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("s18_sitemap", f"""
 WITH {LISTINGS}, e AS (SELECT 'https://x.test/o/' || owner AS loc, max(sale_date) AS lastmod, min(CASE status WHEN 'sold' THEN 1 ELSE 0 END) AS late FROM listings GROUP BY 1)
 SELECT loc, lastmod, late = 0 AS live FROM e ORDER BY late, lastmod DESC, loc LIMIT 400""")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans import places
 from ..plans.search import Spec, browse, parse, relaxed
 from ..registry import query
+from ..sources.files import scratch
 from ..sources.tables import LISTINGS, ORDERS_TODAY, listings, load, today
 
 
@@ -55,6 +57,45 @@ def radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "customer").where(within_miles(k % 40 / F.lit(10.0) + 50, k % 30 / F.lit(10.0) - 3, (52.5, -1.9), 30)).select("c_custkey")
 
 
+#: Places all over the globe, as expressions that Spark and DuckDB both read.
+def _place(key: str) -> tuple[str, str]:
+    return f"CAST({key} * 37 % 1801 AS DOUBLE) / 10 - 90", f"CAST({key} * 53 % 3601 AS DOUBLE) / 10 - 180"
+
+
+_PLACES = f"""c AS (SELECT s_suppkey AS centre, {_place('s_suppkey')[0]} AS la, {_place('s_suppkey')[1]} AS lo, 50 + s_suppkey % 5 * 100 AS radius FROM supplier),
+p AS (SELECT c_custkey AS id, {_place('c_custkey')[0]} AS lat, {_place('c_custkey')[1]} AS lng FROM customer),
+d AS (SELECT centre, radius, id, 2 * 3958.8 * asin(least(1, sqrt(pow(sin(radians(lat - la) / 2), 2) + cos(radians(la)) * cos(radians(lat)) * pow(sin(radians(lng - lo) / 2), 2)))) AS miles FROM c, p)"""
+
+
+def _placed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sides = []
+    for name, key, id_ in (("supplier", "s_suppkey", "centre"), ("customer", "c_custkey", "id")):
+        lat, lng = _place(key)
+        sides.append(load(spark, sf_dir, name).select(F.col(key).alias(id_), F.expr(lat).alias("lat"), F.expr(lng).alias("lng")))
+    return sides[0], sides[1]
+
+
+@query("f07_radius_join", f"WITH {_PLACES} SELECT centre, id, round(miles, 3) AS miles FROM d WHERE miles <= radius")
+def radius_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each supplier's customers within its own radius, found by cells of the globe."""
+    centres, points = _placed(spark, sf_dir)
+    near = places.within(centres.withColumn("radius", 50 + F.col("centre") % 5 * 100), points, 5.0)
+    return near.select("centre", "id", F.round("miles", 3).alias("miles"))
+
+
+@query("t02_nearest", f"WITH {_PLACES} SELECT centre, id, round(miles, 3) AS miles, row_number() OVER (PARTITION BY centre ORDER BY miles, id) AS rank FROM d QUALIFY rank <= 5")
+def nearest_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each supplier's five nearest customers, by growing rings."""
+    centres, points = _placed(spark, sf_dir)
+    path = scratch(spark, "rings")
+
+    def save(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{path}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    return places.nearest(centres, points, 5, 200.0, save).select("centre", "id", F.round("miles", 3).alias("miles"), "rank")
+
+
 @query("f11_served_feed", f"""
 WITH {LISTINGS} SELECT id FROM listings WHERE (status = 'available' AND sale_date >= DATE '2001-07-26') OR (status = 'stc' AND sale_date BETWEEN DATE '2001-07-03' AND DATE '{ORDERS_TODAY}') OR (status = 'stc' AND sale_date > DATE '{ORDERS_TODAY}')""")
 def served_feed(spark: SparkSession, sf_dir: str) -> DataFrame:

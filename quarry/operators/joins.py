@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.similar import similar
 from ..registry import query
 from ..sources.tables import EVENTS, LISTINGS, SALES, events, listings, load, sales
 
@@ -225,6 +226,16 @@ def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("id", (-F.col("m.o")).alias("best"), F.col("m.shared").alias("shared"))
 
 
+@query("j17_similar_titles", """
+WITH t AS (SELECT p_partkey AS id, list_distinct(string_split(p_name || ' ' || p_type, ' ')) AS words FROM part),
+p AS (SELECT a.id, b.id AS other, len(list_intersect(a.words, b.words)) AS shared, len(a.words) + len(b.words) AS n FROM t a JOIN t b ON a.id <> b.id)
+SELECT id, other, shared::INT AS shared, round(shared / (n - shared), 6) AS similarity FROM p WHERE 10 * shared >= 7 * (n - shared)""")
+def similar_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts whose names and types have at least 7 in 10 words in common."""
+    t = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.split(F.concat_ws(" ", "p_name", "p_type"), " ").alias("words"))
+    return similar(t, t, 0.7).where("id <> other").select("id", "other", "shared", F.round("similarity", 6).alias("similarity"))
+
+
 @query("j18_unique_match", """
 WITH k AS (SELECT s_nationkey AS key, s_suppkey % 10 AS no, count(*) AS n, min(s_suppkey) AS id FROM supplier GROUP BY 1, 2)
 SELECT c_custkey, CASE WHEN n = 1 THEN id END AS supplier, CASE WHEN n IS NULL THEN 'no_rows' WHEN n = 1 THEN 'matched' ELSE 'ambiguous' END AS reason FROM customer LEFT JOIN k ON key = c_nationkey AND no = c_custkey % 10""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,6 +137,40 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", F.explode(cut).alias("c")).select("doc_id", "c.*")
 
 
+def cuts(text: str, most: int, overlap: int) -> list[tuple[int, int]]:
+    """Pieces of at most ``most`` characters: a cut goes back to the last newline in a piece's back half, the next piece begins ``overlap`` before it."""
+    out, start = [], 0
+    while True:
+        end = min(start + most, len(text))
+        if end < len(text) and (line := text.rfind("\n", start, end + 1)) > start + most * 0.5:
+            end = line
+        out.append((start, end))
+        if end >= len(text):
+            return out
+        start = max(start + 1, end - overlap)
+
+
+@query("s14_chunks_at_lines", """
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+r AS (
+  SELECT doc_id, 0 AS chunk, 0::BIGINT AS start, (SELECT CASE WHEN n <= 1000 THEN n WHEN p > 0 AND 1001 - p > 500 THEN 1001 - p ELSE 1000 END FROM (SELECT strpos(reverse(substr(text, 1, 1001)), chr(10)) AS p)) AS stop, text, n FROM t
+  UNION ALL
+  SELECT doc_id, chunk + 1, s, CASE WHEN s + 1000 >= n THEN n WHEN p > 0 AND 1001 - p > 500 THEN s + 1001 - p ELSE s + 1000 END, text, n
+  FROM (SELECT *, strpos(reverse(substr(text, s + 1, 1001)), chr(10)) AS p FROM (SELECT *, greatest(start + 1, stop - 100) AS s FROM r WHERE stop < n)))
+SELECT doc_id, chunk, start, stop, md5(substr(text, start + 1, stop - start)) AS digest FROM r""")
+def chunks_at_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of 1000 characters, each cut depending on the one before; null is one empty piece."""
+
+    @F.pandas_udf("array<struct<start bigint, stop bigint>>")
+    def found(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"start": a, "stop": b} for a, b in cuts(t or "", 1000, 100)] for t in texts])
+
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select("doc_id", "text", F.posexplode(found("text")).alias("chunk", "c"))
+    piece = F.substr(F.col("text"), (F.col("c.start") + 1).cast("int"), (F.col("c.stop") - F.col("c.start")).cast("int"))
+    return rows.select("doc_id", "chunk", "c.start", "c.stop", F.md5(piece).alias("digest"))
+
+
 @query("m19_structure_fingerprint", """
 WITH t AS (SELECT page_id, list_sort(list_distinct(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1))) AS tags, len(regexp_extract_all(html, '<p>')) AS paragraphs FROM pages)
 SELECT md5(array_to_string(tags, ',')) AS fingerprint, count(*) AS pages, sum(paragraphs)::BIGINT AS paragraphs FROM t GROUP BY 1""")

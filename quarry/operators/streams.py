@@ -147,3 +147,18 @@ UNION ALL SELECT user_id, day + INTERVAL 1 DAY, NULL, 'day over', used, refused,
 def quota_refunds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Charges against two a day, refunds of the same day, and each day's end."""
     return _followed(spark, sf_dir, CHARGES, keyed.quota(2))
+
+
+@query("e13_recall_tiers", """
+WITH RECURSIVE s AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, least(value, 100) / 100 AS v FROM events WHERE event_type <> 'click' AND value IS NOT NULL),
+r AS (
+  SELECT user_id, ts, n, floor(v * 1000 + 0.5) / 1000 AS mean, 'fast' AS tier, false AS changed FROM s WHERE n = 1
+  UNION ALL
+  SELECT user_id, ts, n, floor(m * 1000 + 0.5) / 1000, CASE WHEN n >= 3 AND tier = 'fast' AND m < 0.7 THEN 'capable' WHEN n >= 3 AND tier = 'capable' AND m >= 0.9 THEN 'fast' ELSE tier END, n >= 3 AND ((tier = 'fast' AND m < 0.7) OR (tier = 'capable' AND m >= 0.9))
+  FROM (SELECT s.*, r.tier, 0.4::DOUBLE * s.v + (1 - 0.4::DOUBLE) * r.mean AS m FROM r JOIN s ON s.user_id = r.user_id AND s.n = r.n + 1))
+SELECT user_id, ts AS at, n AS runs, mean, tier, changed FROM r""")
+def recall_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rolling recall after each reading and the tier that follows from it and the tier before; clicks measure nothing."""
+    value = F.when(F.col("event_type") != "click", F.least("value", F.lit(100.0)) / 100)
+    rows = load(spark, sf_dir, "events").select("user_id", F.unix_micros("ts").alias("at"), F.col("event_id").alias("seq"), value.cast("string").alias("kind"))
+    return keyed.batch(rows, ["user_id"], keyed.recall(demote=True), 0).withColumn("at", F.timestamp_micros("at"))

@@ -14,6 +14,7 @@ Times are microseconds since 1970 as bigint. Rows are ``<keys>, at, seq, kind``;
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from typing import Any
@@ -214,6 +215,35 @@ def _unseen(state: State, at: int) -> tuple[State, list[tuple]]:
 
 FINDINGS = Machine("at bigint, symptom string, event string, occurrences bigint, first_seen bigint", _seen, lambda s: min(v[1] for v in s.values()) + SEEN, _unseen)
 
+# the tier of a source by its recall
+
+#: Rolling recall below which a source goes up, that it has to reach to come down, runs before either, weight of the last reading.
+WEAK, STRONG, RUNS, ALPHA = 0.70, 0.90, 3, 0.4
+
+
+def recall(demote: bool = False) -> Machine:
+    """``kind`` is a reading between 0 and 1 as text, or empty where nothing was measured, which changes nothing.
+
+    A tier goes up below ``WEAK`` and, if ``demote``, comes down from ``STRONG``; between the two it stays.
+    """
+
+    def step(state: State, at: int, seq: int, kind: str) -> tuple[State, list[tuple]]:
+        if not kind:
+            return state, []
+        mean, runs, tier = state or (None, 0, "fast")
+        mean = float(kind) if mean is None else ALPHA * float(kind) + (1 - ALPHA) * mean
+        runs, before = runs + 1, tier
+        if runs >= RUNS:
+            if tier == "fast" and mean < WEAK:
+                tier = "capable"
+            elif tier == "capable" and demote and mean >= STRONG:
+                tier = "fast"
+        mean = math.floor(mean * 1000 + 0.5) / 1000
+        return [mean, runs, tier], [(at, runs, mean, tier, tier != before)]
+
+    return Machine("at bigint, runs bigint, mean double, tier string, changed boolean", step, lambda s: None, lambda s, at: (s, []))
+
+
 # a daily quota with refunds
 
 
