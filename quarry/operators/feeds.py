@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import dates as D
+from ..functions.cards import cards
 from ..registry import query
 from ..sources import files
 from ..sources.snapshots import Snapshot
@@ -136,6 +137,37 @@ def listing_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("r.id").cast("bigint").alias("id"), F.col("r.title").alias("title"), F.replace("r.rent", F.lit(","), F.lit("")).cast("bigint").alias("rent"), F.nullif("r.beds", F.lit("")).cast("bigint").alias("beds"))
 
 
+def card_rows(pages: DataFrame) -> DataFrame:
+    """``page_id, listing, rent, beds, kind`` of the cards in ``page_id, html``; a page without cards gives none."""
+
+    @F.udtf(returnType="listing bigint, rent bigint, beds bigint, kind string")
+    class Cards:
+        def eval(self, html: str):
+            yield from cards(html)
+
+    return pages.select("page_id", "html").lateralJoin(Cards(F.col("html").outer())).select("page_id", "listing", "rent", "beds", "kind")
+
+
+#: Cards in markup of several shapes, as an expression that Spark and DuckDB both read.
+_CARD = """CASE p_partkey % 4 WHEN 0 THEN '<div class=pli><a href="/' || (p_partkey + 100000) || '/"><h2>' || (p_partkey % 5 + 1) || ' Bed Flat</h2><p>&pound;' || (p_partkey % 900 + 300) || ' pcm</p></a></div>'
+  WHEN 1 THEN '<li><p><a href=/' || (p_partkey + 100000) || '-x>House Share</a></p><br>&#163;' || (p_partkey % 300 + 50) || ' pw</li>'
+  WHEN 2 THEN '<div><a href="/' || (p_partkey + 100000) || '">Studio<b> from £' || (p_partkey % 900 + 100) || ' to £2,000 pcm</b></div>'
+  ELSE '<div><a href="/' || (p_partkey + 100000) || '/">coming soon, £99 deposit</a></div>' END"""
+
+
+@query("s12_cards_of_pages", """
+WITH k AS (SELECT page_id, p_partkey AS p FROM pages JOIN part ON p_partkey // 25 = page_id)
+SELECT page_id, p + 100000 AS listing, CASE p % 4 WHEN 0 THEN p % 900 + 300 WHEN 1 THEN floor((p % 300 + 50) * 52 / 12 + 0.5)::BIGINT ELSE p % 900 + 100 END AS rent,
+  CASE p % 4 WHEN 0 THEN p % 5 + 1 WHEN 2 THEN 0 END AS beds, ['flat', 'room', 'studio'][p % 4 + 1] AS kind
+FROM k WHERE p % 4 <> 3""")
+def cards_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The web pages, some of them with a list of 25 parts below the article."""
+    part = load(spark, sf_dir, "part").select(F.expr("p_partkey DIV 25").alias("page_id"), F.expr(_CARD).alias("card"))
+    lists = part.groupBy("page_id").agg(F.array_join(F.collect_list("card"), " text between ").alias("list"))
+    pages = load(spark, sf_dir, "pages").join(lists, "page_id", "left")
+    return card_rows(pages.select("page_id", F.concat("html", F.coalesce("list", F.lit(""))).alias("html")))
+
+
 @query("s15_upsert", """
 WITH old AS (SELECT event_id % 3000 AS key, 0 AS v, min(ts) AS ts FROM events WHERE event_type = 'view' GROUP BY 1),
 new AS (SELECT event_id % 3000 AS key, event_id AS v, ts FROM events WHERE event_type = 'purchase' QUALIFY row_number() OVER (PARTITION BY event_id % 3000 ORDER BY ts DESC, event_id DESC) = 1)
@@ -187,12 +219,22 @@ def exports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("s18_sitemap", f"""
 WITH {LISTINGS}, e AS (SELECT 'https://x.test/o/' || owner AS loc, max(sale_date) AS lastmod, min(CASE status WHEN 'sold' THEN 1 ELSE 0 END) AS late FROM listings GROUP BY 1)
-SELECT loc, lastmod, late = 0 AS live FROM e ORDER BY late, lastmod DESC, loc LIMIT 400""")
+SELECT loc, lastmod, late = 0 AS live FROM e ORDER BY late, lastmod DESC, loc LIMIT 40000""")
 def sitemap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct places, live ones first, then the latest, up to the size of a file."""
     late = F.when(F.col("status") == "sold", 1).otherwise(0)
     places = listings(spark, sf_dir).groupBy(F.concat(F.lit("https://x.test/o/"), F.col("owner").cast("string")).alias("loc")).agg(F.max("sale_date").alias("lastmod"), F.min(late).alias("late"))
-    return places.orderBy("late", F.desc("lastmod"), "loc").limit(400).select("loc", "lastmod", (F.col("late") == 0).alias("live"))
+    return places.orderBy("late", F.desc("lastmod"), "loc").limit(40_000).select("loc", "lastmod", (F.col("late") == 0).alias("live"))
+
+
+@query("s18_sitemap_files", f"WITH {LISTINGS} SELECT 'https://x.test/o/' || owner AS loc, max(sale_date)::VARCHAR AS lastmod FROM listings GROUP BY 1")
+def sitemap_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All distinct places as XML, live ones first, in as many files as their limit of 40,000 needs; read back from them."""
+    late = F.when(F.col("status") == "sold", 1).otherwise(0)
+    places = listings(spark, sf_dir).groupBy(F.concat(F.lit("https://x.test/o/"), F.col("owner").cast("string")).alias("loc")).agg(F.max("sale_date").alias("lastmod"), F.min(late).alias("late"))
+    path = files.scratch(spark, "sitemap")
+    files.write_sitemaps(places.orderBy("late", F.desc("lastmod"), "loc").select("loc", F.col("lastmod").cast("string").alias("lastmod")), path)
+    return spark.read.schema("loc string, lastmod string").format("xml").option("rowTag", "url").load(path)
 
 
 @query("s20_result_etag", f"WITH {LISTINGS} SELECT house, count(*) AS n, sum(('0x' || left(md5(id || ':' || status || ':' || sale_date), 12))::BIGINT)::VARCHAR AS etag FROM listings GROUP BY 1")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..registry import query
-from ..sources.tables import EVENTS, LISTINGS, SALES, events, listings, load, sales
+from ..sources.tables import EVENTS, LISTINGS, ORDERS_TODAY, SALES, events, listings, load, sales
 
 
 def ranked(df: DataFrame, keys: list[str], value: str, *ties: str) -> DataFrame:
@@ -113,6 +113,43 @@ def majority_with_quorum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.where("r = 1 AND total >= 8 AND n * 100 >= 21 * total").drop("r")
 
 
+#: Dated rows that a consensus needs, the hundredths that its date has, years ahead that a date may lie.
+QUORUM, MAJORITY, AHEAD = 8, 70, 2
+
+
+def date_consensus(rows: DataFrame, today_: str) -> DataFrame:
+    """``house, total, dated, majority_date, majority_count, reason`` of ``house, id, date``.
+
+    Dates before the day or beyond the year after next don't count. Of equally frequent dates the one
+    that came first (by id) is the majority. Groups are counted by date before they meet, so a large
+    house is as many rows as it has dates in each task.
+    """
+    day = F.lit(today_).cast("date")
+    near = F.col("date").between(day, F.make_date(F.year(day) + AHEAD, F.lit(12), F.lit(31)))
+    per = rows.groupBy("house", F.when(near, F.col("date")).alias("date")).agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    # the most frequent date, then the earliest id
+    best = F.max_by(F.struct("date", "n"), F.when(F.col("date").isNotNull(), F.struct("n", (-F.col("first")).alias("f"))))
+    g = per.groupBy("house").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("date").isNotNull(), F.col("n")).otherwise(0)).alias("dated"), best.alias("b"))
+    few = (F.col("total") < QUORUM) | (F.col("dated") < QUORUM)
+    reason = F.when(few, "insufficient_lots").when(F.col("b.n") * 100 < F.col("dated") * MAJORITY, "no_majority").otherwise("majority")
+    return g.select("house", "total", "dated", F.when(~few, F.col("b.date")).alias("majority_date"), F.when(few, F.lit(0).cast("bigint")).otherwise(F.col("b.n")).alias("majority_count"), reason.alias("reason"))
+
+
+@query("a40_date_consensus", f"""
+WITH r AS (SELECT o_custkey AS house, o_orderkey AS id, CASE WHEN o_orderkey % 10 < 7 THEN DATE '{ORDERS_TODAY}' + (o_custkey % 3 * 7)::INT WHEN o_orderkey % 10 = 8 THEN NULL WHEN o_orderkey % 10 = 9 THEN o_orderdate::DATE ELSE DATE '2098-01-01' END AS date FROM orders),
+d AS (SELECT *, date BETWEEN DATE '{ORDERS_TODAY}' AND DATE '2003-12-31' AS near FROM r),
+c AS (SELECT house, date, count(*) AS n, min(id) AS first FROM d WHERE near GROUP BY 1, 2),
+b AS (SELECT house, date, n FROM c QUALIFY row_number() OVER (PARTITION BY house ORDER BY n DESC, first) = 1),
+t AS (SELECT house, count(*) AS total, count(*) FILTER (near) AS dated FROM d GROUP BY 1)
+SELECT house, total, dated, CASE WHEN dated >= 8 THEN date END AS majority_date, CASE WHEN dated >= 8 THEN n ELSE 0 END AS majority_count,
+  CASE WHEN dated < 8 THEN 'insufficient_lots' WHEN n * 100 < dated * 70 THEN 'no_majority' ELSE 'majority' END AS reason FROM t LEFT JOIN b USING (house)""")
+def date_consensus_of_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The date that most of an owner's rows name; some rows have none, past or far ones."""
+    k, day = F.col("o_orderkey") % 10, F.lit(ORDERS_TODAY).cast("date")
+    date = F.when(k < 7, F.date_add(day, (F.col("o_custkey") % 3 * 7).cast("int"))).when(k == 9, F.to_date("o_orderdate")).when(k == 7, F.lit("2098-01-01").cast("date"))
+    return date_consensus(load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("house"), F.col("o_orderkey").alias("id"), date.alias("date")), ORDERS_TODAY)
+
+
 @query("a42_bleed_lines", """
 WITH l AS (SELECT DISTINCT source, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT source, line, count(*) AS docs FROM l WHERE length(trim(line)) >= 12 GROUP BY 1, 2 HAVING count(*) >= 3""")
 def bleed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

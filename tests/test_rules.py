@@ -36,3 +36,18 @@ def test_rules_at_their_edges(spark):
         R.guide_distortion(F.lit(500), F.lit(None).cast("int")).alias("token"),
     ).first()
     assert tuple(row) == ("info", "warning", "healthy", "regression", None, 54_300, "high", None, "token")
+
+
+def test_a_date_needs_most_of_a_quorum_and_the_first_of_equals_wins(spark):
+    from quarry.operators.stats import date_consensus
+
+    day = lambda d: None if d is None else f"2026-0{d}"
+    made = lambda house, *dates: [(house, i, day(d)) for i, d in enumerate(dates)]
+    rows = made("all", *["9-01"] * 8) + made("seven", *["9-01"] * 7, *["9-02"] * 3) + made("split", *["9-02", "9-01"] * 5) + made("few", *["9-01"] * 7, None)
+    rows += made("past", *["1-01"] * 9, *["9-01"] * 8) + made("none", *[None] * 9)
+    df = spark.createDataFrame(rows, "house string, id int, date string").withColumn("date", F.col("date").cast("date"))
+    got = {r.house: (str(r.majority_date), r.majority_count, r.dated, r.reason) for r in date_consensus(df, "2026-08-01").collect()}
+    assert got == {
+        "all": ("2026-09-01", 8, 8, "majority"), "seven": ("2026-09-01", 7, 10, "majority"), "split": ("2026-09-02", 5, 10, "no_majority"),
+        "few": ("None", 0, 7, "insufficient_lots"), "past": ("2026-09-01", 8, 8, "majority"), "none": ("None", 0, 0, "insufficient_lots"),
+    }

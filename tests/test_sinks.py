@@ -83,3 +83,14 @@ def test_late_rows_odd_cases(spark, tmp_path):
     late.write_batch(rows.withColumn("ts", F.expr("ts - INTERVAL 2 HOURS")), 2, out, "1 HOUR")
     kept, lost = late.sides(spark, out, StructType([*rows.schema.fields]))
     assert sorted((r.id, r.number) for r in kept.collect()) == [(1, 1), (1, 2), (2, 1)] and [(r.id, r.number) for r in lost.collect()] == [(2, 2)]
+
+
+def test_sitemaps_are_split_and_lose_nothing(spark, tmp_path):
+    from quarry.sources.files import write_sitemaps
+
+    rows = spark.range(95).select(F.concat(F.lit("https://x/?a=1&b="), F.col("id")).alias("loc"), F.lit("2026-01-01").alias("lastmod")).orderBy("loc")
+    write_sitemaps(rows, str(tmp_path / "s"), 20)
+    parts = [open(f).read() for f in glob.glob(f"{tmp_path}/s/part-*")]
+    assert all(0 < p.count("<url>") <= 20 and p.count("<urlset>") == 1 for p in parts) and sum(p.count("<url>") for p in parts) == 95
+    back = spark.read.schema("loc string, lastmod string").format("xml").option("rowTag", "url").load(str(tmp_path / "s"))
+    assert sorted(r.loc for r in back.collect()) == sorted(r.loc for r in rows.collect())
