@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 
 from ..functions import dates as D
 from ..functions.cards import cards
+from ..plans.recognise import LOT, lots
 from ..registry import query
 from ..sources import files
 from ..sources.snapshots import Snapshot
@@ -137,6 +138,40 @@ def listing_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("r.id").cast("bigint").alias("id"), F.col("r.title").alias("title"), F.replace("r.rent", F.lit(","), F.lit("")).cast("bigint").alias("rent"), F.nullif("r.beds", F.lit("")).cast("bigint").alias("beds"))
 
 
+def lot_rows(pages: DataFrame) -> DataFrame:
+    """``page_id, house`` and the columns of ``LOT`` for each lot in ``page_id, house, text``."""
+
+    @F.udtf(returnType=LOT)
+    class Lots:
+        def eval(self, house: str, text: str):
+            yield from lots(house, text)
+
+    return pages.select("page_id", "house", "text").lateralJoin(Lots(F.col("house").outer(), F.col("text").outer())).drop("text")
+
+
+#: Cards as the houses' pages have them, as expressions that Spark and DuckDB both read.
+_LOTS = {
+    "bondwolfe": """'[' || chr(10) || '![x](https://cdn.x/' || p_partkey || ')' || chr(10) || '##### ' || p_name || ', B1 1AA' || chr(10) || (p_size % 5 + 1) || ' bedroom house' || chr(10) || '#### £' || (p_partkey * 7 + 1000) || '+' || chr(10) || 'Sold](https://www.bondwolfe.com/auctions/properties/' || p_partkey || '-town/)'""",
+    "pattinson": """'[' || p_name || '\\, NE1 4AB' || chr(10) || '£' || (p_partkey * 7 + 1000) || chr(10) || (p_size % 5 + 1) || ' bed flat' || chr(10) || CASE WHEN p_size % 2 = 0 THEN 'Withdrawn' ELSE '' END || '](https://www.pattinson.co.uk/property/' || p_partkey || ')'""",
+    "mchugh": """'[![](https://cdn.eigpropertyauctions.co.uk/' || p_partkey || ')](https://www.mchughandco.com/lot/details/' || p_partkey || ')' || chr(10) || '### Lot ' || p_size || chr(10) || '#### ' || p_name || chr(10) || 'Freehold Land Vacant' || chr(10) || 'Guide Price\\* **£' || (p_partkey * 7 + 1000) || '+**' || chr(10)""",
+}
+
+
+@query("s11_lots_by_rule", """
+WITH p AS (SELECT *, ['bondwolfe', 'pattinson', 'mchugh'][p_partkey // 25 % 3 + 1] AS house FROM part JOIN pages ON page_id = p_partkey // 25)
+SELECT page_id, house, p_partkey::VARCHAR AS lot_id, CASE house WHEN 'mchugh' THEN p_size END AS lot_number, p_name || CASE house WHEN 'bondwolfe' THEN ', B1 1AA' WHEN 'pattinson' THEN ', NE1 4AB' ELSE '' END AS address, p_partkey * 7 + 1000 AS price,
+  CASE house WHEN 'bondwolfe' THEN 'residential' WHEN 'pattinson' THEN 'flat' ELSE 'land' END AS kind, CASE house WHEN 'mchugh' THEN NULL ELSE p_size % 5 + 1 END AS beds, CASE house WHEN 'mchugh' THEN 'freehold' END AS tenure,
+  CASE house WHEN 'bondwolfe' THEN 'https://cdn.x/' || p_partkey WHEN 'mchugh' THEN 'https://cdn.eigpropertyauctions.co.uk/' || p_partkey END AS image, CASE WHEN house = 'pattinson' AND p_size % 2 = 0 THEN 'withdrawn' ELSE 'available' END AS state FROM p""")
+def lots_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The web pages of a house each, some with 25 parts as its cards between their text."""
+    house = F.element_at(F.array(*map(F.lit, _LOTS)), (F.expr("page_id % 3") + 1).cast("int"))
+    part = load(spark, sf_dir, "part").withColumn("page_id", F.expr("p_partkey DIV 25")).withColumn("house", house)
+    card = F.coalesce(*(F.when(F.col("house") == h, F.expr(e)) for h, e in _LOTS.items()))
+    lists = part.groupBy("page_id").agg(F.array_join(F.collect_list(card), "\n[Menu](/menu) and more\n").alias("list"))
+    pages = load(spark, sf_dir, "pages").withColumn("house", house).join(lists, "page_id", "left")
+    return lot_rows(pages.select("page_id", "house", F.concat("html", F.lit("\n"), F.coalesce("list", F.lit(""))).alias("text")))
+
+
 def card_rows(pages: DataFrame) -> DataFrame:
     """``page_id, listing, rent, beds, kind`` of the cards in ``page_id, html``; a page without cards gives none."""
 
