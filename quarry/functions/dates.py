@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Names of months, and the forms that dates have in texts and slugs.
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 ENDS, WHOLE, SHORT = r"(?i)sale\s*ends?:\s*(\d{2})/(\d{2})/(\d{4})", r"\b(\d{1,2})(?:st|nd|rd|th)?\s+([A-Za-z]{3,9})\s+(20\d{2})\b", r"\b(\d{1,2})(?:st|nd|rd|th)?\s+([A-Za-z]{3,9})\b"
 SLUG_DAY, SLUG_END = r"(\d{1,2})(?:st|nd|rd|th)?", r"-(\d{4})-(\d+)$"

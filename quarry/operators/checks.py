@@ -139,8 +139,7 @@ SELECT doc_id, count(*) AS kept, md5(string_agg(line, chr(10) ORDER BY pos)) AS
 def stripped_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts without the lines that three or more documents of their source share; a text of nothing else goes."""
     lines = load(spark, sf_dir, "documents").select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    hashed = lines.withColumn("h", F.xxhash64("line"))
-    shared = hashed.where(F.length(F.trim("line")) >= 12).select("source", "line", "doc_id").distinct().groupBy("source", "line").agg(F.count("*").alias("n")).where("n >= 3").drop("n")
+    shared = lines.where(F.length(F.trim("line")) >= 12).select("source", "line", "doc_id").distinct().groupBy("source", "line").agg(F.count("*").alias("n")).where("n >= 3").drop("n")
     kept = lines.join(shared, ["source", "line"], "left_anti")
     listed = F.array_sort(F.collect_list(F.struct("pos", "line")))
     return kept.groupBy("doc_id").agg(F.count("*").alias("kept"), F.md5(F.array_join(F.transform(listed, lambda x: x["line"]), "\n")).alias("digest"))

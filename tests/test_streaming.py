@@ -2,7 +2,7 @@ from oracle import rows
 from pyspark.sql import functions as F
 
 from quarry.sources.tables import load
-from quarry.streaming import changes
+from quarry.streaming import changes, circuits
 
 
 def _run(df, name, mode="append"):
@@ -34,3 +34,18 @@ def test_duplicates_come_once(spark, tmp_path):
     e = load(spark, "/root/testdata/sf0.001", "events").select("event_id", "ts")
     got = _run(changes.events_once(_source(spark, tmp_path, e.unionByName(e)), "60 days"), "once")
     assert len(got) == e.count()
+
+
+def test_alert_stream_equals_batch(spark, tmp_path):
+    e = load(spark, "/root/testdata/sf0.001", "events").where("event_type = 'error'")
+    rows_ = e.select((F.col("user_id") % 6).alias("house"), (F.col("event_id") % 2).alias("kind"), "event_id", "ts")
+    got = _run(circuits.alert_stream(_source(spark, tmp_path, rows_)), "alerts")
+    want = circuits.alerts(rows_).toPandas()
+    assert rows(got) == rows(want) and 0 < want["sent"].sum() < len(want)
+
+
+def test_an_alert_comes_once_within_its_time(spark, tmp_path):
+    made = [(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:30:00"), (2, "2024-01-01 00:10:00"), (2, "2024-01-01 00:10:00")]
+    df = spark.createDataFrame(made, "house long, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = _run(changes.alerts_once(_source(spark, tmp_path, df), ["house"], "1 hour"), "once_within")
+    assert sorted(got["house"]) == [1, 2]
