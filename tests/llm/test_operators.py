@@ -413,7 +413,7 @@ def test_broken_pages_are_cut_in_linear_time(piece):
     for end in ("", ">", "\"> <p>last"):
         began = time.process_time()
         html_text.blocks(page + end)
-        assert time.process_time() - began < 2.5
+        assert time.process_time() - began < 8  # a quadratic scan takes hours
 
 
 def test_html_text_of_a_broken_page_goes_on():
