@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans import views
 from ..registry import query
 from ..sources.tables import LISTINGS, ORDERS_TODAY, events, listings, load, today
 from .windows import keep_first
@@ -119,3 +120,58 @@ def due_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
     hours = F.least(F.pow(F.lit(2.0), F.greatest(attempts - 1, F.lit(0))), F.lit(24.0))
     due = events(spark, sf_dir).where((F.col("event_type") == "error") & (attempts < 5) & (F.col("ts") <= F.lit("2024-01-20").cast("timestamp")))
     return due.orderBy("ts", "event_id").limit(100).select("event_id", hours.alias("hours"))
+
+
+#: Valued listings, as expressions that Spark and DuckDB both read.
+VALUED = {
+    "id": "c_custkey",
+    "price": "CASE WHEN c_custkey % 97 = 0 THEN 0 WHEN c_custkey % 11 <> 0 THEN CAST(c_custkey * 37 % 400 AS DOUBLE) * 1000 + 500 END",
+    "score": "CASE WHEN c_custkey % 13 <> 0 THEN CAST(c_custkey * 7 % 100 AS DOUBLE) / 10 END",
+    "vacant": "CASE WHEN c_custkey % 6 = 1 THEN NULL ELSE c_custkey % 3 = 0 END",
+    "kind": "CASE c_custkey % 5 WHEN 0 THEN 'flat' WHEN 1 THEN 'house' WHEN 2 THEN 'commercial' WHEN 3 THEN 'land' END",
+    "gross": "CASE WHEN c_custkey % 4 <> 3 THEN CAST(c_custkey * 11 % 450 AS DOUBLE) / 10 END",
+    "warned": "c_custkey % 17 = 0",
+    "street": "CASE WHEN c_custkey % 3 <> 2 THEN CAST(c_custkey * 29 % 600 AS DOUBLE) * 1000 END",
+    "split": "c_custkey % 8 = 5",
+    "units": "CASE WHEN c_custkey % 2 = 1 THEN c_custkey % 9 END",
+    "opp": "CASE c_custkey % 7 WHEN 0 THEN 'Executor sale' WHEN 1 THEN 'PROBATE' WHEN 2 THEN 'Development potential' WHEN 3 THEN 'Vacant' END",
+    "condition": "CASE c_custkey % 4 WHEN 0 THEN 'needs work' WHEN 1 THEN 'poor' WHEN 2 THEN 'good' END",
+    "deal_type": "CASE WHEN c_custkey % 10 = 4 THEN 'HMO' WHEN c_custkey % 10 <> 5 THEN 'Standard' END",
+    "signal": "CASE c_custkey % 12 WHEN 1 THEN 'hmo' WHEN 4 THEN 'investment-valuation' END",
+    "income": "CASE WHEN c_custkey % 9 = 4 THEN c_custkey * 13 % 50000 END",
+    "days": "CASE WHEN c_custkey % 6 <> 2 THEN CAST(c_custkey * 3 % 200 - 60 AS INT) END",
+    "below_market": "CASE WHEN c_custkey % 5 <> 1 THEN CAST(c_custkey * 17 % 1300 AS DOUBLE) / 10 - 40 END",
+    "net_yield": "CASE WHEN c_custkey % 7 <> 6 THEN CAST(c_custkey * 19 % 300 AS DOUBLE) / 10 END",
+    "roce": "CASE WHEN c_custkey % 7 <> 5 THEN CAST(c_custkey * 23 % 700 AS DOUBLE) / 10 - 10 END",
+    "days_since": "CASE WHEN c_custkey % 3 = 1 THEN c_custkey * 5 % 400 END",
+}
+_VALUED = f"""v AS (SELECT {", ".join(f"{e} AS {c}" for c, e in VALUED.items())} FROM customer),
+w AS (SELECT *, CASE WHEN days IS NOT NULL THEN DATE '{ORDERS_TODAY}' + days END AS sale_date, coalesce(price > 0 AND street >= 50000 AND price / street <= 0.3::DOUBLE, false) OR coalesce(price > 0 AND price <= 15000 AND gross > 30, false) AS tok FROM v)"""
+#: Preset or order: condition, keys.
+_VIEWS_SQL = {
+    "top-picks": ("score >= 3", "score"), "under-100k": ("price > 0 AND price < 100000", "-price"), "vacant": ("vacant", "coalesce(score, 0)"), "flats": ("kind = 'flat'", "coalesce(score, 0)"), "high-yield-8": ("gross >= 8 AND NOT warned AND NOT tok", "gross"),
+    "title-splits": ("split", "coalesce(units, 0) DESC, coalesce(score, 0)"), "probate": ("opp IN ('Executor sale', 'PROBATE')", "coalesce(score, 0)"), "heavy-refurb": ("condition IN ('needs work', 'poor')", "coalesce(score, 0)"), "dev-land": ("opp = 'Development potential'", "coalesce(score, 0)"),
+    "commercial": ("kind = 'commercial'", "coalesce(score, 0)"), "land-dev": ("coalesce(kind, '') = 'land' OR coalesce(opp, '') = 'Development potential'", "coalesce(score, 0)"), "hmo": ("coalesce(deal_type, '') = 'HMO' OR coalesce(signal, '') = 'hmo'", "(coalesce(signal, '') = 'investment-valuation')::INT DESC, coalesce(income, 0) DESC, coalesce(score, 0)"),
+}
+_ORDERS_SQL = {
+    "date_asc": f"(coalesce(sale_date, DATE '9999-12-31') >= DATE '{ORDERS_TODAY}')::INT DESC, coalesce(sale_date, DATE '9999-12-31') ASC, coalesce(score, 0)", "price_asc": "-coalesce(nullif(price, 0), 1e18)", "price_desc": "coalesce(price, 0)",
+    "yield": "CASE WHEN tok THEN -1e9 ELSE coalesce(gross, -1e9) END", "bmv": "CASE WHEN tok THEN -1e9 ELSE coalesce(below_market, -1e9) END", "net_yield": "CASE WHEN tok THEN -1e9 ELSE coalesce(net_yield, -1e9) END", "roce": "CASE WHEN tok THEN -1e9 ELSE coalesce(roce, -1e9) END",
+    "days_unsold": "coalesce(days_since, 0)", "score": "coalesce(score, 0) DESC, -coalesce(nullif(price, 0), 1e18)",
+}
+
+
+def valued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "customer").select(*(F.expr(e).alias(c) for c, e in VALUED.items()))
+    return rows.select("*", F.array("opp").alias("opps"), F.array_compact(F.array("signal")).alias("signals"), F.date_add(today(), F.col("days")).alias("sale_date"))
+
+
+@query("f16_all_presets", f"WITH {_VALUED} " + " UNION ALL ".join(f"SELECT '{n}' AS view, row_number() OVER (ORDER BY {k} DESC, id) AS rank, id FROM w WHERE {where} QUALIFY rank <= 100" for n, (where, k) in _VIEWS_SQL.items()))
+def all_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 100 rows of each of the twelve named searches."""
+    return views.ranked(valued(spark, sf_dir), views.presets(), 100)
+
+
+@query("t02_all_orders", f"WITH {_VALUED} " + " UNION ALL ".join(f"SELECT '{n}' AS view, row_number() OVER (ORDER BY {k} DESC, id) AS rank, id FROM w QUALIFY rank <= 100" for n, k in _ORDERS_SQL.items()))
+def all_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 100 rows in each of the nine browse orders."""
+    return views.ranked(valued(spark, sf_dir), views.orders(today()), 100)
