@@ -10,6 +10,7 @@ from ..plans.search import Spec, browse, parse, relaxed
 from ..registry import query
 from ..sources.files import scratch
 from ..sources.tables import LISTINGS, ORDERS_TODAY, listings, load, today
+from .windows import with_totals
 
 
 
@@ -137,9 +138,8 @@ def name_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("f23_fabricated_batches", f"WITH {LISTINGS}, g AS (SELECT owner, count(*) AS n, count(*) FILTER (deal_type IN ('1-URGENT', '2-HIGH', '3-MEDIUM')) AS odd FROM listings GROUP BY owner) SELECT id FROM listings WHERE owner NOT IN (SELECT owner FROM g WHERE n >= 5 AND odd * 10 >= n * 6)")
 def fabricated_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("owner")
-    odd = F.count_if(F.col("deal_type").isin("1-URGENT", "2-HIGH", "3-MEDIUM")).over(w)
-    rows = listings(spark, sf_dir).withColumns({"n": F.count("*").over(w), "odd": odd})
+    odd = F.count_if(F.col("deal_type").isin("1-URGENT", "2-HIGH", "3-MEDIUM"))
+    rows = with_totals(listings(spark, sf_dir).select("id", "owner", "deal_type"), "owner", n=F.count("*"), odd=odd)
     return rows.where(~((F.col("n") >= 5) & (F.col("odd") * 10 >= F.col("n") * 6))).select("id")
 
 

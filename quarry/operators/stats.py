@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..registry import query
 from ..sources.tables import EVENTS, LISTINGS, ORDERS_TODAY, SALES, events, listings, load, sales
+from .windows import with_totals
 
 
 def ranked(df: DataFrame, keys: list[str], value: str, *ties: str) -> DataFrame:
@@ -160,7 +161,8 @@ def bleed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("a44_building_sum", f"WITH {LISTINGS} SELECT id, owner, sum(price) OVER (PARTITION BY owner)::DOUBLE > 1500000 AS large FROM listings".replace("sum(price) OVER (PARTITION BY owner)::DOUBLE", "(sum(price) OVER (PARTITION BY owner))::DOUBLE"))
 def building_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return listings(spark, sf_dir).select("id", "owner", (F.sum("price").over(Window.partitionBy("owner")) > 1500000).alias("large"))
+    rows = with_totals(listings(spark, sf_dir).select("id", "owner", "price"), "owner", total=F.sum("price"))
+    return rows.select("id", "owner", (F.col("total") > 1500000).alias("large"))
 
 
 @query("a45_terminal_ratio", f"WITH {LISTINGS} SELECT house, count(*) FILTER (status = 'sold')::DOUBLE / count(*) > 0.48 AND count(*) >= 5 AS terminal, count(DISTINCT sale_date) AS dates FROM listings GROUP BY house")
