@@ -12,7 +12,6 @@ Both sides hold one record's payload in memory at a time, and the reader ``READ`
 
 from __future__ import annotations
 
-import hashlib
 import re
 import uuid
 import zlib
@@ -42,11 +41,6 @@ def record_id(page_id: int | None) -> str:
     return f"<urn:page:{'' if page_id is None else page_id}>"
 
 
-def page_of(value: str | None) -> int | None:
-    found = re.fullmatch(r"<urn:page:(-?\d+)>", value or "")
-    return int(found[1]) if found else None
-
-
 def _line(value: str) -> str:
     """A header's value on one line: controls are percent-encoded."""
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", value)
