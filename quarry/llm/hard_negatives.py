@@ -214,7 +214,7 @@ def mined(rows: DataFrame, is_anchor: Column, k_positives: int = POSITIVES, k_ne
 
 def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
-    label = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label").cast("bigint") + 1, F.lit(10))).otherwise(F.col("label"))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("bigint") + 1) % 10).otherwise(F.col("label"))
     return mined(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
 
 
