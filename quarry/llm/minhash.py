@@ -17,9 +17,15 @@ with it once, in groups of ``BLOCK_ROWS`` members with a copy of the pivot each,
 symmetric difference of the two sets. Members of one pivot are then compared with each other by
 these differences (|x ^ y| = |dx ^ dy|), in blocks of bounded size, only across components of the
 links found so far, and a block gives a spanning forest of its links. So a group of n near copies
-costs about n confirmations, and no link between different components is lost. Members far from
-their bucket's pivot are rare; they are joined with their bucket behind a bound on the signature
-distance and confirmed on the texts.
+costs about n confirmations, and no link between different components is lost.
+
+A far member can have links with those of its bucket that aren't close to the pivot (signature
+distances obey the triangle inequality). These get keys anew, each key with every shingle among
+the rarest of the text that a text at the wanted similarity must share (prefix filter): a passage
+that many texts share fills buckets and not these. Here too a pivot is compared with the members;
+those far from it again are joined with their bucket behind a bound on the signature distance and
+confirmed on the texts. The order of shingles comes from a table of ``COUNTERS`` counters, whose
+size is fixed; any order gives the same links.
 """
 
 from __future__ import annotations
@@ -42,6 +48,8 @@ LOOSE = 0.43
 NEAR = 0.6
 #: A block of members has about so many rows, and hashes in their differences.
 BLOCK_ROWS, BLOCK_LOAD = 512, 1 << 18
+#: Counters of shingles, by which rare ones come before frequent ones.
+COUNTERS = 1 << 20
 
 
 def shingles(words: np.ndarray, k: int) -> np.ndarray:
@@ -141,6 +149,49 @@ def pivoter():
     return run
 
 
+def counter(shingle: int):
+    """How often shingles occur, counted in ``COUNTERS`` counters by their low bits."""
+    schema = pa.schema([("at", pa.int32()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, total = Words(), np.zeros(COUNTERS, np.int64)
+        for batch in sliced(batches):
+            for _, texts in words.texts(*buffers(batch.column("text"))):
+                at, n = np.unique(np.concatenate([shingles(w, shingle) for w in texts]) & np.uint64(COUNTERS - 1), return_counts=True)
+                total[at.astype(np.int64)] += n
+        at = np.flatnonzero(total)
+        yield record(schema, at.astype(np.int32), total[at])
+
+    return run
+
+
+def rarest(shingle: int, percent: int, counts: DataFrame):
+    """Of each text the shingles of which any text at similarity ``percent`` / 100 holds one.
+
+    In any fixed order of shingles, the first common one of two such texts is among the first
+    n - ceil(percent * n / 100) + 1 of each. The order is by count, so passages that many texts
+    share come last; shingles of a counter of 1 are in no other text and left out.
+    """
+    found = counts.toArrow()  # no more rows than there are counters
+    count = np.zeros(COUNTERS, np.int64)
+    count[found.column("at").to_numpy()] = found.column("n").to_numpy()
+    count = np.minimum(count, (1 << 31) - 1).astype(np.int32)
+    schema = pa.schema([("rep", pa.int64()), ("rare", pa.list_(pa.int64()))])
+
+    def first(s: np.ndarray) -> np.ndarray:
+        n = count[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]
+        head = np.argsort(n, kind="stable")[: s.size + percent * s.size // -100 + 1]  # the set is sorted, so ties are in order
+        return s[head[n[head] > 1]].view(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in sliced(batches):
+            for at, texts in words.texts(*buffers(batch.column("text"))):
+                yield record(schema, batch.column("doc_id").slice(at, len(texts)), [first(shingles(w, shingle)) for w in texts])
+
+    return run
+
+
 def confirmer(shingle: int, percent: int):
     """Texts compared with the first of their group, exactly, with the symmetric difference of the sets.
 
@@ -263,7 +314,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, chunks
     if (chunks * width) % 8:
         raise ValueError("chunks * width must be a multiple of 8")
     size = chunks * width
-    loose = int(LOOSE * size)
+    loose, near_ = int(LOOSE * size), int(NEAR * size)
     tables = Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = tables.save(docs.mapInArrow(signer(shingle, chunks, width), "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, signature binary"), "signed")
@@ -272,30 +323,41 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, chunks
     reps = tables.save(some.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature")), "reps")
     packed = reps.select("rep", F.col("n_shingles").alias("n"), _packed("signature", size).alias("sig"))
 
-    # the later members of each bucket with its least as pivot; keys are shuffled once
-    keys = reps.select("rep", "signature").mapInArrow(keyer(chunks, width, errors), "rep bigint, key bigint")
-    runs = tables.save(keys.repartitionByRange("key", "rep").sortWithinPartitions("key", "rep").mapInArrow(pivoter(), "key bigint, pivot bigint, rep bigint, edge boolean"), "runs")
-    # buckets that go on from task to task; there are two rows for each task
-    edges = runs.where("edge").groupBy("key").agg(F.min("pivot").alias("least"), F.max("pivot").alias("top")).where("least < top").select("key", "least")
-    later = runs.select("key", "pivot", F.col("rep").alias("rep")).join(F.broadcast(edges), "key", "left")
-    held = later.select("key", F.coalesce("least", "pivot").alias("pivot"), "rep").where("pivot <> rep")
-
-    # members against pivots
     left = packed.select(F.col("rep").alias("pivot"), F.col("sig").alias("sa"))
     right = packed.select("rep", F.col("sig").alias("sb"))
-    star = held.select("pivot", "rep").distinct().join(left, "pivot").join(right, "rep")
-    star = tables.save(star.select("pivot", "rep", (_apart(F.col("sa"), F.col("sb"), size) <= int(NEAR * size)).alias("near")), "star")
-    near = star.where("near").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
-
-    # members far from their pivot against their bucket
-    far = held.join(star.where("NOT near").select("pivot", "rep"), ["pivot", "rep"], "left_semi").select("key", "pivot", F.col("rep").alias("x"))
-    bucket = held.join(far.select("key").distinct(), "key", "left_semi").select("key", "rep").unionByName(far.select("key", F.col("pivot").alias("rep")).distinct())
-    beside = bucket.distinct().join(packed, "rep")
-    far = far.select("key", "x").join(packed.select(F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("sig").alias("sx")), "x")
+
+    def stars(keys: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+        """Pairs near their bucket's pivot, and the members left of buckets with far ones; keys are shuffled once."""
+        runs = tables.save(keys.repartitionByRange("key", "rep").sortWithinPartitions("key", "rep").mapInArrow(pivoter(), "key bigint, pivot bigint, rep bigint, edge boolean"), f"runs{level}")
+        # buckets that go on from task to task; there are two rows for each task
+        edges = runs.where("edge").groupBy("key").agg(F.min("pivot").alias("least"), F.max("pivot").alias("top")).where("least < top").select("key", "least")
+        later = runs.select("key", "pivot", "rep").join(F.broadcast(edges), "key", "left")
+        held = later.select("key", F.coalesce("least", "pivot").alias("pivot"), "rep").where("pivot <> rep")
+        star = held.select("pivot", "rep").distinct().join(left, "pivot").join(right, "rep")
+        star = tables.save(star.select("pivot", "rep", _apart(F.col("sa"), F.col("sb"), size).alias("apart")), f"star{level}")
+        # a far member and one this close to the pivot are more than ``loose`` apart themselves
+        rest = held.join(star.where(F.col("apart") > near_ - loose), ["pivot", "rep"]).select("key", "rep", (F.col("apart") > near_).alias("far"))
+        rest = tables.save(rest.join(rest.where("far").select("key").distinct(), "key", "left_semi").distinct(), f"rest{level}")
+        tables.drop(f"runs{level}")
+        return star.where(F.col("apart") <= near_).select(F.col("pivot").alias("a"), F.col("rep").alias("b")), rest
+
+    keys = reps.select("rep", "signature").mapInArrow(keyer(chunks, width, errors), "rep bigint, key bigint")
+    near, rest = stars(keys, 1)
+
+    # those left meet again where they share one of their rarest shingles too
+    some = sieve(docs, rest.select(F.col("rep").alias("doc_id"))).where("maybe").select("doc_id", "text")
+    counts = some.mapInArrow(counter(shingle), "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n"))
+    rare = some.mapInArrow(rarest(shingle, percent, counts), "rep bigint, rare array<bigint>")
+    keys = rest.join(rare, "rep").select("rep", "key", F.explode("rare").alias("rare")).select("rep", F.xxhash64("key", "rare").alias("key"))
+    again, rest = stars(keys, 2)
+    near = near.unionByName(again).distinct()
+
+    # members far from this pivot too against those that share both
     alike = (F.least("n", "nx") * 100 >= F.greatest("n", "nx") * percent) & (_apart(F.col("sig"), F.col("sx"), size) <= loose)
-    lone = far.join(beside, "key").where((F.col("x") != F.col("rep")) & alike).select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
-    lone = tables.save(lone, "lone")
-    tables.drop("runs")
+    far = rest.where("far").select("key", F.col("rep").alias("x")).join(packed.select(F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("sig").alias("sx")), "x")
+    lone = far.join(rest.select("key", "rep").join(packed, "rep"), "key").where((F.col("x") != F.col("rep")) & alike)
+    lone = tables.save(lone.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct(), "lone")
+    tables.drop("rest1", "rest2")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
@@ -325,7 +387,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, chunks
     minor = open_.where("component <> main").select(*kept, block("nx").alias("x"), each("ny").alias("y"))
     whole = open_.select(*kept, block("ny").alias("y"), each("nx").alias("x"))
     second = tables.save(minor.groupBy("pivot", "x", "y").cogroup(whole.groupBy("pivot", "x", "y")).applyInArrow(comparer(percent), "a bigint, b bigint"), "more")
-    tables.drop("open", "star", "lone", "links")
+    tables.drop("open", "star1", "star2", "lone", "links")
 
     member = connected(member.select(F.col("vertex").alias("a"), F.col("component").alias("b")).unionByName(second), "a", "b")
     classes = reps.select(*same, "rep").join(member.withColumnRenamed("vertex", "rep"), "rep", "left")

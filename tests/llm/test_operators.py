@@ -119,6 +119,48 @@ def test_a_hot_bucket_goes_on_from_task_to_task(spark):
     assert got == components(texts, 5, 80)[0]
 
 
+def test_a_shared_passage_fills_buckets_and_hides_no_link(spark, monkeypatch):
+    """Texts that share more than half their words, groups of near copies among them, most far from their bucket's pivot."""
+    rng = random.Random(6)
+    passage = [f"p{i}" for i in range(60)]
+    texts = {i: passage + [f"y{rng.randrange(10**7)}" for _ in range(50)] for i in range(300)}
+    for i in range(300, 420):
+        words = list(texts[rng.randrange(10, 40)])
+        for _ in range(rng.randrange(1, 9)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**7)}"
+        texts[i] = words
+    texts = {i: " ".join(w) for i, w in texts.items()}
+    again = []
+    save = minhash.Scratch.save
+
+    def noting(self, df, name):
+        out = save(self, df, name)
+        again.extend([out.count()] if name == "star2" else [])
+        return out
+
+    monkeypatch.setattr(minhash.Scratch, "save", noting)
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, 2, 80).collect()}
+    assert got == components(texts, 2, 80)[0]
+    assert 0 < again[0] < 6000  # pairs; all texts have 87,990
+
+
+def test_similar_sets_share_a_rare_shingle(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    texts = [" ".join(f"w{rng.randrange(14)}" for _ in range(rng.randrange(0, 12))) for _ in range(300)]
+    rows = pa.record_batch([pa.array(range(300), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    batches = [b for b in minhash.counter(1)(iter([rows]))]
+    counts = spark.createDataFrame([tuple(r.values()) for b in batches for r in b.to_pylist()], "at int, n bigint")
+    rare = [set(r["rare"]) for b in minhash.rarest(1, 80, counts)(iter([rows])) for r in b.to_pylist()]
+    sets = [set(t.split()) for t in texts]
+    pairs = [(i, j) for i in range(300) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    assert len(pairs) > 20 and all(rare[i] & rare[j] for i, j in pairs)
+    assert sum(map(len, rare)) < 0.6 * np.sum([len(s) for s in sets])
+
+
 def test_pivots_of_runs_that_cross_batches_and_tasks():
     import pyarrow as pa
 
