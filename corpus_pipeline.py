@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import bpe, minhash, mixing, quality, toxicity
@@ -14,32 +11,6 @@ from quarry.llm.tokens import public
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-#: The scratch folders of stages whose results are written by now.
-_left: list[str] = []
-
-
-def stage(made: Callable) -> Callable:
-    """A stage whose scratch tables go when the next one begins.
-
-    A stage's result reads its scratch tables, so it has to be written and read again before the
-    next stage is called, as ``run`` does; folders that ``docs`` itself still reads stay.
-    """
-
-    @wraps(made)
-    def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        read = docs.inputFiles() if _left else []
-        done = [p for p in _left if not any(p.rpartition("/")[2] in f for f in read)]
-        _left[:] = [p for p in _left if p not in done]
-        removed(spark, done)
-        with noted() as paths:
-            out = made(spark, docs, sf_dir)
-        _left.extend(paths)
-        return out
-
-    return call
-
-
-@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the limits of their language and source reject go.
 
@@ -49,7 +20,6 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.passing(docs.select(*COLUMNS))
 
 
-@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is 0.5 or more go; the labels teach the model, not the verdict.
 
@@ -59,7 +29,6 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.clean(docs.select(*COLUMNS), model)
 
 
-@stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8) the least doc_id stays.
 
@@ -70,7 +39,6 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return minhash.without(docs.select(*COLUMNS), groups.where("NOT kept")).select(*COLUMNS)
 
 
-@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents by the target weights of the tree; a document of a second epoch comes twice.
 
@@ -81,7 +49,6 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
-@stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each row's text, their digest and that of the text decoded from them.
 
@@ -103,7 +70,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; a stage's scratch tables go when its result is written, and no others do."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with noted() as scratch:
+            made = stage(spark, docs, sf_dir)
+        docs = saved(made, name.replace(" ", "-"))
+        removed(spark, scratch)
     return docs
