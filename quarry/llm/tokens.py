@@ -22,6 +22,10 @@ MEMORY = 300_000
 _MEMORIES: dict[tuple[str, str], list[dict]] = {}
 #: A space before white space or the end: white space runs there may join across pieces.
 _RUN = re.compile(r" (?:\s|$)")
+#: A line break that may belong to a run of white space.
+_BROKEN = re.compile(r"\n(?<=\s\n)")
+#: Marks at a word's end.
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Pieces longer than this many characters are not kept; this many new ones go through the library at once.
 LONG, TOGETHER = 64, 2000
 
@@ -125,8 +129,8 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         """Ids of one of the model's words, from the library's model."""
-        # of the plain ASCII characters only the space has another letter
-        form = word.replace(" ", "\u0120") if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        # of the printable ASCII characters only the space has another letter
+        form = word.replace(" ", "\u0120") if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
         return array(self.code, [t.id for t in self.tokenize(form)]).tobytes()
 
     @cached_property
@@ -135,6 +139,16 @@ class Encoder:
 
     def _pieces(self, texts: list[str]) -> list[bytes]:
         """Ids of short texts: plain ones word by word, with a memory of words; others through the library."""
+        if self.spaced and self.split:
+            out, rest = self._lettered(texts)
+            if rest:
+                for i, b in zip(rest, self._split([texts[i] for i in rest])):
+                    out[i] = b
+            return out
+        return self._split(texts)
+
+    def _split(self, texts: list[str]) -> list[bytes]:
+        """The same by the pattern."""
         at = 1 if self.spaced else 0
         plain = [i for i, t in enumerate(texts) if len(t) <= LONG and (t.isascii() and t[at:].isalpha() or _PLAIN.fullmatch(t, at) and "<|" not in t)] if self.split else []
         out: list[bytes | None] = [None] * len(texts)
@@ -162,6 +176,39 @@ class Encoder:
             out[i] = b
         return out
 
+    def _lettered(self, texts: list[str]) -> tuple[list[bytes | None], list[int]]:
+        """Ids of a space or line break, letters and then marks or none, which are words of their own; where of the others."""
+        words = self.words[0]
+        if len(words) > MEMORY:
+            words = self.words[0] = {}
+        out, rest = [], []
+        for i, t in enumerate(texts):
+            core = t.rstrip(_MARKS)
+            letters = core[1:]
+            if not letters.isalpha() or len(t) > LONG or not (letters.isascii() or _PLAIN.fullmatch(letters)):
+                rest.append(i)
+                out.append(None)
+                continue
+            first = core if core[0] == " " else letters
+            ids = words.get(first)
+            if ids is None:
+                ids = words[first] = self._word(first)
+            if first is letters:
+                ids = self.line + ids
+            if len(core) < len(t):
+                marks = t[len(core) :]
+                more = words.get(marks)
+                if more is None:
+                    more = words[marks] = self._word(marks)
+                ids += more
+            out.append(ids)
+        return out, rest
+
+    @cached_property
+    def line(self) -> bytes:
+        """Ids of a line break."""
+        return self._word("\n")
+
     @cached_property
     def words(self) -> list[dict]:
         """Ids of single words; one generation, emptied where it is full."""
@@ -188,11 +235,11 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""
         if self.spaced:
-            # a text is cut before single spaces; the first piece has none
-            whole = [None if _RUN.search(t) else t.split(" ") for t in texts]
+            # a text is cut before single spaces and line breaks; the first piece has none, a line's first keeps its break
+            whole = [None if _RUN.search(t) else (t if _BROKEN.search(t) else t.replace("\n", " \n")).split(" ") for t in texts]
             some = [w for w in whole if w is not None]
             first = iter(self.raw([w.pop(0) for w in some]))
-            get = self.known(set().union(*some), lambda p: " " + p).__getitem__
+            get = self.known(set().union(*some), lambda p: p if p[:1] == "\n" else " " + p).__getitem__
             return [self.raw([t])[0] if w is None else next(first) + b"".join(map(get, w)) for t, w in zip(texts, whole)]
         pieces = [t.encode().split() for t in texts]
         get = self.known(set().union(*pieces), bytes.decode).__getitem__

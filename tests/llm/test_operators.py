@@ -310,6 +310,15 @@ def test_encoder_equals_library(name):
     assert [np.frombuffer(b, mine.dtype).tolist() for b in mine.encode(texts)] == want
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_keeps_line_breaks(name):
+    from tokenizers import Tokenizer
+
+    library, mine = Tokenizer.from_file(public(name)), Encoder(public(name))
+    texts = ["one two\nthree four.\nFive", "a b\n", "a b\n\nc d\n\n\n", "a \nb c\n d", "a b\t\nc", "a é!\nè's b", "\na b", "a -\n- b", "x y\n'll z\n1 2\n.", "x y\u2003\nz w\x85\nv", "a " + "b" * 70 + "\nc"]
+    assert [np.frombuffer(b, mine.dtype).tolist() for b in mine.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_bpe_equals_library(spark, odd, empty):
     from tokenizers import Tokenizer
 
