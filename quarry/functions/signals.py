@@ -64,22 +64,25 @@ def annual(amount: Column, period: Column) -> Column:
 
 def incomes(t: Column) -> Column:
     """``array<struct<annual, kind>>`` of the incomes a narrative states; costs and odd amounts are left out."""
-    gaps, found = F.split(t, INCOME, -1), F.regexp_extract_all(t, F.lit(INCOME), 0)
-    amounts, periods = F.regexp_extract_all(t, F.lit(INCOME), 1), F.regexp_extract_all(t, F.lit(INCOME), 2)
+    # a lambda evaluates what it names each time, so the matches are bound once, and so is each one's surroundings
+    parts = {"gaps": F.split(t, INCOME, -1)} | {n: F.regexp_extract_all(t, F.lit(INCOME), i) for i, n in enumerate(("found", "amounts", "periods"))}
     size = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + F.length(x))
 
-    def one(m: Column, i: Column) -> Column:
-        start = size(F.slice(gaps, F.lit(1), i + 1)) + size(F.slice(found, F.lit(1), i))
+    def around(p: Column, m: Column, i: Column) -> Column:
+        start = size(F.slice(p["gaps"], F.lit(1), i + 1)) + size(F.slice(p["found"], F.lit(1), i))
         low = F.greatest(start - BEFORE, F.lit(0))
         before = F.substring(t, low + 1, start - low)
         after = F.substring(t, start + F.length(m) + 1, F.lit(AFTER))
-        window = F.concat(before, m, after)
-        cost = before.rlike(COST_BEFORE) | after.rlike(COST_AFTER)
-        a = annual(amounts[i], periods[i])
+        return F.struct(before.alias("before"), after.alias("after"), F.concat(before, m, after).alias("window"), annual(p["amounts"][i], p["periods"][i]).alias("annual"))
+
+    def one(x: Column) -> Column:
+        window, a = x["window"], x["annual"]
+        cost = x["before"].rlike(COST_BEFORE) | x["after"].rlike(COST_AFTER)
         kind = F.when(window.rlike(POTENTIAL), "potential").when(window.rlike(PASSING), "passing").otherwise("potential")
         return F.when(~cost & a.between(LEAST_PA, MOST_PA), F.struct(a.alias("annual"), kind.alias("kind")))
 
-    return F.array_compact(F.transform(found, one))
+    seen = F.flatten(F.transform(F.array(F.struct(*(c.alias(n) for n, c in parts.items()))), lambda p: F.transform(p["found"], lambda m, i: around(p, m, i))))  # noqa: PLW0108
+    return F.array_compact(F.transform(seen, one))
 
 
 def stated_income(found: Column) -> Column:

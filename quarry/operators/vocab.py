@@ -9,14 +9,14 @@ from ..functions import dates as D
 from ..functions import signals as S
 from ..functions import text as T
 from ..registry import query
-from ..sources.tables import LISTINGS, ORDERS_TODAY, listings, load, today
+from ..sources.tables import LISTINGS, ORDERS_TODAY, listings, load, spread, today
 from .deals import TOLD, _pick, _sql_list, told
 
 
 def _written(spark: SparkSession, sf_dir: str, values: list[str]) -> DataFrame:
     """One of some spellings for each customer: ``id, v``."""
     k = F.col("c_custkey")
-    return load(spark, sf_dir, "customer").select(k.alias("id"), _pick(values, k % len(values)).alias("v"))
+    return spread(load(spark, sf_dir, "customer").select("c_custkey")).select(k.alias("id"), _pick(values, k % len(values)).alias("v"))
 
 
 def _q(v: str) -> str:

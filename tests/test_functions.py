@@ -2,7 +2,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from quarry.functions import money, text
+from quarry.functions import dates, money, text
 from quarry.operators.joins import as_of, merged
 from quarry.operators.windows import keep_last_by_key
 from quarry.plans.search import Spec, browse, parse, relaxed
@@ -96,3 +96,21 @@ def test_found_equals_the_pattern(spark):
     wrong = [text.found(F.col("t"), p) != F.col("t").rlike(p) for p in patterns]
     assert df.where(F.exists(F.array(*wrong), lambda x: x)).collect() == []
     assert df.where(text.found(F.col("t"), text.FLAT)).count() == 4
+
+
+def test_costly_work_on_a_small_file_is_many_tasks(spark):
+    from quarry.operators.deals import told
+    from quarry.operators.vocab import LINES, _written
+
+    sf = "/root/testdata/sf0.001"
+    assert told(spark, sf).rdd.getNumPartitions() >= 4 and _written(spark, sf, LINES).rdd.getNumPartitions() >= 4
+
+
+def test_dates_are_made_without_a_parser(spark):
+    parts = [(2024, 2, 29), (2023, 2, 29), (2001, 12, 31), (2001, 13, 1), (2001, 0, 1), (0, 1, 1), (2001, 1, 0), (2001, 4, 31), (None, 1, 1), (2001, None, 1), (2001, 1, None), (9999, 12, 31), (1, 1, 1)]
+    made = dates.made(F.col("y"), F.col("m"), F.col("d"))
+    df = spark.createDataFrame(parts, "y int, m int, d int").select(made.cast("string").alias("got"), F.try_to_date(F.format_string("%04d-%02d-%02d", "y", "m", "d"), "yyyy-MM-dd").cast("string").alias("want"))
+    rows = df.collect()
+    assert [r.got for r in rows] == [r.want for r in rows] and sum(r.got is None for r in rows) == 9
+    plan = df.select("got")._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "gettimestamp" not in plan
