@@ -11,6 +11,11 @@ ENDS, WHOLE, SHORT = r"(?i)sale\s*ends?:\s*(\d{2})/(\d{2})/(\d{4})", r"\b(\d{1,2
 SLUG_DAY, SLUG_END = r"(\d{1,2})(?:st|nd|rd|th)?", r"-(\d{4})-(\d+)$"
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once; where a lambda names an expression, it is computed at every place."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def month(word: Column) -> Column:
     """The number of a month's name; null for other words."""
     return F.nullif(F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.substring(word, 1, 3))), F.lit(0)).cast("int")
@@ -18,7 +23,10 @@ def month(word: Column) -> Column:
 
 def made(year: Column, number: Column, day: Column) -> Column:
     """A date of its parts, or null if there is none such."""
-    return F.try_to_date(F.format_string("%04d-%02d-%02d", year, number, day), "yyyy-MM-dd")
+    # by arithmetic: a parser that throws on every text without a date takes most of the time
+    first = lambda p: F.when(p["y"].between(1, 9999) & p["m"].between(1, 12), F.make_date(p["y"], p["m"], F.lit(1)))
+    date = lambda p, first: F.when((p["d"] >= 1) & (p["d"] <= F.dayofmonth(F.last_day(first))), F.date_add(first, p["d"] - 1))
+    return bound(F.struct(year.alias("y"), number.alias("m"), day.alias("d")), lambda p: bound(first(p), lambda f: date(p, f)))
 
 
 def sale_date(line: Column, today: Column, word: str = "sale") -> Column:
@@ -45,9 +53,11 @@ def slug_dates(slug: Column) -> Column:
     words = F.filter(F.split(F.regexp_replace(s, SLUG_END, ""), "-"), lambda w: w != "")
     # each day takes the first month named after it
     marked = F.transform(words, lambda w: F.struct(F.regexp_extract(w, rf"^{SLUG_DAY}$", 1).try_cast("int").alias("day"), F.when(F.length(w) > 2, month(w)).alias("month")))
-    dated = F.transform(marked, lambda m, i: F.when(m["day"].isNotNull(), made(year, F.get(F.filter(F.slice(marked, i + 1, F.size(marked)), lambda x: x["month"].isNotNull()), F.lit(0))["month"], m["day"])))
-    days = F.filter(dated, lambda d: d.isNotNull())
-    return F.when(F.size(days) > 0, F.struct(F.get(days, F.lit(0)).alias("start"), F.element_at(days, -1).alias("end"), sale.alias("sale")))
+    named = lambda all_, i: F.get(F.filter(F.slice(all_, i + 1, F.size(all_)), lambda x: x["month"].isNotNull()), F.lit(0))["month"]
+    dated = lambda p: F.transform(p["marked"], lambda m, i: F.when(m["day"].isNotNull(), made(p["year"], named(p["marked"], i), m["day"])))
+    days = bound(F.struct(year.alias("year"), marked.alias("marked")), lambda p: F.filter(dated(p), lambda d: d.isNotNull()))
+    ends = bound(days, lambda d: F.when(F.size(d) > 0, F.struct(F.get(d, F.lit(0)).alias("start"), F.get(d, F.size(d) - 1).alias("end"))))
+    return bound(F.struct(ends.alias("days"), sale.alias("sale")), lambda p: F.when(p["days"].isNotNull(), F.struct(p["days"]["start"].alias("start"), p["days"]["end"].alias("end"), p["sale"].alias("sale"))))
 
 
 def horizon(n_dated: Column, next_day: Column, last_day: Column, today: Column, near: int = 30, stale: int = 90) -> Column:
