@@ -24,7 +24,7 @@ def month(word: Column) -> Column:
 def made(year: Column, number: Column, day: Column) -> Column:
     """A date of its parts, or null if there is none such."""
     # by arithmetic: a parser that throws on every text without a date takes most of the time
-    first = lambda p: F.when(p["y"].between(1, 9999) & p["m"].between(1, 12), F.make_date(p["y"], p["m"], F.lit(1)))
+    first = lambda p: F.when(p["y"].between(0, 9999) & p["m"].between(1, 12), F.make_date(p["y"], p["m"], F.lit(1)))
     date = lambda p, first: F.when((p["d"] >= 1) & (p["d"] <= F.dayofmonth(F.last_day(first))), F.date_add(first, p["d"] - 1))
     return bound(F.struct(year.alias("y"), number.alias("m"), day.alias("d")), lambda p: bound(first(p), lambda f: date(p, f)))
 
