@@ -103,3 +103,14 @@ def test_cuts_hang_on_the_cuts_before():
             line = max((i for i in range(len(text)) if text[i] == "\n" and a + most / 2 < i <= a + most), default=None)
             assert b == (a + most if line is None else line) and c == max(a + 1, b - overlap) and d > b - overlap
     assert cuts("", 10, 2) == [(0, 0)] and cuts("x" * 25, 10, 0) == [(0, 10), (10, 20), (20, 25)]
+
+
+def test_copies_of_names_make_no_pairs(spark, tmp_path):
+    from quarry.operators import joins
+
+    rows = [(i, "Brand#1", "red big" if i % 3 else "red box", "SMALL") for i in range(300)] + [(900, "Brand#1", "lone", "X"), (901, "Brand#2", "red big", "SMALL")]
+    spark.createDataFrame(rows, "p_partkey bigint, p_brand string, p_name string, p_type string").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.id: (r.best, r.shared) for r in joins.fuzzy_names(spark, str(tmp_path)).collect()}
+    assert len(got) == 300 and got[0] == (3, 2) and got[3] == (0, 2) and got[1] == (2, 2) and got[5] == (1, 2)
+    got = {r.id: (r.class_id, r.links) for r in joins.similar_titles(spark, str(tmp_path)).collect()}
+    assert got[0] == (0, 99) and got[1] == (1, 200) and got[901] == (1, 200) and got[900] == (900, 0) and len(got) == 302
