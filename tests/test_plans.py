@@ -114,3 +114,15 @@ def test_copies_of_names_make_no_pairs(spark, tmp_path):
     assert len(got) == 300 and got[0] == (3, 2) and got[3] == (0, 2) and got[1] == (2, 2) and got[5] == (1, 2)
     got = {r.id: (r.class_id, r.links) for r in joins.similar_titles(spark, str(tmp_path)).collect()}
     assert got[0] == (0, 99) and got[1] == (1, 200) and got[901] == (1, 200) and got[900] == (900, 0) and len(got) == 302
+
+
+def test_pairs_of_few_rows_and_orders_are_dealt_to_many_tasks(spark):
+    from quarry.operators import filters, ranking
+    from quarry.plans import places
+
+    sf = "/root/testdata/sf0.001"
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    near = filters.radius_join(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert near.count("RepartitionByExpression [cell") == 2 and f", {tasks}" in near
+    assert ranking.valued(spark, sf).rdd.getNumPartitions() >= 4
+    assert abs(places.ring(900_000, 15) - 32.3) < 0.1 and places.ring(0, 15) == places.ring(3, 15) == 2 * places.RADIUS
