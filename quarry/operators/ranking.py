@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans import views
 from ..registry import query
-from ..sources.tables import LISTINGS, ORDERS_TODAY, events, listings, load, today
+from ..sources.tables import LISTINGS, ORDERS_TODAY, events, listings, load, spread, today
 from .windows import keep_first
 
 #: Points of the board's score.
@@ -161,7 +161,7 @@ _ORDERS_SQL = {
 
 
 def valued(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "customer").select(*(F.expr(e).alias(c) for c, e in VALUED.items()))
+    rows = spread(load(spark, sf_dir, "customer").select("c_custkey")).select(*(F.expr(e).alias(c) for c, e in VALUED.items()))
     return rows.select("*", F.array("opp").alias("opps"), F.array_compact(F.array("signal")).alias("signals"), F.date_add(today(), F.col("days")).alias("sale_date"))
 
 
