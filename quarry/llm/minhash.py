@@ -20,9 +20,11 @@ links found so far, and a block gives a spanning forest of its links. So a group
 costs about n confirmations, and no link between different components is lost.
 
 A far member can have links with those of its bucket that aren't close to the pivot (signature
-distances obey the triangle inequality). These get keys anew, each key with every shingle among
-the rarest of the text that a text at the wanted similarity must share (prefix filter): a passage
-that many texts share fills buckets and not these. Here too a pivot is compared with the members;
+distances obey the triangle inequality). These get new keys, the shingles among the rarest of the
+text of which a text at the wanted similarity must share one (prefix filter): a passage that many
+texts share fills buckets and not these. A text has one row for each, so a fifth of its set and one
+at most, however many buckets it was in. Only where more than ``FEW`` texts hold such a shingle does
+the key take the old bucket's pivot too, which linked texts of a bucket have in common. Here too a pivot is compared with the members;
 those far from it again are joined with their bucket behind a bound on the signature distance and
 confirmed on the texts. The order of shingles comes from a table of ``COUNTERS`` counters, whose
 size is fixed; any order gives the same links.
@@ -48,6 +50,8 @@ LOOSE = 0.43
 NEAR = 0.6
 #: A block of members has about so many rows, and hashes in their differences.
 BLOCK_ROWS, BLOCK_LOAD = 512, 1 << 18
+#: Texts up to which a rare shingle is a key by itself.
+FEW = 16
 #: Counters of shingles, by which rare ones come before frequent ones.
 COUNTERS = 1 << 20
 
@@ -336,7 +340,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, chunks
         star = held.select("pivot", "rep").distinct().join(left, "pivot").join(right, "rep")
         star = tables.save(star.select("pivot", "rep", _apart(F.col("sa"), F.col("sb"), size).alias("apart")), f"star{level}")
         # a far member and one this close to the pivot are more than ``loose`` apart themselves
-        rest = held.join(star.where(F.col("apart") > near_ - loose), ["pivot", "rep"]).select("key", "rep", (F.col("apart") > near_).alias("far"))
+        rest = held.join(star.where(F.col("apart") > near_ - loose), ["pivot", "rep"]).select("key", "pivot", "rep", (F.col("apart") > near_).alias("far"))
         rest = tables.save(rest.join(rest.where("far").select("key").distinct(), "key", "left_semi").distinct(), f"rest{level}")
         tables.drop(f"runs{level}")
         return star.where(F.col("apart") <= near_).select(F.col("pivot").alias("a"), F.col("rep").alias("b")), rest
@@ -345,10 +349,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, chunks
     near, rest = stars(keys, 1)
 
     # those left meet again where they share one of their rarest shingles too
-    some = sieve(docs, rest.select(F.col("rep").alias("doc_id"))).where("maybe").select("doc_id", "text")
+    met = tables.save(rest.select("rep", "pivot").distinct(), "met")
+    some = sieve(docs, met.select(F.col("rep").alias("doc_id"))).where("maybe").select("doc_id", "text")
     counts = some.mapInArrow(counter(shingle), "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n"))
-    rare = some.mapInArrow(rarest(shingle, percent, counts), "rep bigint, rare array<bigint>")
-    keys = rest.join(rare, "rep").select("rep", "key", F.explode("rare").alias("rare")).select("rep", F.xxhash64("key", "rare").alias("key"))
+    rare = some.mapInArrow(rarest(shingle, percent, counts), "rep bigint, rare array<bigint>").join(met.select("rep").distinct(), "rep", "left_semi")
+    rare = tables.save(rare.select("rep", F.explode("rare").alias("rare")), "rare")
+    many = rare.groupBy("rare").agg((F.count("*") > FEW).alias("many"))
+    rare = rare.join(many, "rare")
+    keys = rare.where("NOT many").select("rep", F.xxhash64("rare").alias("key"))
+    keys = keys.unionByName(rare.where("many").join(met, "rep").select("rep", F.xxhash64("rare", "pivot").alias("key")))
     again, rest = stars(keys, 2)
     near = near.unionByName(again).distinct()
 
@@ -357,7 +366,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, chunks
     far = rest.where("far").select("key", F.col("rep").alias("x")).join(packed.select(F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("sig").alias("sx")), "x")
     lone = far.join(rest.select("key", "rep").join(packed, "rep"), "key").where((F.col("x") != F.col("rep")) & alike)
     lone = tables.save(lone.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct(), "lone")
-    tables.drop("rest1", "rest2")
+    tables.drop("rest1", "rest2", "met", "rare")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))

@@ -145,6 +145,31 @@ def test_a_shared_passage_fills_buckets_and_hides_no_link(spark, monkeypatch):
     assert 0 < again[0] < 6000  # pairs; all texts have 87,990
 
 
+def test_far_members_meet_by_a_row_for_each_rare_shingle(spark, monkeypatch):
+    """Members far from their pivot have as many keys as rare shingles, whatever number of buckets they are in."""
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(60)]
+    texts = {i: passage + [f"y{rng.randrange(25)}" for _ in range(40)] for i in range(120)}
+    texts |= {i: list(texts[i - 120]) for i in range(120, 240)}
+    for i in range(120, 240):
+        texts[i][rng.randrange(100)] = f"x{i}"
+    texts = {i: " ".join(w) for i, w in texts.items()}
+    made, save = {}, minhash.Scratch.save
+
+    def noting(self, df, name):
+        out = save(self, df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(minhash.Scratch, "save", noting)
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(5)
+    want, sizes = components(texts, 2, 80)
+    for few in (minhash.FEW, 0, 10**6):  # by the shingle alone, with the pivot where many texts hold it, and both
+        monkeypatch.setattr(minhash, "FEW", few)
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, 2, 80).collect()}
+        assert got == want and 0 < made["rare"] <= sum(n - -(-80 * n // 100) + 1 for n in sizes.values())
+
+
 def test_similar_sets_share_a_rare_shingle(spark):
     import numpy as np
     import pyarrow as pa
