@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK = 1 << 21
+BLOCK = 1 << 18
 #: 512 bitmaps of 4 KB.
 SIEVE_BITS = 1 << 24
 SPACES = b" \t\n\x0b\x0c\r"

@@ -736,6 +736,23 @@ def test_toxicity_scores_by_hand(spark):
         assert got[r.doc_id].score == pytest.approx(model.score(model.significance(found, len(s))), abs=1e-6)
 
 
+def test_memory_of_word_hashes_is_bounded():
+    """However many texts a batch has, what is in memory at once follows ``BLOCK``."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(5000)]
+    texts = [" ".join(rng.choices(words, k=300)) for _ in range(2500)]
+    batch = pa.record_batch([pa.array(texts), pa.array([0] * len(texts), pa.int32())], names=["text", "toxic"])
+    tracemalloc.start()
+    n = sum(b.num_rows for b in toxicity._counts(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 0 and most < 64 << 20  # 150 MB and more in blocks of 2 MB
+
+
 def test_toxicity_held_out_and_odd_cases(spark, odd, empty):
     sf = "/root/testdata/sf0.1"
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
