@@ -27,6 +27,8 @@ from .common import SPACES, as_bytes, mix, record, saved, sieve, sliced, table
 from .tokens import Encoder, public
 
 WINDOW, BITS, LEAST = 24, 10, 256
+#: The bytes of characters below U+0250.
+LATIN = bytes(range(0xCA))
 #: Bytes hashed at once.
 STEP = 1 << 18
 
@@ -102,22 +104,30 @@ class Chunks(Encoder):
         head, inner, tail = _ragged(chunk)
         return head, self.of(inner), tail
 
+    def folded(self, data: bytes) -> bytes:
+        """A whole text in lower case if that leaves its ids as they are, so that fewer pieces differ.
+
+        The library folds case itself, but finds special tokens before that, and composes letters with
+        marks that stand after them; there are none below U+0250.
+        """
+        return data.lower() if self.folds and b"<|" not in data and not data.translate(None, LATIN) else data
+
     def prepare(self, texts: list[bytes], chunks: list[bytes]) -> None:
         """Learn the pieces of some whole texts, and the whole pieces of some chunks, together."""
         self.known(set().union(*(t.split() for t in texts), *(_ragged(c)[1] for c in chunks)), bytes.decode)
 
     def joined(self, data: bytes, bounds: list[int], known: dict[int, tuple[bytes, bytes, bytes]]) -> bytes:
         """Ids of a whole text from its chunks; ``known`` has chunks that were encoded elsewhere."""
-        ids, open_ = [], b""
+        ids, open_, low = [], b"", self.folded(data)
         for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
-            head, middle, tail = known[k] if k in known else self.encoded(data[a:b])
+            head, middle, tail = known[k] if k in known else self.encoded(low[a:b])
             if head == tail and len(head) == b - a:
                 open_ += head
                 continue
             joint = open_ + head
             if joint:
                 ids.append(self.of([joint]))
-            if k and not self.agrees(data, a, joint):
+            if k and not self.agrees(data, low, a, joint):
                 return self.whole(data)
             ids.append(middle)
             open_ = tail
@@ -125,8 +135,8 @@ class Chunks(Encoder):
             ids.append(self.of([open_]))
         return b"".join(ids)
 
-    def agrees(self, data: bytes, at: int, joint: bytes) -> bool:
-        """True if the library gives the joint and a neighbour on each side the ids of its pieces."""
+    def agrees(self, data: bytes, folded: bytes, at: int, joint: bytes) -> bool:
+        """True if the library gives the joint and a neighbour on each side the ids of its folded pieces."""
         for reach in (16, 256, 2048):
             low, high = max(0, at - len(joint) - reach), min(len(data), at + len(joint) + reach)
             window = data[low:high]
@@ -135,8 +145,7 @@ class Chunks(Encoder):
             last = len(window) if high == len(data) else next((i for i in range(len(window), 0, -1) if window[i - 1] in SPACES), None)
             if first is None or last is None or not low + first <= at <= low + last:
                 continue
-            window = window[first:last]
-            if self.raw([window.decode()])[0] == self.of(window.split()):
+            if self.raw([window[first:last].decode()])[0] == self.of(folded[low + first : low + last].split()):
                 return True
         return False
 
@@ -144,14 +153,18 @@ class Chunks(Encoder):
         return self.raw([data.decode()])[0]
 
     @cached_property
-    def strings(self) -> list[bytes]:
-        return [(self.library.id_to_token(i) or "").encode() for i in range(self.library.get_vocab_size())]
+    def strings(self) -> pa.Array:
+        """Each id's token with a space behind it."""
+        return pa.array([(self.library.id_to_token(i) or "").encode() + b" " for i in range(self.library.get_vocab_size())], pa.large_binary())
 
     def decoded(self, ids: np.ndarray) -> bytes:
         """What the library's ``decode(ids, skip_special_tokens=False)`` gives, in UTF-8."""
         if self.library.decoder is not None:
             return self.library.decode(ids.tolist(), skip_special_tokens=False).encode()
-        return b" ".join([self.strings[i] for i in ids.tolist()])
+        if not ids.size:
+            return b""
+        _, bounds, text = self.strings.take(pa.array(ids)).buffers()
+        return text[: int(np.frombuffer(bounds, np.int64)[ids.size]) - 1].to_pybytes()
 
 
 def _listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,12 +189,13 @@ def _owned(vocabulary: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, most=1 << 20):
-            mine = []
+            hashes, mine = [], []
             for data, ks in zip(as_bytes(batch.column("text")), batch.column("own").to_pylist()):
-                c = cuts(data)
-                mine += [data[c[k] : c[k + 1]] for k in ks]
+                c, low = cuts(data), encoder.folded(data)
+                hashes += [chunk_hash(data[c[k] : c[k + 1]]) for k in ks]
+                mine += [low[c[k] : c[k + 1]] for k in ks]
             encoder.prepare([], mine)
-            rows = [(chunk_hash(c), *encoder.encoded(c)) for c in mine]
+            rows = [(h, *encoder.encoded(c)) for h, c in zip(hashes, mine)]
             if rows:
                 yield record(schema, *zip(*rows))
 
@@ -201,8 +215,9 @@ def _digests(vocabulary: str):
             texts = as_bytes(batch.column("text"))
             places = [cuts(data) for data in texts]
             # only what isn't known yet: chunks that were encoded elsewhere are left out
-            own = [data[a:b] for data, c, known in zip(texts, places, shared) if known for k, (a, b) in enumerate(zip(c, c[1:])) if k not in known]
-            encoder.prepare([data for data, known in zip(texts, shared) if not known], own)
+            low = [encoder.folded(data) for data in texts]
+            own = [data[a:b] for data, c, known in zip(low, places, shared) if known for k, (a, b) in enumerate(zip(c, c[1:])) if k not in known]
+            encoder.prepare([data for data, known in zip(low, shared) if not known], own)
             for data, c, known in zip(texts, places, shared):
                 ids = encoder.joined(data, c, known) if data else b""
                 out.append(ids)
@@ -220,7 +235,8 @@ def encoded(docs: DataFrame, vocabulary: str, digest: bool = True) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
     key = ["doc_id", "hash"]  # a doc_id may have several texts
-    listed = docs.where("doc_id IS NOT NULL").mapInArrow(_listing, "chunk binary, doc_id bigint, hash bigint, k int")
+    # it is read twice, and cutting and hashing again costs more than the file
+    listed = saved(docs.where("doc_id IS NOT NULL").mapInArrow(_listing, "chunk binary, doc_id bigint, hash bigint, k int"), "listed")
     owners = listed.groupBy("chunk").agg(F.min(F.struct(*key, "k")).alias("owner"), F.max(F.struct(*key)).alias("last")).where((F.col("last.doc_id") != F.col("owner.doc_id")) | (F.col("last.hash") != F.col("owner.hash"))).select("chunk", "owner")
     uses = saved(listed.join(owners, "chunk").distinct(), "uses")
     # only documents that may hold a shared chunk are shuffled

@@ -39,6 +39,8 @@ def public(name: str) -> str:
 
 #: What byte-level tokenizers split by, and the order of bytes in their alphabet.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: What word-level tokenizers split by, where white space is dropped.
+WORD_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Pieces of these characters alone are split here; all others go through the library whole.
 _PLAIN = re.compile(r"[\n\x21-\x7e\xa1-\xac\xae-\u012f\u0131-\u024f]+")
 
@@ -119,6 +121,12 @@ class Encoder:
         ok = len(steps) == 2 and steps[0].get("type") == "Split" and steps[0].get("invert") and steps[0].get("behavior") == "Removed" and steps[1].get("type") == "ByteLevel" and not steps[1].get("use_regex")
         return regex.compile(steps[0]["pattern"]["Regex"]) if ok and "Regex" in steps[0]["pattern"] else None
 
+    @cached_property
+    def folds(self) -> bool:
+        """True if the file parts letters from the marks after them, and its normalizer does nothing to plain characters but fold their case."""
+        plain = "".join(c for c in map(chr, range(33, 0x250)) if _PLAIN.fullmatch(c))
+        return not self.spaced and self.split is not None and self.split.pattern == WORD_LEVEL and self.library.normalizer is not None and self.library.normalizer.normalize_str(plain) == plain.lower()
+
     @cached_property
     def letters(self) -> dict[int, str]:
         return byte_letters()
@@ -139,8 +147,8 @@ class Encoder:
 
     def _pieces(self, texts: list[str]) -> list[bytes]:
         """Ids of short texts: plain ones word by word, with a memory of words; others through the library."""
-        if self.spaced and self.split:
-            out, rest = self._lettered(texts)
+        if self.folds or self.spaced and self.split:
+            out, rest = self._marked(texts) if self.folds else self._lettered(texts)
             if rest:
                 for i, b in zip(rest, self._split([texts[i] for i in rest])):
                     out[i] = b
@@ -176,6 +184,31 @@ class Encoder:
             out[i] = b
         return out
 
+    def _marked(self, texts: list[str]) -> tuple[list[bytes | None], list[int]]:
+        """Ids of plain letters and then marks or none, which are words of their own; where of the others."""
+        words = self.words[0]
+        if len(words) > MEMORY:
+            words = self.words[0] = {}
+        out, rest = [], []
+        for i, t in enumerate(texts):
+            core = t.rstrip(_MARKS)
+            if not core.isalpha() or len(t) > LONG or not (core.isascii() or _PLAIN.fullmatch(core)):
+                rest.append(i)
+                out.append(None)
+                continue
+            first = core.lower()
+            ids = words.get(first)
+            if ids is None:
+                ids = words[first] = self._word(first)
+            if len(core) < len(t):
+                marks = t[len(core) :]
+                more = words.get(marks)
+                if more is None:
+                    more = words[marks] = self._word(marks)
+                ids += more
+            out.append(ids)
+        return out, rest
+
     def _lettered(self, texts: list[str]) -> tuple[list[bytes | None], list[int]]:
         """Ids of a space or line break, letters and then marks or none, which are words of their own; where of the others."""
         words = self.words[0]

@@ -344,6 +344,36 @@ def test_encoder_keeps_line_breaks(name):
     assert [np.frombuffer(b, mine.dtype).tolist() for b in mine.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_folded_texts_have_the_same_ids():
+    from tokenizers import Tokenizer
+
+    library, mine = Tokenizer.from_file(public("word_bpe_49k.json")), bpe.Chunks(public("word_bpe_49k.json"))
+    plain = ["The Cat, THE cat; the CAT...", "Don't, DON'T! we'LL' it's'S O'Re.", "ÀÉ Éa, ŐŰ\" ǅa ǄB Ŋx ªº ß", "A--B x?! --y-- 12A3, (Q)"]
+    odd = ["<|ENDOFTEXT|> A<|endoftext|>", "H\u0331 Ab E\u0301", "İI ΑΣ Σ. Ǆ\u0301"]
+    texts = plain + odd + [" ".join(chr(c) + "A, " + chr(c).upper() for c in range(0xA1, 0x250))]
+    assert [mine.folded(t.encode()) == t.encode().lower() for t in plain + odd] == [True] * 4 + [False] * 3
+    for t in texts:
+        pieces = mine.folded(t.encode()).split()
+        assert np.frombuffer(mine.of(pieces), mine.dtype).tolist() == library.encode(t, add_special_tokens=False).ids
+        ids = np.array(library.encode(t, add_special_tokens=False).ids, mine.dtype)
+        assert mine.decoded(ids) == library.decode(ids.tolist(), skip_special_tokens=False).encode()
+
+
+def test_chunks_are_listed_once(spark, monkeypatch):
+    """Each text is cut and hashed once for the list of chunks, however often that is read."""
+    calls = spark.sparkContext.accumulator(0)
+    listing = bpe._listing
+
+    def counted(batches):
+        for b in batches:
+            calls.add(b.num_rows)
+            yield from listing(iter([b]))
+
+    monkeypatch.setattr(bpe, "_listing", counted)
+    df = spark.createDataFrame([(i, f"text {i % 3} " * 300) for i in range(10)], "doc_id bigint, text string")
+    assert bpe.encoded(df, public("word_bpe_49k.json")).count() == 10 and calls.value == 10
+
+
 def test_bpe_equals_library(spark, odd, empty):
     from tokenizers import Tokenizer
 
