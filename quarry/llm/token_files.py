@@ -107,9 +107,9 @@ def _writer(path: str, vocabulary: str, end_id: int, length: int, rows: int):
         docs = 0
         with where.open_output_stream(f"{own}.arrows") as a, where.open_output_stream(f"{own}.index") as b:
             sequences, places = SequenceWriter(a, encoder.dtype, length, rows), pa.ipc.new_stream(b, index)
-            for batch in sliced(batches, most=1 << 20):
+            for batch in sliced(batches):
                 starts, sizes = [], []
-                for ids in encoder.encode(batch.column("text").fill_null("").to_pylist()):
+                for ids in encoder.column(batch.column("text").fill_null("")):
                     starts.append(sequences.n)
                     sequences.add(ids + end)
                     sizes.append(sequences.n - starts[-1])

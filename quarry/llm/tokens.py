@@ -4,6 +4,8 @@ A piece is a stretch of text that the tokenizer is sure to cut off from its neig
 piece goes through the library itself; its ids are then kept in a bounded memory, because words
 repeat far more often than texts. The memory belongs to the worker process and outlives a task; it
 has two generations of ``MEMORY`` pieces at most, and a piece that is met again moves to the newer.
+``column`` keeps the ids of letters and of marks in two Arrow arrays of ``MEMORY`` rows at most, the
+last ones met first; a slice of texts is cut, looked up and joined by Arrow, and Python sees only what is new.
 """
 
 from __future__ import annotations
@@ -16,6 +18,10 @@ from collections import ChainMap
 from functools import cached_property
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from .common import buffers
 
 MEMORY = 300_000
 #: The memories of this process by path and kind.
@@ -272,8 +278,130 @@ class Encoder:
             whole = [None if _RUN.search(t) else (t if _BROKEN.search(t) else t.replace("\n", " \n")).split(" ") for t in texts]
             some = [w for w in whole if w is not None]
             first = iter(self.raw([w.pop(0) for w in some]))
-            get = self.known(set().union(*some), lambda p: p if p[:1] == "\n" else " " + p).__getitem__
+            get = self.known(set().union(*some), _text).__getitem__
             return [self.raw([t])[0] if w is None else next(first) + b"".join(map(get, w)) for t, w in zip(texts, whole)]
         pieces = [t.encode().split() for t in texts]
         get = self.known(set().union(*pieces), bytes.decode).__getitem__
         return [b"".join(map(get, p)) for p in pieces]
+
+    @cached_property
+    def parts(self) -> list[pa.Array]:
+        """Cores and marks of pieces, the last ones met first, and their ids: null for a core of more than letters."""
+        return _MEMORIES.setdefault((self.path, "parts"), [pa.array([], pa.large_string()), pa.array([], pa.large_binary())])
+
+    def _learned(self, cores: list[str]) -> list[bytes]:
+        """Ids of new pieces of letters, by the library's model."""
+        # a line break parts the texts while all are translated at once; one at a core's head becomes NUL
+        letters = self.letters | {0: self.letters[10], 10: "\n"}
+        forms = "\n".join(["\0" + c[1:] if c[0] == "\n" else " " + c for c in cores]).encode().decode("latin-1").translate(letters).split("\n") if cores else []
+        ids, ends = [], [0]
+        tokenize, line = self.tokenize, self.letters[10]
+        for form in forms:
+            if form[0] == line:
+                ids += [t.id for t in tokenize(line)]
+                form = form[1:]
+            ids += [t.id for t in tokenize(form)]
+            ends.append(len(ids))
+        whole, w = np.array(ids, self.dtype).tobytes(), self.dtype.itemsize
+        return [whole[w * a : w * b] for a, b in zip(ends, ends[1:])]
+
+    def _part(self, parts: pa.Array) -> pa.Array:
+        """Ids of different cores and marks. A core stands for itself and the space before it, if it has no line break."""
+        names, ids = self.parts
+        place = pc.index_in(parts, value_set=names)
+        found = place.is_valid().to_numpy(zero_copy_only=False)
+        place = place.fill_null(0).to_numpy().astype(np.int64)
+        new = parts.filter(pa.array(~found)).to_numpy(zero_copy_only=False).tolist()
+        got = {p: self._word(p) if p else b"" for p in new if not p.rstrip(_MARKS)}
+        learn = [p for p in new if len(p) <= LONG and _letters(p)]
+        got.update(zip(learn, self._learned(learn)))
+        place[~found] = len(ids) + np.arange(len(new))
+        out = pa.concat_arrays([ids, pa.array([got.get(p) for p in new], pa.large_binary())]).take(pa.array(place))
+        rest = np.ones(len(ids), bool)
+        rest[place[found]] = False
+        short = pc.less_equal(pc.binary_length(parts), LONG)
+        rest = pa.array(rest)
+        self.parts[:] = (pa.concat_arrays([x.filter(short), y.filter(rest)])[:MEMORY] for x, y in ((parts, names), (out, ids)))
+        return out
+
+    def _distinct(self, pieces: pa.Array) -> pa.Array:
+        """Ids of different pieces that had a space before them or begin with a line break."""
+        n = len(pieces)
+        data, bounds = buffers(pieces)
+        # a piece is cut into its core and the marks at its end, which are a word of their own after letters
+        cuts = np.zeros(2 * n + 1, np.int64)
+        cuts[::2] = bounds
+        cuts[1::2] = bounds[:-1] + pc.binary_length(pc.ascii_rtrim(pieces, _MARKS)).to_numpy()
+        parts = pa.LargeStringArray.from_buffers(2 * n, pa.py_buffer(cuts), pa.py_buffer(data)).dictionary_encode()
+        ids, codes = self._part(parts.dictionary), parts.indices.to_numpy()
+        known = pc.and_(ids.is_valid(), pc.greater(pc.binary_length(parts.dictionary), 0)).to_numpy(zero_copy_only=False)[codes[::2]]
+        _, bounds, data = ids.take(parts.indices).buffers()
+        whole = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(np.frombuffer(bounds, np.int64)[: 2 * n + 1 : 2].copy()), data])
+        if known.all():
+            return whole
+        rest = pieces.filter(pa.array(~known)).to_numpy(zero_copy_only=False).tolist()
+        get = self.known(set(rest), _text).__getitem__
+        place = np.arange(n)
+        place[~known] = n + np.arange(len(rest))
+        return pa.concat_arrays([whole, pa.array([get(p) for p in rest], pa.large_binary())]).take(pa.array(place))
+
+    @cached_property
+    def stops(self) -> tuple[str, ...]:
+        """Added tokens after a line break: the text ends before them, so line breaks there are a run."""
+        return tuple("\n" + t.content for t in self.library.get_added_tokens_decoder().values())
+
+    def column(self, texts: pa.Array) -> list[bytes]:
+        """Little-endian ids of each text of a string column without nulls; Arrow cuts the texts, knows pieces again and joins their ids."""
+        if not (self.spaced and self.split) or not len(texts):
+            return self.encode(texts.to_pylist())
+        cut = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " \n"), " ")
+        starts = cut.offsets.to_numpy()
+        starts = starts - starts[0]
+        pieces = cut.flatten().dictionary_encode()
+        names, at = pieces.dictionary, pieces.indices.to_numpy()
+        # white space that may be part of a run across pieces: such texts are cut by the rules of ``encode``
+        sizes = pc.binary_length(names).to_numpy()
+        loose = pc.binary_length(pc.utf8_trim_whitespace(names)).to_numpy() < sizes
+        some = np.flatnonzero(loose)
+        loose[some] = [_loose(p) or p.startswith(self.stops) for p in names.take(pa.array(some)).to_pylist()]
+        runs = (loose | (sizes == 0))[at]
+        first = starts[:-1]
+        runs[first[sizes[at[first]] == 0]] = False
+        if (line := names.index("\n").as_py()) >= 0:
+            runs[1:] |= (at[1:] == line) & (at[:-1] == line)
+        odd = np.logical_or.reduceat(runs, first)
+        whole = iter(self.encode(texts.filter(pa.array(odd)).to_pylist()))
+        heads = iter(self.raw(names.take(pa.array(at[first[~odd]])).to_pylist()))
+        # a text's first piece has no space before it; it stands for the whole of an odd text, whose others are empty
+        own = [next(whole) if o else next(heads) for o in odd.tolist()] + [b""]
+        used = np.ones(at.size, bool)
+        used[first] = False
+        used &= ~np.repeat(odd, np.diff(starts))
+        met = np.zeros(len(names), bool)
+        met[at[used]] = True
+        place = np.cumsum(met) - 1
+        n = int(met.sum())
+        at = np.where(used, place[at], n + len(own) - 1)
+        at[first] = n + np.arange(len(first))
+        ids = pa.concat_arrays([self._distinct(names.filter(pa.array(met))), pa.array(own, pa.large_binary())]).take(pa.array(at))
+        data, bounds = buffers(ids)
+        data, bounds = data.tobytes(), bounds[starts].tolist()
+        return [data[a:b] for a, b in zip(bounds, bounds[1:])]
+
+
+def _text(piece: str) -> str:
+    """A piece with the space that it was cut off after."""
+    return piece if piece[:1] == "\n" else " " + piece
+
+
+def _letters(core: str) -> bool:
+    """True for plain letters, after a line break or not."""
+    letters = core[1:] if core[:1] == "\n" else core
+    return letters.isalpha() and (letters.isascii() or _PLAIN.fullmatch(letters) is not None)
+
+
+def _loose(piece: str) -> bool:
+    """True for white space at an end of a piece, or after its line break; not for the line break alone."""
+    if piece == "\n":
+        return False
+    return piece[-1].isspace() or piece[0].isspace() and (piece[0] != "\n" or piece[1].isspace())

@@ -2,10 +2,12 @@
 
 import hashlib
 import random
+import tempfile
 import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -344,6 +346,36 @@ def test_encoder_keeps_line_breaks(name):
     assert [np.frombuffer(b, mine.dtype).tolist() for b in mine.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_encoder_of_a_column_equals_library():
+    from tokenizers import Tokenizer
+
+    library, mine = Tokenizer.from_file(public("byte_bpe_50k.json")), Encoder(public("byte_bpe_50k.json"))
+    some = random.Random(7)
+    bits = ["the", "The", "é", "straße", "日本", "12", "'s", "'ll", "don't", "x–y", "–", "<|endoftext|>", "<|", "|>", "|", ",", "...", "\U0001f600", "e\u0301", "\0", "y" * 70, "=" * 70]
+    gaps = [" "] * 40 + ["\n"] * 15 + ["", "", "  ", "\n\n", " \n", "\n ", "\t", "\n\t", "\r\n", "\x1c", "\x85", "\u00a0", "\n\u2003", "\u2003", "\n\n\n", "\u2028"]
+    texts = ["", " ", "\n", "\n\n", " a", "\na", "a\n", "a ", "a\n\nb c", "\n\nb c", "a\n b", "a\n\u2003b"] + [t for _, t, *_ in ODD if t]
+    texts += ["".join(some.choice(bits) + some.choice(gaps) for _ in range(some.randint(1, n))) for n in (3, 12, 40) for _ in range(700)]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for lot in ([slice(i, i + 100) for i in range(0, len(texts), 100)], [slice(None)]):
+        got = [b for s in lot for b in mine.column(pa.array(texts).slice(s.start or 0, 100 if s.start is not None else None))]
+        assert [np.frombuffer(b, mine.dtype).tolist() for b in got] == want
+    assert mine.column(pa.array([], pa.string())) == [] and mine.column(pa.array(["", ""])) == [b"", b""]
+
+
+def test_token_files_learn_a_word_once(monkeypatch):
+    """Plain texts reach Python as words that are new to the process, once each, not text by text."""
+    monkeypatch.setattr("quarry.llm.tokens._MEMORIES", {})
+    monkeypatch.setattr(token_files, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda self: 0})())}))
+    learned, encoded = [], []
+    learn, encode = Encoder._learned, Encoder.encode
+    monkeypatch.setattr(Encoder, "_learned", lambda self, words: learned.extend(words) or learn(self, words))
+    monkeypatch.setattr(Encoder, "encode", lambda self, texts: encoded.extend(texts) or encode(self, texts))
+    with tempfile.TemporaryDirectory() as top:
+        batch = pa.record_batch({"doc_id": [1, 2, 3], "text": ["One two, three.\nTwo two; two", "a two three\n\nTwo", None]})
+        list(token_files._writer(top, public("byte_bpe_50k.json"), 0, 64, 4)(iter([batch, batch])))
+    assert sorted(learned) == ["\nTwo", "three", "two"] and encoded == []
+
+
 def test_folded_texts_have_the_same_ids():
     from tokenizers import Tokenizer
 
